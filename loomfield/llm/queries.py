@@ -6,20 +6,31 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomfield.llm import sentencepiece_codec
+from loomfield.llm import quality_rules, secret_scan, sentencepiece_codec
 
 #: The public vocabulary that the queries use; any other SentencePiece model file will do.
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 
 
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return sentencepiece_codec.round_trip(docs, sentencepiece_codec.model_bytes(spark, MODEL_PATH))
+    return sentencepiece_codec.round_trip(_table(spark, sf_dir, "documents"), sentencepiece_codec.model_bytes(spark, MODEL_PATH))
+
+
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.report(_table(spark, sf_dir, "documents"))
+
+
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_sentencepiece": op1_sentencepiece}
+    return {f.__name__: f for f in (op1_sentencepiece, op3_secret_scan, op5_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_secret_scan": secret_scan.ORACLE_SQL, "op5_quality_rules": quality_rules.ORACLE_SQL}
