@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomfield.llm import quality_rules, secret_scan, sentencepiece_codec
+from loomfield.llm import chat_format, license_scan, quality_rules, secret_scan, sentencepiece_codec, warc
 
 #: The public vocabulary that the queries use; any other SentencePiece model file will do.
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
@@ -28,9 +28,26 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format.report(chat_format.with_extra(_table(spark, sf_dir, "conversations")))
+
+
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(_table(spark, sf_dir, "documents"))
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(_table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sentencepiece, op3_secret_scan, op5_quality_rules)}
+    return {f.__name__: f for f in (op1_sentencepiece, op3_secret_scan, op5_quality_rules, op6_chat_format, op8_license_scan, op10_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_secret_scan": secret_scan.ORACLE_SQL, "op5_quality_rules": quality_rules.ORACLE_SQL}
+    return {
+        "op3_secret_scan": secret_scan.ORACLE_SQL,
+        "op5_quality_rules": quality_rules.ORACLE_SQL,
+        "op6_chat_format": chat_format.ORACLE_SQL,
+        "op10_warc": warc.ORACLE_SQL,
+    }
