@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomfield.llm import chat_format, license_scan, quality_rules, secret_scan, sentencepiece_codec, warc
+from loomfield.llm import chat_format, jaccard_join, license_scan, quality_rules, secret_scan, sentencepiece_codec, warc
 
 #: The public vocabulary that the queries use; any other SentencePiece model file will do.
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
@@ -24,6 +24,10 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.report(_table(spark, sf_dir, "documents"))
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.links(_table(spark, sf_dir, "documents"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -41,7 +45,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sentencepiece, op3_secret_scan, op5_quality_rules, op6_chat_format, op8_license_scan, op10_warc)}
+    return {f.__name__: f for f in (op1_sentencepiece, op3_secret_scan, op4_jaccard_join, op5_quality_rules, op6_chat_format, op8_license_scan, op10_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
