@@ -47,10 +47,12 @@ class Risk:
     delta: float = 0.05
 
 
-def features(docs: DataFrame, stratum: str = "lang") -> DataFrame:
-    """doc_id, stratum and the counts that the rules need, per row of ``docs``. One narrow pass, no shuffle."""
+def features(docs: DataFrame, stratum: str = "lang", whole: bool = False) -> DataFrame:
+    """doc_id, stratum and the counts that the rules need, per row of ``docs``, and with ``whole`` the row itself as the
+    struct ``_row``. One narrow pass, no shuffle."""
+    row = [F.struct(*docs.columns).alias("_row")] if whole else []
     words = (
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(stratum).cast("string"), F.lit("")).alias("stratum"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+        docs.select(*row, F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(stratum).cast("string"), F.lit("")).alias("stratum"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
         .withColumn("w", F.array_remove(F.split("text", SEPARATORS), ""))
         .withColumn("lines", F.filter(F.split("text", "\n"), lambda x: F.length(F.translate(x, SEPARATOR_CHARS, "")) > 0))
     )
@@ -62,6 +64,7 @@ def features(docs: DataFrame, stratum: str = "lang") -> DataFrame:
     covered = F.expr("aggregate(transform(d, (p, k) -> least(5, coalesce(get(d, k + 1), p + 5) - p)), 0L, (a, x) -> a + x)")
     taken = lambda chars: (F.length("text") - F.length(F.translate("text", chars, ""))).cast("long")
     return again.select(
+        *["_row"][: len(row)],
         "doc_id",
         "stratum",
         F.size("w").cast("long").alias("n_words"),
@@ -110,23 +113,28 @@ def _all():
     return Window.partitionBy()
 
 
-def judge(docs: DataFrame, labels: DataFrame, risk: Risk = Risk(), stratum: str = "lang") -> DataFrame:
-    """Counts and verdict per row of ``docs``: base_failed, kept, and the names of the rules that reject it."""
-    feats = written(features(docs, stratum), "quality-features")
+def judged(docs: DataFrame, labels: DataFrame, risk: Risk, stratum: str, whole: bool = False) -> DataFrame:
+    """The features with base_failed, the failed rules and kept."""
+    feats = written(features(docs, stratum, whole), "quality-features")
     # At most one row per stratum with enough labels to certify anything (hundreds of labels each): far fewer rows
     # than labels; its written size is checked all the same before it is broadcast.
     by_stratum = written(cutoffs(feats, labels, risk).groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias("cut")), "quality-cutoffs")
     failed = F.array_compact(F.array(*[F.when(F.expr(f"cast({e} as double)") > F.col("cut")[r], F.lit(r)) for r, e in RULES.items()]))
     base = F.expr(f"n_words < {MIN_WORDS} or 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words")
-    return (
-        feats.join(maybe_broadcast(by_stratum), "stratum", "left")
-        .withColumn("failed_rules", F.array_join(failed, ","))
-        .withColumn("base_failed", base)
-        .select(
-            "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
-            (~F.col("base_failed") & (F.col("failed_rules") == "")).alias("kept"), "failed_rules",
-        )
-    )
+    joined = feats.join(maybe_broadcast(by_stratum), "stratum", "left").withColumn("failed_rules", F.array_join(failed, ",")).withColumn("base_failed", base)
+    return joined.withColumn("kept", ~F.col("base_failed") & (F.col("failed_rules") == ""))
+
+
+def judge(docs: DataFrame, labels: DataFrame, risk: Risk = Risk(), stratum: str = "lang") -> DataFrame:
+    """Counts and verdict per row of ``docs``: base_failed, kept, and the names of the rules that reject it."""
+    return judged(docs, labels, risk, stratum).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed_rules"
+    )
+
+
+def keep(docs: DataFrame, labels: DataFrame, risk: Risk = Risk(), stratum: str = "lang") -> DataFrame:
+    """The rows of ``docs`` that are kept, with all their columns."""
+    return judged(docs, labels, risk, stratum, whole=True).where("kept").select(*[F.col("_row")[c].alias(c) for c in docs.columns])
 
 
 _VALUES = ", ".join(f"('{r}', {c!r})" for r in RULES for c in GRID)

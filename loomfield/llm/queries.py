@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomfield.llm import chat_format, jaccard_join, license_scan, quality_rules, secret_scan, sentencepiece_codec, warc
+from loomfield.llm import chat_format, jaccard_join, license_scan, quality_rules, secret_scan, sentencepiece_codec, source_mixing, warc
 
 #: The public vocabulary that the queries use; any other SentencePiece model file will do.
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
@@ -36,6 +36,10 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.report(chat_format.with_extra(_table(spark, sf_dir, "conversations")))
 
 
+def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_mixing.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(_table(spark, sf_dir, "documents"))
 
@@ -45,7 +49,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sentencepiece, op3_secret_scan, op4_jaccard_join, op5_quality_rules, op6_chat_format, op8_license_scan, op10_warc)}
+    return {f.__name__: f for f in (op1_sentencepiece, op3_secret_scan, op4_jaccard_join, op5_quality_rules, op6_chat_format, op7_source_mixing, op8_license_scan, op10_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
