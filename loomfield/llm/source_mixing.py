@@ -5,8 +5,8 @@ features are log-odds of hashed words and word shapes for each domain against th
 labelled rows of the training split, where odds that are not significant count as none; a small multinomial regression
 over their sums is fitted on at most ``CALIBRATION_ROWS`` rows of the other split. Rates of
 documents, between 0 and ``max_rate``, are then fitted so that the expected tokens of each domain, sum of
-rate * tokens * posterior, match their targets: projected gradient descent on the weighted least-squares residual. Each
-step is one distributed sum of a few numbers; a document's rate follows from its posteriors and the steps so far, so no
+rate * tokens * posterior, match their targets: least squares by projected gradient descent, preconditioned by the Gram matrix of the documents
+whose rates are not at a bound. Each step is one distributed sum of a few numbers; a document's rate follows from its posteriors and the steps so far, so no
 state is kept by document. Rates become whole copies by a fixed hash of the id.
 
 Defined cases: a null text is empty and has no tokens, its posteriors are the priors; rows are rated one by one, so
@@ -198,38 +198,51 @@ def fit(docs: DataFrame, labels: DataFrame, mix: Mix = Mix()) -> tuple[Fitted, D
     slopes, bias = calibrate(np.array([r._z for r in rows]).reshape(-1, len(DOMAINS)), np.array([r.domain for r in rows], np.int64))
     fitted = Fitted(weights, slopes, bias, np.zeros((0, len(DOMAINS))), mix.max_rate)
 
-    def totals(steps: np.ndarray, rated: bool) -> np.ndarray:
-        """Expected tokens by domain under the rates after ``steps``; one row of sums from each task."""
+    k = len(DOMAINS)
+
+    def totals(steps: np.ndarray, rated: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Expected tokens by domain under the rates after ``steps``, and the Gram matrix of the posteriors of documents
+        whose rate is not at a bound, weighted by tokens; a few sums from each task."""
 
         def run(batches):
             import pyarrow as pa
 
-            total = np.zeros(len(DOMAINS))
+            total = np.zeros(k + k * k)
             for batch in batches:
                 if batch.num_rows:
-                    p = fitted.posteriors(_z_of(batch.column(1)))
-                    r = rates_after(p, steps, mix.max_rate) if rated else 1.0
-                    total += (batch.column(0).to_numpy() * r) @ p
-            yield pa.RecordBatch.from_arrays([pa.array(range(len(DOMAINS)), pa.int32()), pa.array(total)], names=["domain", "total"])
-
-        sums = scored.select("_tokens", "_z").mapInArrow(run, "domain int, total double").groupBy("domain").agg(F.sum("total").alias("total"))
-        out = np.zeros(len(DOMAINS))
+                    p, t = fitted.posteriors(_z_of(batch.column(1))), batch.column(0).to_numpy().astype(float)
+                    r = rates_after(p, steps, mix.max_rate) if rated else np.ones(len(p))
+                    free = t * ((r > 0) & (r < mix.max_rate)) if rated else t
+                    total[:k] += (t * r) @ p
+                    total[k:] += ((p * free[:, None]).T @ p).ravel()
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(total)), pa.int32()), pa.array(total)], names=["at", "total"])
+
+        sums = scored.select("_tokens", "_z").mapInArrow(run, "at int, total double").groupBy("at").agg(F.sum("total").alias("total"))
+        out = np.zeros(k + k * k)
         for row in sums.collect():
-            out[row.domain] = row.total
-        return out
+            out[row["at"]] = row["total"]
+        return out[:k], out[k:].reshape(k, k)
 
-    natural = totals(fitted.steps, False)
+    natural, _ = totals(fitted.steps, False)
     want = natural * np.array([mix.factors.get(d, 1.0) for d in DOMAINS])
-    steps: list[np.ndarray] = []
-    while len(steps) < mix.most_steps:
-        miss = totals(np.array(steps).reshape(-1, len(DOMAINS)), True) - want
-        # Residuals over the domains' own totals: rows of posteriors sum to one, so steps of length one don't overshoot.
-        g = np.divide(miss, natural, out=np.zeros_like(miss), where=natural > 0)
-        # Met, or as near as rates within [0, max_rate] come: the residual no longer changes.
-        if np.abs(g).max() < mix.tolerance or steps and np.abs(g - steps[-1]).max() < mix.tolerance / 10:
+    scale = np.maximum(natural, 1e-9)
+    steps, length, best = np.zeros((0, k)), 1.0, np.inf
+    for _ in range(mix.most_steps):
+        got, gram = totals(steps, True)
+        miss = got - want
+        error = float(np.abs(miss / scale).max())
+        if error >= best:  # the last step led no nearer: take half of it
+            length /= 2
+            steps[-1] /= 2
+            if length < 1 / 64:
+                steps = steps[:-1]
+                break
+            continue
+        if error < mix.tolerance or best - error < mix.tolerance / 10 * best and best < np.inf:
             break
-        steps.append(g)
-    return Fitted(weights, slopes, bias, np.array(steps).reshape(-1, len(DOMAINS)), mix.max_rate), scored
+        best, length = error, 1.0
+        steps = np.vstack([steps, np.linalg.solve(gram + np.diag(1e-6 * scale), miss)])
+    return Fitted(weights, slopes, bias, steps, mix.max_rate), scored
 
 
 def rate(scored: DataFrame, fitted: Fitted) -> DataFrame:
