@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomfield.llm import chat_format, jaccard_join, license_scan, quality_rules, secret_scan, sentencepiece_codec, source_mixing, warc
+from loomfield.llm import chat_format, graph_search, jaccard_join, license_scan, quality_rules, secret_scan, sentencepiece_codec, source_mixing, warc
 
 #: The public vocabulary that the queries use; any other SentencePiece model file will do.
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
@@ -20,6 +20,10 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.round_trip(_table(spark, sf_dir, "documents"), sentencepiece_codec.model_bytes(spark, MODEL_PATH))
 
 
+def op2_graph_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph_search.nearest(_table(spark, sf_dir, "embeddings"))
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.report(_table(spark, sf_dir, "documents"))
 
@@ -49,7 +53,8 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sentencepiece, op3_secret_scan, op4_jaccard_join, op5_quality_rules, op6_chat_format, op7_source_mixing, op8_license_scan, op10_warc)}
+    found = (op1_sentencepiece, op2_graph_search, op3_secret_scan, op4_jaccard_join, op5_quality_rules, op6_chat_format, op7_source_mixing, op8_license_scan, op10_warc)
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
