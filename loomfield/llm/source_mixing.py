@@ -212,7 +212,9 @@ def fit(docs: DataFrame, labels: DataFrame, mix: Mix = Mix()) -> tuple[Fitted, D
                 if batch.num_rows:
                     p, t = fitted.posteriors(_z_of(batch.column(1))), batch.column(0).to_numpy().astype(float)
                     r = rates_after(p, steps, mix.max_rate) if rated else np.ones(len(p))
-                    free = t * ((r > 0) & (r < mix.max_rate)) if rated else t
+                    # At a bound a rate counts as free if the last step pulls it back.
+                    pull = p @ steps[-1] if len(steps) else np.zeros(len(p))
+                    free = t * ((r > 0) & (r < mix.max_rate) | (r > 0) & (pull > 0) | (r <= 0) & (pull < 0)) if len(steps) else t
                     total[:k] += (t * r) @ p
                     total[k:] += ((p * free[:, None]).T @ p).ravel()
             yield pa.RecordBatch.from_arrays([pa.array(range(len(total)), pa.int32()), pa.array(total)], names=["at", "total"])
@@ -234,7 +236,7 @@ def fit(docs: DataFrame, labels: DataFrame, mix: Mix = Mix()) -> tuple[Fitted, D
         if error >= best:  # the last step led no nearer: take half of it
             length /= 2
             steps[-1] /= 2
-            if length < 1 / 64:
+            if length < 1 / 256:
                 steps = steps[:-1]
                 break
             continue
