@@ -33,8 +33,9 @@ NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 #: Texts are handed to the encoder in batches of about so many bytes, and longer texts in parts of this size.
 PART_BYTES = 1 << 18
-#: Verified words kept by a task; beyond it the set starts anew (words are then only compared again).
-SEEN_WORDS = 1_000_000
+#: Words that a worker remembers: beyond it the table becomes the older one, words used again move over from there, and the
+#: others are forgotten (and, when they come back, encoded and compared again). Twice as many are held at most.
+SEEN_WORDS = 200_000
 
 
 def proto_fields(data: bytes) -> Iterator[tuple[int, object]]:
@@ -173,6 +174,7 @@ class Codec:
         self.stretches = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+").findall
         #: Ids by word, without the word's first marker; as 32-bit ints in byte strings, which the garbage collector skips.
         self.ids: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.differs: set[str] = set()
         spelled = [
             {UNKNOWN: " ⁇ ".encode(), CONTROL: b"", BYTE: bytes([int(p[3:5], 16)]) if kind == BYTE else b""}.get(kind, p.replace(MARK, " ").encode())
@@ -210,10 +212,13 @@ class Codec:
             want = self.truth.encode(texts, num_threads=self.threads)
             return [array("i", w).tobytes() for w in want], [a != b for a, b in zip(got, want, strict=True)]
         if len(self.ids) > SEEN_WORDS:
-            self.ids.clear()
-            self.differs.clear()
+            self.older, self.ids = self.ids, {}
         split = [self.words(t) for t in texts]
-        if new := set().union(*split) - self.ids.keys():
+        new = set().union(*split) - self.ids.keys()
+        if again := new & self.older.keys():
+            self.ids.update((w, self.older[w]) for w in again)
+            new -= again
+        if new:
             self.learn(list(new))
         known = self.ids.__getitem__
         rows, repaired = [b"".join(map(known, own)) for own in split], [False] * len(texts)
@@ -274,10 +279,11 @@ def _parts(column, most: int) -> Iterator[tuple[int, int]]:
         yield start, len(sizes)
 
 
-def encode(df: DataFrame, model: bytes, text: str = "text", ids: str = "ids", repaired: str = "n_repaired", threads: int = 2) -> DataFrame:
-    """``df`` with the ids of ``text`` (array of int) and whether SentencePiece's own ids had to be used (0 or 1)."""
+def encode(df: DataFrame, model: bytes, text: str = "text", ids: str = "ids", repaired: str = "n_repaired", threads: int = 2, keep_text: bool = True) -> DataFrame:
+    """``df`` with the ids of ``text`` (array of int) and whether SentencePiece's own ids had to be used (0 or 1); without
+    ``keep_text`` the text itself does not come back from the tasks."""
     kept = df.select([df[c] for c in df.columns if c not in (ids, repaired)])
-    schema = T.StructType(kept.schema.fields + [T.StructField(ids, T.ArrayType(T.IntegerType(), False), False), T.StructField(repaired, T.IntegerType(), False)])
+    schema = T.StructType([f for f in kept.schema.fields if keep_text or f.name != text] + [T.StructField(ids, T.ArrayType(T.IntegerType(), False), False), T.StructField(repaired, T.IntegerType(), False)])
     at = kept.columns.index(text)
 
     def run(batches):
@@ -291,8 +297,9 @@ def encode(df: DataFrame, model: bytes, text: str = "text", ids: str = "ids", re
                 offsets = np.zeros(len(rows) + 1, np.int32)
                 np.cumsum([len(r) // 4 for r in rows], out=offsets[1:])
                 flat = np.frombuffer(b"".join(rows), np.int32)
+                own_columns = [c for i, c in enumerate(part.columns) if keep_text or i != at]
                 yield pa.RecordBatch.from_arrays(
-                    [*part.columns, pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), pa.array(np.array(odd, np.int32))], names=schema.names
+                    [*own_columns, pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), pa.array(np.array(odd, np.int32))], names=schema.names
                 )
 
     return kept.mapInArrow(run, schema)
