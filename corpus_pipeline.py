@@ -39,7 +39,8 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document."""
-    done = sentencepiece_codec.encode(docs, sentencepiece_codec.model_bytes(spark, MODEL_PATH))
+    named = docs.select("doc_id", "lang", "source", "text")
+    done = sentencepiece_codec.encode(named, sentencepiece_codec.model_bytes(spark, MODEL_PATH), keep_text=False)
     return done.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids")
 
 
