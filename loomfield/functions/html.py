@@ -8,6 +8,7 @@ from urllib.parse import urldefrag, urljoin, urlparse
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Tags whose content goes, whose ends or starts break lines, and how much is kept.
 DROPPED = "script|style|noscript|template|svg|head"
@@ -19,7 +20,7 @@ OTHER_PATH = r"(?i)/(?:saved|login|sign-?in|account|search|alerts?|talent-?commu
 ASSET = r"(?i)\.(?:png|jpe?g|gif|svg|webp|pdf|css|js|ico|zip|xml|json)$"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _unescape(texts: pd.Series) -> pd.Series:
     """Character references, nested up to three deep: Spark has no function for the table of names."""
 
@@ -59,7 +60,7 @@ def job_links(page: Column, html: Column) -> Column:
     return F.slice(F.array_distinct(good), 1, MOST_LINKS)
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def _absolute(pages: pd.Series, links: pd.Series) -> pd.Series:
     def one(page, hrefs):
         host, out = urlparse(page or "").netloc.lower(), []

@@ -154,18 +154,17 @@ def skills(rows: DataFrame, key: str, text: str, dictionary: DataFrame) -> DataF
     """(key, skill, importance) of the dictionary's terms (term, skill) that a text names as whole words, up to four words
     long. Lines under a heading, or with a cue, for extras make a skill nice to have; must outranks nice. Words are
     exploded and joined, so the dictionary may be of any size."""
-    line = F.posexplode(F.split(F.left(F.coalesce(text, F.lit("")), F.lit(SCAN)), "\n")).alias("line", "said")
     nice_head = r"(?i)^\W*(?:nice[- ]to[- ]have|preferred|bonus|good[- ]to[- ]have|plus(?:es)?)\b"
     must_head = r"(?i)^\W*(?:requirements?|must[- ]have|required|qualifications?|what\s+you\s+need)\b"
-    lines = rows.select(key, line)
-    heads = F.filter(F.transform(F.split(F.left(F.coalesce(text, F.lit("")), F.lit(SCAN)), "\n"), lambda s, i: F.struct(i.alias("i"), F.when(s.rlike(nice_head), "nice").when(s.rlike(must_head), "must").alias("kind"))), lambda x: x["kind"].isNotNull())
-    lines = rows.select(key, heads.alias("heads"), line)
-    section = F.element_at(F.filter("heads", lambda h: h["i"] <= F.col("line")), -1)["kind"]
+    said = F.transform(F.split(scanned(F.col(text)), "\n"), lambda s, i: F.struct(i.alias("line"), s.alias("said"), F.when(s.rlike(nice_head), "nice").when(s.rlike(must_head), "must").alias("head")))
+    lines = rows.select(key, said.alias("all")).withColumn("heads", F.filter("all", lambda x: x["head"].isNotNull())).select(key, "heads", F.inline("all"))
+    section = F.element_at(F.filter("heads", lambda h: h["line"] <= F.col("line")), -1)["head"]
+    lines = lines.withColumn("section", F.when(F.exists("heads", lambda h: h["line"] <= F.col("line")), section))
     near = F.col("said").rlike(r"(?i)\b(?:nice\s+to\s+have|preferred|a\s+plus|bonus)\b")
     words = F.filter(F.split(F.lower("said"), r"[^\p{L}\p{N}+#.]+"), lambda w: w != "")
     cleaned = F.transform(words, lambda w: F.regexp_replace(w, r"\.+$", ""))
     spans = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(4)), lambda n: F.transform(F.filter(F.sequence(F.lit(1), F.greatest(F.size("w"), F.lit(1))), lambda i: i + n - 1 <= F.size("w")), lambda i: F.array_join(F.slice("w", i, n), " "))))
-    said = lines.withColumn("w", cleaned).select(key, F.when(near, "nice").otherwise(F.coalesce(F.try_element_at(F.array(section), F.lit(1)), F.lit("must"))).alias("importance"), F.explode(F.array_distinct(spans)).alias("term"))
+    said = lines.withColumn("w", cleaned).select(key, F.when(near, "nice").otherwise(F.coalesce("section", F.lit("must"))).alias("importance"), F.explode(F.array_distinct(spans)).alias("term"))
     return said.join(dictionary.select(F.lower("term").alias("term"), "skill"), "term").groupBy(key, "skill").agg(F.min("importance").alias("importance"))
 
 
