@@ -2,7 +2,7 @@
 
 The result is exact: a byte goes if a string of ``LENGTH`` bytes over it also starts earlier (in a smaller document, or in
 the same one further left). Suffixes are sampled where the content says so: every window of LENGTH bytes picks the start of
-its least-hashed ``SYMBOL`` bytes, so equal windows pick the same place, and about one byte in 35 is a suffix. The rows of
+its least-hashed ``SYMBOL`` bytes, so equal windows pick the same place, and about one byte in 27 is a suffix. The rows of
 all shards' suffixes are then interleaved by context and refined in rounds, as in merging Burrows-Wheeler transforms: a
 round splits blocks by more context, and a suffix alone in its block retires, for it has no common prefix of that length
 with any other. Round 1 splits by the symbol at the suffix, round 2 by the whole context of the windows that picked it (left
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from loomfield.llm import common
 from loomfield.llm.common import byte_slices, maybe_broadcast, mixed, text_bytes, written
 
-LENGTH, SYMBOL = 100, 32
+LENGTH, SYMBOL = 100, 48
 #: Bytes that are hashed at a time; longer texts are cut into overlapping pieces.
 PIECE = 1 << 20
 #: Stands for a null id, before all others.
@@ -148,7 +148,7 @@ def removed(docs: DataFrame, length: int = LENGTH, symbol: int = SYMBOL) -> Data
     rows = firsts.mapInArrow(sample, "sym long, context long, doc long, windows long")
     # Rounds 1 and 2 in one exchange: blocks of one symbol, split by context. Of a block of round 2 the first member stays.
     nth = F.rank().over(W.partitionBy("sym", "context").orderBy("doc", "windows"))
-    ranked = rows.withColumn("nth", nth).withColumn("blocks", F.sum(F.when(F.col("nth") == 1, 1).otherwise(0)).over(W.partitionBy("sym")))
+    ranked = rows.repartition("sym").withColumn("nth", nth).withColumn("blocks", F.sum(F.when(F.col("nth") == 1, 1).otherwise(0)).over(W.partitionBy("sym")))
     shared = written(ranked.where("nth > 1 or blocks > 1").select("sym", "doc", "windows", (F.col("nth") > 1).alias("later")), "suffix-blocks")
     start, count = F.shiftright("windows", 7), F.col("windows").bitwiseAND(127)
     whole = shared.where("later").select("doc", start.alias("a"), (start + count - 1 + length).alias("z"))
