@@ -83,7 +83,7 @@ def feed_newest_copy_by_join(t: Tables) -> DataFrame:
 
 
 _SKILLS_SQL = """
-skills as (select distinct l_orderkey, p_brand || ' ' || p_type as skill, case when l_returnflag = 'R' then 'must' else 'nice' end as importance, p_type = (select min(p_type) from part) as general
+skills as (select distinct l_orderkey, p_brand || ' ' || p_type as skill, case when l_returnflag = 'R' then 'must' else 'nice' end as importance, p_type = 'ECONOMY' as general
   from lineitem join part on l_partkey = p_partkey),
 best as (select l_orderkey, skill, min(importance) as importance, bool_or(general) as general from skills group by all),
 mine(skill) as (select distinct p_brand || ' ' || p_type from part where p_partkey % 3 = 0)"""
@@ -91,8 +91,7 @@ mine(skill) as (select distinct p_brand || ' ' || p_type from part where p_partk
 
 def posting_skills(t: Tables) -> DataFrame:
     """(l_orderkey, skill, importance, general): must outranks nice. The part side is small next to the lines."""
-    general = t.part.agg(F.min("p_type").alias("general_type"))
-    parts = t.part.select("p_partkey", F.concat_ws(" ", "p_brand", "p_type").alias("skill"), "p_type").join(F.broadcast(general)).select("p_partkey", "skill", (F.col("p_type") == F.col("general_type")).alias("general"))
+    parts = t.part.select("p_partkey", F.concat_ws(" ", "p_brand", "p_type").alias("skill"), (F.col("p_type") == "ECONOMY").alias("general"))
     lines = t.lineitem.select("l_orderkey", "l_partkey", F.when(F.col("l_returnflag") == "R", "must").otherwise("nice").alias("importance"))
     return lines.join(parts, F.col("l_partkey") == F.col("p_partkey")).groupBy("l_orderkey", "skill").agg(F.min("importance").alias("importance"), F.bool_or("general").alias("general"))
 
