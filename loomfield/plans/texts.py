@@ -186,3 +186,13 @@ def rule_fields(t: Tables) -> DataFrame:
     from loomfield.functions import rules
 
     return t.documents.select("doc_id", rules.extract(F.lit(""), F.col("text")).alias("f")).select("doc_id", "f.*")
+
+
+@query()
+def decided_documents(t: Tables) -> DataFrame:
+    """All decisions on each document, its first line standing for a title."""
+    from loomfield.operators import ladder
+
+    rows = t.documents.select("doc_id", F.substring_index("text", "\n", 1).alias("title"), F.col("text").alias("description"))
+    done = ladder.decide(rows)
+    return done.select("doc_id", "employment_kind", "role_family", "india_eligible", "entry_level", F.array_join("flags", ",").alias("flags"), F.array_join("labels", ",").alias("labels"), "decision_key")
