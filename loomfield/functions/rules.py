@@ -45,10 +45,12 @@ def scanned(text: Column) -> Column:
 
 
 def _chain(text: Column, pattern: str, groups: int) -> Column:
-    """Array of matches: ``before`` (the text since the last match) and the groups ``g1`` to ``gN``."""
+    """Array of matches: ``before`` (the text since the last match) and the groups ``g1`` to ``gN``; null without any."""
     whole = rf"(?s)\G(.*?)(?:{pattern})"
     parts = [F.regexp_extract_all(text, F.lit(whole), F.lit(i)).alias("before" if i == 1 else f"g{i - 1}") for i in range(1, groups + 2)]
-    return F.arrays_zip(*parts)
+    # Texts without a match cost one search instead of one for each group.
+    zipped = F.arrays_zip(*parts)
+    return F.when(text.rlike(pattern), zipped)
 
 
 def _lookup(table: dict, key: Column) -> Column:
@@ -147,7 +149,7 @@ def languages(text: Column) -> Column:
     rows = _chain(scanned(text), pattern, 2)
     nice = r"(?i)\b(?:plus|advantage|bonus|asset|nice[- ]to[- ]have|preferred|desirable|optional|not\s+required)\b"
     hard = F.filter(rows, lambda m: ~m["g2"].rlike(nice) & ~F.right(m["before"], F.lit(40)).rlike(rf"{nice}[^.\n]*$"))
-    return F.array_sort(F.array_distinct(F.transform(hard, lambda m: F.lower(m["g1"]))))
+    return F.coalesce(F.array_sort(F.array_distinct(F.transform(hard, lambda m: F.lower(m["g1"])))), F.expr("cast(array() as array<string>)"))
 
 
 def skills(rows: DataFrame, key: str, text: str, dictionary: DataFrame) -> DataFrame:

@@ -82,15 +82,16 @@ def decide(rows: DataFrame) -> DataFrame:
     title, text = F.coalesce(col("title"), F.lit("")), col("description")
     seniority = F.coalesce(col("seniority"), decisions.level(title))
     kind = decisions.employment_kind(title, text, F.array_join(col("employment_type", "array<string>"), ","), seniority)
-    counts = tx.language_counts(text)
-    labels = F.array_compact(F.array(F.when(kind == "contract", "freelance"), F.when(tx.is_non_english(**counts), "not_in_english")))
-    years = rules.experience(text)
-    return rows.withColumns({
-        "employment_kind": kind, "role_family": decisions.role_family(title),
+    # What several decisions use is computed in a projection of its own, once per row.
+    own = rows.withColumns({"_kind": kind, "_level": seniority, "_years": rules.experience(text), "_counts": F.struct(*[c.alias(k) for k, c in tx.language_counts(text).items()]), "_languages": rules.languages(text)})
+    counts = {k: F.col("_counts")[k] for k in ("words", "letters", "non_latin", "english", "foreign")}
+    labels = F.array_compact(F.array(F.when(F.col("_kind") == "contract", "freelance"), F.when(tx.is_non_english(**counts), "not_in_english")))
+    return own.withColumns({
+        "employment_kind": F.col("_kind"), "role_family": decisions.role_family(title),
         "india_eligible": decisions.india_eligible(title, text, col("eligible_countries", "array<string>"), col("eligibility_scope"), col("work_auth_required", "array<string>"), col("remote_type"), located),
-        "entry_level": decisions.entry_level(seniority, years["least"], years["most"], kind),
-        "flags": F.array_distinct(F.concat(decisions.flags(text), F.transform(rules.languages(text), lambda x: F.concat(F.lit("language_"), x)))), "labels": labels, "decision_key": F.lit(f"decide:{VERSION}"),
-    })
+        "entry_level": decisions.entry_level(F.col("_level"), F.col("_years")["least"], F.col("_years")["most"], F.col("_kind")),
+        "flags": F.array_distinct(F.concat(decisions.flags(text), F.transform("_languages", lambda x: F.concat(F.lit("language_"), x)))), "labels": labels, "decision_key": F.lit(f"decide:{VERSION}"),
+    }).drop("_kind", "_level", "_years", "_counts", "_languages")
 
 
 def decide_pending(postings: DataFrame) -> DataFrame:
