@@ -42,6 +42,13 @@ def maybe_broadcast(table: DataFrame) -> DataFrame:
     return F.broadcast(table) if table_bytes(table) <= BROADCAST_BYTES else table.hint("merge")
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Hold the session's Arrow batches to so many rows: whole texts make the usual 10 000 too large for small executors."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 # --- words of Arrow text columns, as arrays -------------------------------------------------------------------------
 
 _P = np.uint64(0x9E3779B97F4A7C15 | 1)

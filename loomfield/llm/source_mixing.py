@@ -21,9 +21,8 @@ from dataclasses import dataclass, field
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from loomfield.llm.common import byte_slices, maybe_broadcast, mixed, space_table, text_bytes, words_in, written
+from loomfield.llm.common import byte_slices, maybe_broadcast, mixed, small_batches, space_table, text_bytes, words_in, written
 
 DOMAINS = ("clean", "low", "toxic")
 WORD_BUCKETS, SHAPE_BUCKETS = 1 << 14, 1 << 10
@@ -113,27 +112,29 @@ def log_odds(counts: np.ndarray) -> np.ndarray:
     return out
 
 
+def scores_of(column, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Words of each text of an Arrow column, and by domain the sum of their log-odds over the root of their number."""
+    words, shapes, text = tokens_of(column)
+    n = np.bincount(text, minlength=len(column))
+    z = np.stack([np.bincount(text, weights[words, d] + weights[shapes, d], len(column)) for d in range(len(DOMAINS))], 1)
+    return n, z / np.sqrt(np.maximum(n, 1))[:, None]
+
+
 def score(df: DataFrame, weights: np.ndarray) -> DataFrame:
-    """``df`` with ``_tokens`` (words of ``text``) and ``_z``: by domain, the sum of its words' log-odds over the root
-    of their number."""
-    kept = df.select([df[c] for c in df.columns if c not in ("_tokens", "_z")])
-    at = kept.columns.index("text")
-    schema = T.StructType([*kept.schema.fields, T.StructField("_tokens", T.LongType()), T.StructField("_z", T.ArrayType(T.DoubleType()))])
+    """(doc_id, _tokens, _z) of the rows (doc_id, text)."""
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            for a, b in byte_slices(batch.column(at)):
+            for a, b in byte_slices(batch.column(1)):
                 part = batch.slice(a, b - a)
-                words, shapes, text = tokens_of(part.column(at))
-                n = np.bincount(text, minlength=part.num_rows)
-                z = np.stack([np.bincount(text, weights[words, d] + weights[shapes, d], part.num_rows) for d in range(len(DOMAINS))], 1)
-                z /= np.sqrt(np.maximum(n, 1))[:, None]
+                n, z = scores_of(part.column(1), weights)
                 lists = pa.FixedSizeListArray.from_arrays(pa.array(z.ravel()), len(DOMAINS)).cast(pa.list_(pa.float64()))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(n.astype(np.int64)), lists], names=schema.names)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n.astype(np.int64)), lists], names=["doc_id", "_tokens", "_z"])
 
-    return kept.mapInArrow(run, schema)
+    own = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return own.mapInArrow(run, "doc_id long, _tokens long, _z array<double>")
 
 
 def calibrate(z: np.ndarray, domain: np.ndarray, steps: int = 400) -> tuple[np.ndarray, np.ndarray]:
@@ -192,7 +193,7 @@ def fit(docs: DataFrame, labels: DataFrame, mix: Mix = Mix()) -> tuple[Fitted, D
     """The fitted mix, and the written table of (doc_id, _tokens, _z) that it was fitted on."""
     known = written(labelled(labels), "mixing-labels")
     weights = word_weights(docs, known)
-    scored = written(score(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), weights).drop("text"), "mixing-scores")
+    scored = written(score(docs, weights), "mixing-scores")
     held = _split(known).where("not train").orderBy(F.xxhash64("doc_id", F.lit(1))).limit(CALIBRATION_ROWS).select("doc_id", "domain")
     rows = scored.join(maybe_broadcast(written(held, "mixing-held")), "doc_id").select("domain", "_z").limit(2 * CALIBRATION_ROWS).collect()
     slopes, bias = calibrate(np.array([r._z for r in rows]).reshape(-1, len(DOMAINS)), np.array([r.domain for r in rows], np.int64))
@@ -247,38 +248,52 @@ def fit(docs: DataFrame, labels: DataFrame, mix: Mix = Mix()) -> tuple[Fitted, D
     return Fitted(weights, slopes, bias, steps, mix.max_rate), scored
 
 
+def copies_of(ids, r: np.ndarray) -> np.ndarray:
+    """Whole copies for rates: rounded down or up by a fixed hash of the id, so that they are right on average."""
+    import pyarrow as pa
+
+    key = ids.cast(pa.int64()).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.uint64)
+    with np.errstate(over="ignore"):
+        u = (mixed(key * np.uint64(0x9E3779B97F4A7C15) + np.uint64(17)) >> np.uint64(11)).astype(np.float64) / float(1 << 53)
+    return np.floor(r + u).astype(np.int64)
+
+
 def rate(scored: DataFrame, fitted: Fitted) -> DataFrame:
-    """``scored`` with the posteriors, the rate and the whole copies in place of ``_z``."""
-    kept = [f for f in scored.schema.fields if f.name != "_z"]
-    schema = T.StructType([*kept, *[T.StructField(f"p_{d}", T.DoubleType()) for d in DOMAINS], T.StructField("rate", T.DoubleType()), T.StructField("copies", T.LongType())])
-    at, ids = scored.columns.index("_z"), scored.columns.index("doc_id")
+    """(doc_id, n_tokens, posteriors, rate, copies) of the rows (doc_id, _tokens, _z)."""
+    names = ["doc_id", "n_tokens", *[f"p_{d}" for d in DOMAINS], "rate", "copies"]
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            p = fitted.posteriors(_z_of(batch.column(at))) if batch.num_rows else np.zeros((0, len(DOMAINS)))
+            p = fitted.posteriors(_z_of(batch.column(2))) if batch.num_rows else np.zeros((0, len(DOMAINS)))
             r = fitted.rates(p)
-            key = batch.column(ids).fill_null(-1).cast(pa.int64()).to_numpy().astype(np.uint64)
-            with np.errstate(over="ignore"):
-                u = (mixed(key * np.uint64(0x9E3779B97F4A7C15) + np.uint64(17)) >> np.uint64(11)).astype(np.float64) / float(1 << 53)
-            copies = np.floor(r + u).astype(np.int64)
-            own = [batch.column(i) for i in range(batch.num_columns) if i != at]
-            yield pa.RecordBatch.from_arrays([*own, *[pa.array(p[:, d]) for d in range(len(DOMAINS))], pa.array(r), pa.array(copies)], names=schema.names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(p[:, d]) for d in range(len(DOMAINS))], pa.array(r), pa.array(copies_of(batch.column(0), r))], names=names)
 
-    return scored.mapInArrow(run, schema)
+    return scored.mapInArrow(run, f"doc_id long, n_tokens long, {', '.join(f'p_{d} double' for d in DOMAINS)}, rate double, copies long")
 
 
 def report(docs: DataFrame, labels: DataFrame, mix: Mix = Mix()) -> DataFrame:
     """Tokens, posteriors, rate and copies per row of ``docs``."""
     fitted, scored = fit(docs, labels, mix)
-    return rate(scored, fitted).withColumnRenamed("_tokens", "n_tokens")
+    return rate(scored, fitted)
 
 
 def sample(docs: DataFrame, labels: DataFrame, mix: Mix = Mix()) -> DataFrame:
-    """``docs`` with each row as often as its copies say. Texts are scored again rather than shuffled."""
+    """``docs`` with each row as often as its copies say. Texts are scored again, and rows repeated, in one narrow pass,
+    rather than shuffled."""
     fitted, _ = fit(docs, labels, mix)
-    names = docs.columns
-    own = docs.select(F.struct(*names).alias("_row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rated = rate(score(own, fitted.weights).drop("text"), fitted).where("copies > 0")
-    return rated.select("_row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*[F.col("_row")[c].alias(c) for c in names])
+    at, ids = docs.columns.index("text"), docs.columns.index("doc_id")
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for a, b in byte_slices(batch.column(at)):
+                part = batch.slice(a, b - a)
+                _, z = scores_of(part.column(at), fitted.weights)
+                copies = copies_of(part.column(ids), fitted.rates(fitted.posteriors(z)))
+                yield part.take(pa.array(np.repeat(np.arange(part.num_rows), copies)))
+
+    small_batches(docs.sparkSession)
+    return docs.mapInArrow(run, docs.schema)
