@@ -28,6 +28,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loomfield.llm.common import small_batches
+
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
@@ -35,7 +37,7 @@ UNIGRAM, BPE = 1, 2
 PART_BYTES = 1 << 18
 #: Words that a worker remembers: beyond it the table becomes the older one, words used again move over from there, and the
 #: others are forgotten (and, when they come back, encoded and compared again). Twice as many are held at most.
-SEEN_WORDS = 200_000
+SEEN_WORDS = 100_000
 
 
 def proto_fields(data: bytes) -> Iterator[tuple[int, object]]:
@@ -302,6 +304,7 @@ def encode(df: DataFrame, model: bytes, text: str = "text", ids: str = "ids", re
                     [*own_columns, pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), pa.array(np.array(odd, np.int32))], names=schema.names
                 )
 
+    small_batches(df.sparkSession)
     return kept.mapInArrow(run, schema)
 
 
@@ -327,6 +330,7 @@ def decode(df: DataFrame, model: bytes, ids: str = "ids", text: str = "decoded",
                 said = own.decode(values, offsets - offsets[0])
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(said, pa.string())], names=schema.names)
 
+    small_batches(df.sparkSession)
     return kept.mapInArrow(run, schema)
 
 
