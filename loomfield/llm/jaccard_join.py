@@ -294,12 +294,12 @@ def groups_of(edges: DataFrame) -> DataFrame:
 
 
 def links(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    """One row per document (row with an id): doc_id, class_id (smallest id with this very text), group_id (smallest id in
-    its component of links), n_links (other documents with a similarity of ``threshold`` or more, copies among them) and
-    n_class_links (other texts among them)."""
+    """One row per document (row with an id): doc_id, class_id (the smallest id that links, direct or not, lead to), copy_id
+    (the smallest id with this very text), n_links (other documents with a similarity of ``threshold`` or more, copies among
+    them) and n_text_links (other texts among them)."""
     bands, rows = choose_bands(threshold, recall)
     signed = written(signatures(docs, bands, rows), "jaccard-signatures")
-    classes = written(signed.groupBy("k").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("n"), F.first("sig").alias("sig")), "jaccard-classes")
+    classes = written(signed.groupBy("k").agg(F.min("doc_id").alias("copy_id"), F.count("*").alias("n"), F.first("sig").alias("sig")), "jaccard-classes")
 
     banded = classes.select("k", F.posexplode("sig").alias("band", "bucket"))
     members = banded.withColumn("m", F.count("*").over(W.partitionBy("bucket", "band"))).where("m > 1")
@@ -317,24 +317,24 @@ def links(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL)
     order = ["bucket", "band", "i", "j", "side", "k", "n", "sig"]
     kind = T.StructType([weighted.schema[c] for c in order])
     meeting = written(by_unit(weighted.select(order)).mapInArrow(_meeting, kind), "jaccard-meeting")
-    wanted = written(meeting.select("k").distinct().join(classes, "k").select("k", F.col("class_id").alias("doc_id")), "jaccard-wanted")
+    wanted = written(meeting.select("k").distinct().join(classes, "k").select("k", F.col("copy_id").alias("doc_id")), "jaccard-wanted")
     full = meeting.join(_sets(docs, wanted), "k").select(*order, "shingles")
     linked = written(by_unit(full).mapInArrow(_linking(threshold), LINKS), "jaccard-links")
 
     roots = groups_of(linked)
     degrees = linked.groupBy("k").agg(F.sum("classes").alias("classes"), F.sum("documents").alias("documents"))
-    grouped = roots.join(classes.select("k", "class_id"), "k").groupBy("root").agg(F.min("class_id").alias("group_id"))
-    per_class = roots.join(grouped, "root").join(degrees, "k", "left").select("k", "group_id", "classes", "documents")
-    known = classes.select("k", "class_id", "n").join(per_class, "k", "left").select(
-        "k", "class_id", F.coalesce("group_id", "class_id").alias("group_id"),
-        (F.col("n") - 1 + F.coalesce("documents", F.lit(0))).alias("n_links"), F.coalesce("classes", F.lit(0)).alias("n_class_links"),
+    grouped = roots.join(classes.select("k", "copy_id"), "k").groupBy("root").agg(F.min("copy_id").alias("class_id"))
+    per_class = roots.join(grouped, "root").join(degrees, "k", "left").select("k", "class_id", "classes", "documents")
+    known = classes.select("k", "copy_id", "n").join(per_class, "k", "left").select(
+        "k", "copy_id", F.coalesce("class_id", "copy_id").alias("class_id"),
+        (F.col("n") - 1 + F.coalesce("documents", F.lit(0))).alias("n_links"), F.coalesce("classes", F.lit(0)).alias("n_text_links"),
     )
-    return signed.select("k", "doc_id").join(known, "k").select("doc_id", "class_id", "group_id", "n_links", "n_class_links")
+    return signed.select("k", "doc_id").join(known, "k").select("doc_id", "class_id", "copy_id", "n_links", "n_text_links")
 
 
 def drop_near_copies(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` with one document of each group: the one with the smallest id, and of its repeated rows one. Rows without
     an id all stay."""
-    stay = links(docs, threshold).where("doc_id = group_id").select(F.col("doc_id").alias("_stay")).distinct()
+    stay = links(docs, threshold).where("doc_id = class_id").select(F.col("doc_id").alias("_stay")).distinct()
     kept = docs.join(stay, docs["doc_id"].cast("long") == F.col("_stay"), "left_semi").dropDuplicates(["doc_id"])
     return kept.unionByName(docs.where("doc_id is null"))

@@ -14,7 +14,7 @@ def shingle_set(text):
 
 
 def brute(rows):
-    """rows: (doc_id, text). (class, group, links, class links) by doc_id."""
+    """rows: (doc_id, text). (class, copy, links, text links) by doc_id."""
     sets = [shingle_set(t) for _, t in rows]
     texts = [t or "" for _, t in rows]
     n = len(rows)
@@ -35,7 +35,7 @@ def brute(rows):
         cls = min(rows[b][0] for b in range(n) if texts[b] == texts[a])
         members = [rows[b][0] for b in range(n) if group[b] == group[a]]
         other = {texts[b] for b in np.flatnonzero(near[a])} - {texts[a]}
-        out.append((rows[a][0], cls, min(members), int(near[a].sum()), len(other)))
+        out.append((rows[a][0], min(members), cls, int(near[a].sum()), len(other)))
     return sorted(out)
 
 
