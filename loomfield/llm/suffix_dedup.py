@@ -201,7 +201,8 @@ def _cut(own: DataFrame, odd: DataFrame, gone: DataFrame, length: int) -> DataFr
     size = F.octet_length("text").cast("long")
     flagged = own.join(maybe_broadcast(odd), "k", "left")
     copy = F.col("first").isNotNull() & (F.col("doc") > F.col("first")) & (size >= length)
-    joined = flagged.withColumn("copy", copy).join(maybe_broadcast(gone), "doc", "left")
+    # The spans grow with the texts, so both sides shuffle at every size.
+    joined = flagged.withColumn("copy", copy).join(gone.hint("merge"), "doc", "left")
     # Spans belong to the one text that was searched under an id.
     mine = F.col("first").isNull() | ((F.col("doc") == F.col("first")) & ~F.col("taken"))
     ready = joined.select("doc", F.when(F.col("copy"), F.lit("")).otherwise(F.col("text")).alias("text"), size.alias("n_bytes"), "copy", F.when(mine, F.col("a")).alias("a"), F.when(mine, F.col("z")).alias("z"))
