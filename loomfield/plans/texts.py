@@ -163,7 +163,7 @@ select doc_id, count(*) as blocks, count(*) filter (where length(block) <= 70 an
 def description_blocks(t: Tables) -> DataFrame:
     """Headings, bullets and paragraphs of texts."""
     blocks = F.filter(F.split(F.trim("text"), "\n+"), lambda b: F.trim(b) != "")
-    rows = t.documents.where("doc_id % 2 = 0").select("doc_id", blocks.alias("b"))
+    rows = t.documents.select("doc_id", blocks.alias("b"))
     count = lambda cond: F.size(F.filter("b", cond)).cast("long")
     return rows.where(F.size("b") > 0).select(
         "doc_id", F.size("b").cast("long").alias("blocks"), count(lambda b: (F.length(b) <= 70) & ~b.rlike(r"[.!?,;:]\s*$")).alias("headings"), count(lambda b: b.rlike(r"^\s*[-*•]\s")).alias("bullets")
