@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+import pytest
 
 from loomfield.llm import warc
 
@@ -49,3 +50,46 @@ def test_reachable_is_the_chain_from_the_start():
             here = int(successor[at.tolist().index(here)])
         assert set(at[warc.reachable(at, successor)].tolist()) == want
     assert warc.reachable(np.array([5]), np.array([9])).tolist() == [False]
+
+
+def test_long_urls_do_not_end_a_chain(spark):
+    rows = [(1, "u", "before"), (2, "http://h/" + "a" * 120_000, "long"), (3, "http://h/" + " " * 40_000, BIG), (4, "u", "behind"), (5, "u", "x: WARC/1.1\r\n" * 3000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    assert sorted(tuple(r) for r in warc.round_trip(pages).collect()) == expected(rows)
+
+
+def test_headers_from_kept_lines_are_those_read_alone():
+    rng = random.Random(4)
+    parts = [b"WARC/1.1\r\n", b"a: ", b"Content-Length: 2\r\n", b"b: c\r\n", b"no colon", b"\r\n", b"\r\n\r\n", b"xy", b"\r\n\r\nxy\r\n\r\n"]
+    for _ in range(300):
+        data = b"".join(rng.choice(parts) for _ in range(40))
+        kept, at = warc.Headers(data), data.find(warc.MAGIC)
+        while at >= 0:
+            head, want = data.find(b"\r\n\r\n", at + len(warc.MAGIC)), None
+            if head >= 0:
+                lines = [x.partition(b": ") for x in data[at + len(warc.MAGIC) : head].split(b"\r\n")]
+                want = (head, {k.decode().lower(): v.decode() for k, _, v in lines}) if all(c for _, c, _ in lines) else None
+            assert kept.at(at + len(warc.MAGIC)) == want
+            at = data.find(warc.MAGIC, at + 1)
+
+
+def test_archives_are_bounded_by_bytes(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 100_000, raising=False)
+    rows = [(i, "u", f"{i} " + "y" * 30_000) for i in range(20)] + [(100 + i, "u", f"short {i}") for i in range(30)] + [(200, "u", "z" * 150_000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    warc.write(pages, f"file://{tmp_path}/w")
+    sizes = sorted(p.stat().st_size for p in (tmp_path / "w").glob("part-*"))
+    assert sizes[-2] <= 100_000 and 150_000 < sizes[-1] < 152_000
+    got = warc.read(spark, f"file://{tmp_path}/w").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "intact")
+    assert sorted(tuple(r) for r in got.collect()) == expected(rows)
+
+
+def test_a_chain_that_misses_the_end_is_an_error(spark, tmp_path):
+    pages = spark.createDataFrame([(i, "u", f"page {i}") for i in range(5)], "page_id long, url string, html string").coalesce(1)
+    warc.write(pages, f"file://{tmp_path}/w")
+    part = next((tmp_path / "w").glob("part-*")).read_bytes()
+    for name, data in {"cut": part[:-3], "more": part + b"more", "none": b"no record"}.items():
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "a.warc").write_bytes(data)
+        with pytest.raises(Exception, match="chain of records ends"):
+            warc.read(spark, f"file://{tmp_path}/{name}").collect()
