@@ -40,7 +40,7 @@ INTERN_TITLE = r"(?i)\bintern(?:s|ship)?\b|\bsummer\s+analyst\b|\bstagiair\w*|\b
 TRAINEE_TITLE = r"(?i)\b(?:trainee|apprentice(?:ship)?)\b"
 REAL_JOB = r"(?i)\bfull[- ]?time\b|\bpermanent\b|\bppo\b|\bpre[- ]placement\s+offer\b|\bconversion\b|\bctc\b|\blpa\b|\bper\s+annum\b|\bsalary\b|\bconfirmed\s+(?:as|into)\b"
 STIPEND = r"(?i)\bstipend\b"
-FIXED_TRAINING = r"(?i)\b\d{1,2}\s*[- ]?\s*(?:months?|weeks?)\b[^.\n]{0,30}\b(?:training|trainee|internship|apprentice\w*|program(?:me)?)\b|\b(?:training|trainee|internship|apprentice\w*)\b[^.\n]{0,30}\b\d{1,2}\s*[- ]?\s*(?:months?|weeks?)\b"
+FIXED_TRAINING = r"(?i)\b\d{1,2}\s*+[- ]?\s*+(?:months?|weeks?)\b[^.\n]{0,30}\b(?:training|trainee|internship|apprentice\w*|program(?:me)?)\b|\b(?:training|trainee|internship|apprentice\w*)\b[^.\n]{0,30}\b\d{1,2}\s*+[- ]?\s*+(?:months?|weeks?)\b"
 VOLUNTEER = r"(?i)\bvolunteer\s+(?:position|basis)\b|\bthis\s+is\s+a\s+volunteer\b|\bon\s+a\s+volunteer\b|\bunpaid\b|\bno\s+(?:salary|stipend|pay|compensation)\b"
 UNPAID_BENEFIT = r"(?i)\bunpaid\s+(?:leave|time\s+off|vacation|holidays?|pto|sabbatical|breaks?)\b"
 PART_TIME = r"(?i)\bpart[- ]?time\b(?=[^.\n]{0,40}\b(?:role|position|job|basis|opportunity|contract|work|hours)\b)|\b(?:role|position|job)\s+is\s+part[- ]?time\b"
@@ -53,7 +53,6 @@ AUTH_ALWAYS = ("security_clearance", "citizenship", "eu_work_permit")
 #: Wording that excludes India, and words of regions without it.
 NOT_INDIA = r"(?i)\b(?:not|cannot|can't|unable\s+to)\s+(?:be\s+)?(?:hir\w+|accept\w*|consider\w*|open|available|employ\w*)[^.\n]{0,40}\bindia\b|\b(?:except|excluding|outside\s+of)\s+india\b"
 TITLE_ONLY = r"(?i)\b(us|usa|uk|canada|germany|europe|european|emea|eu|latam|americas|american|nordic|dach|benelux)[-\s](?:based|only|residents?|citizens?)\b"
-SCAN = 6000
 
 
 def role_family(title: Column) -> Column:
@@ -82,7 +81,7 @@ def stated_kind(value: Column) -> Column:
 
 def employment_kind(title: Column, description: Column, stated: Column, seniority: Column) -> Column:
     """Kind of employment by ordered evidence: intern titles, trainees, stated types, wording of the description."""
-    text = F.left(F.coalesce(description, F.lit("")), F.lit(SCAN))
+    text = F.coalesce(description, F.lit(""))
     cleaned, kind, head = F.regexp_replace(text, UNPAID_BENEFIT, " "), stated_kind(stated), F.coalesce(title, F.lit(""))
     trainee, real, full = head.rlike(TRAINEE_TITLE), text.rlike(REAL_JOB), kind.eqNullSafe("full_time")
     return (
@@ -119,7 +118,7 @@ def eligible_from_fields(country: str, countries: Column, scope: Column, auth: C
 def india_eligible(title: Column, description: Column, countries: Column, scope: Column, auth: Column, remote: Column, located: Column) -> Column:
     """yes, no or unknown, by ordered rules. ``located``: countries of the posting's places."""
     head = F.coalesce(title, F.lit(""))
-    text = F.concat_ws("\n", head, F.left(F.coalesce(description, F.lit("")), F.lit(20_000)))
+    text = F.concat_ws("\n", head, F.coalesce(description, F.lit("")))
     none = F.expr("cast(array() as array<string>)")
     named, blocked = F.array_contains(F.transform(F.coalesce(countries, none), F.upper), "IN"), _blocked(auth, "IN")
     return (
@@ -155,9 +154,9 @@ GUARD = r"(?i)\b(?:no|not|never|without|don't|do\s+not|free\s+of|beware|scam\w*|
 
 
 def flags(text: Column) -> Column:
-    """Names of the flags with an unguarded match in the first 20 000 characters. The text in front of each match, back to
+    """Names of the flags with an unguarded match. The text in front of each match, back to
     the end of the last one, is looked at for a negation."""
-    own = F.left(F.coalesce(text, F.lit("")), F.lit(20_000))
+    own = F.coalesce(text, F.lit(""))
     found = []
     for name, pattern in FLAGS.items():
         before = F.regexp_extract_all(own, F.lit(rf"(?s)\G(.*?)(?:{pattern})"), F.lit(1))

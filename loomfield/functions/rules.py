@@ -8,9 +8,6 @@ from pyspark.sql import functions as F
 
 from loomfield.functions import decisions
 
-#: Characters of a text that rules read; patterns backtrack, so their input is bounded.
-SCAN = 20_000
-
 #: Pay wording.
 CURRENCY = r"₹|\bRs\.?|\bINR\b|\bUSD\b|US\$|S\$|A\$|CA?\$|\$|€|\bEUR\b|£|\bGBP\b|\bAUD\b|\bCAD\b|\bSGD\b|\bAED\b"
 AMOUNT = r"[0-9][0-9,]*(?:\.[0-9]+)?"
@@ -26,7 +23,7 @@ CURRENCIES = {"₹": "INR", "rs": "INR", "rs.": "INR", "inr": "INR", "$": "USD",
 YEARLY = {"hour": 2080, "day": 260, "month": 12, "year": 1}
 
 #: Wording of experience, work mode, deadlines, visas.
-YEARS = r"(?i)\b(\d{1,2})\s*(?:(?:-|–|to)\s*(\d{1,2}))?\s*(\+)?\s*(?:years?|yrs?)\b(?=[^.\n]{0,40}\bexp|\s+of\b|[^.\n]{0,20}\brequired)"
+YEARS = r"(?i)\b(\d{1,2})\s*+(?:(?:-|–|to)\s*+(\d{1,2}))?\s*+(\+)?\s*+(?:years?|yrs?)\b(?=[^.\n]{0,40}\bexp|\s+of\b|[^.\n]{0,20}\brequired)"
 FRESHER = r"(?i)\b(?:freshers?|no\s+(?:prior\s+)?experience\s+(?:required|needed))\b"
 REMOTE = r"(?i)\b(?:fully\s+remote|100\s*%\s*remote|remote[- ]first|work\s+from\s+(?:home|anywhere)|this\s+is\s+a\s+remote|remote\s+(?:role|position|job|opportunity))\b"
 HYBRID = r"(?i)\bhybrid\b"
@@ -41,7 +38,8 @@ IMMEDIATE = r"(?i)\b(?:immediate\s+join\w*|join\s+immediately)\b"
 
 
 def scanned(text: Column) -> Column:
-    return F.left(F.coalesce(text, F.lit("")), F.lit(SCAN))
+    """The whole text. Patterns take runs of white space whole where several could share one, so that they stay linear."""
+    return F.coalesce(text, F.lit(""))
 
 
 def _chain(text: Column, pattern: str, groups: int) -> Column:

@@ -62,12 +62,11 @@ FOREIGN_WORDS = (
     "como más pero um uma os as dos das em não você nós il lo gli di che per con una sono non nel della het een van en te is zijn "
     "voor met niet op"
 ).split()
-LANGUAGE_SAMPLE = 1500
 
 
 def language_counts(c: Column) -> dict[str, Column]:
-    """Words, letters, letters beyond Latin scripts, English and foreign function words of a text's first characters."""
-    words = F.regexp_extract_all(F.left(F.coalesce(c, F.lit("")), F.lit(LANGUAGE_SAMPLE)), F.lit(r"\p{L}+"), F.lit(0))
+    """Words, letters, letters beyond Latin scripts, English and foreign function words of a text."""
+    words = F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(r"\p{L}+"), F.lit(0))
     low = F.transform(words, F.lower)
     members = lambda known: F.size(F.filter(low, lambda w: w.isin(sorted(set(known)))))
     joined = F.array_join(words, "")

@@ -1,5 +1,8 @@
 """Registered queries read whole tables and whole texts. Their expected rows are written here, apart from the queries' SQL."""
 
+from pyspark.sql import functions as F
+
+from loomfield.functions import decisions, rules
 from loomfield.plans import texts  # noqa: F401
 from loomfield.registry import QUERIES
 
@@ -14,3 +17,37 @@ def test_description_blocks_reads_every_document(spark, tmp_path):
     rows = [(i, "Duties\n\n- one thing.\n• more.\nA sentence.") for i in range(6)] + [(7, " \n ")]
     got = ask(spark, tmp_path, "description_blocks", "documents", rows, "doc_id long, text string")
     assert sorted(tuple(r) for r in got) == [(i, 4, 1, 2) for i in range(6)]
+
+
+FILLER = "Some words that say nothing of note.\n" * 1000  # 37 000 characters
+
+
+def test_rules_read_behind_the_first_characters(spark, tmp_path):
+    said = (
+        FILLER + "Salary: ₹12-18 LPA. 3-5 years of experience. This is a remote role. Apply by 2026-03-05. Visa sponsorship available. "
+        "Fluent in German. Notice period of 2 weeks. Commission only."
+    )
+    (row,) = ask(spark, tmp_path, "rule_fields", "documents", [(1, said)], "doc_id long, text string")
+    assert (row.pay_low, row.pay_high, row.pay_currency, row.pay_period) == (1200000, 1800000, "INR", "year")
+    assert (row.years_least, row.years_most, row.work_mode, str(row.deadline), row.visa) == (3, 5, "remote", "2026-03-05 23:59:59", "yes")
+    assert (row.joining, row.joining_days, row.languages, row.flags) == ("notice_days", 14, "german", "commission_only")
+
+
+def test_decisions_read_behind_the_first_characters(spark, tmp_path):
+    rows = [(1, FILLER + "This role is part-time. We are unable to consider candidates in India."), (2, FILLER + "nothing")]
+    got = ask(spark, tmp_path, "decided_documents", "documents", rows, "doc_id long, text string")
+    assert sorted((r.doc_id, r.employment_kind, r.india_eligible) for r in got) == [(1, "part_time", "no"), (2, "unknown", "unknown")]
+
+
+def test_language_is_judged_on_the_whole_text(spark, tmp_path):
+    english, german = "the team is here for you and we are with you ", "der Hund und die Katze sind nicht mit dem Mann für das Haus "
+    rows = [(1, "en", english * 40 + german * 400), (2, "en", english * 400)]
+    got = ask(spark, tmp_path, "non_english", "documents", rows, "doc_id long, lang string, text string")
+    assert sorted((r.foreign_text, r.n) for r in got) == [(False, 1), (True, 1)]
+
+
+def test_long_runs_of_blanks_cost_no_more_than_others(spark):
+    df = spark.createDataFrame([("Trainee", "5" + " " * 200_000 + "x, and 6 months training")], "title string, said string")
+    none = F.lit(None).cast("string")
+    got = df.select(rules.experience(F.col("said")).alias("e"), decisions.employment_kind(F.col("title"), F.col("said"), none, none).alias("k")).first()
+    assert (got.e, got.k) == (None, "internship")
