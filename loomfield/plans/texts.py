@@ -77,8 +77,8 @@ def redact_docs(t: Tables) -> DataFrame:
 
 @query("select md5(left(text, 2000)) as digest, count(*) as n, min(doc_id) as first_id, max(doc_id) as newest_id from documents group by 1 having count(*) > 1")
 def exact_dup_docs(t: Tables) -> DataFrame:
-    """Groups of documents with the same opening."""
-    return t.documents.groupBy(F.md5(F.left("text", F.lit(2000))).alias("digest")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id"), F.max("doc_id").alias("newest_id")).where("n > 1")
+    """Groups of documents with the same text."""
+    return t.documents.groupBy(F.md5("text").alias("digest")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id"), F.max("doc_id").alias("newest_id")).where("n > 1")
 
 
 @query("""

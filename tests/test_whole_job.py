@@ -51,3 +51,10 @@ def test_long_runs_of_blanks_cost_no_more_than_others(spark):
     none = F.lit(None).cast("string")
     got = df.select(rules.experience(F.col("said")).alias("e"), decisions.employment_kind(F.col("title"), F.col("said"), none, none).alias("k")).first()
     assert (got.e, got.k) == (None, "internship")
+
+
+def test_exact_duplicates_are_equal_to_their_ends(spark, tmp_path):
+    same = "shared opening " * 500
+    rows = [(1, same + "a"), (2, same + "b"), (3, same + "a"), (4, "short"), (5, "short"), (6, "other")]
+    got = ask(spark, tmp_path, "exact_dup_docs", "documents", rows, "doc_id long, text string")
+    assert sorted((r.n, r.first_id, r.newest_id) for r in got) == [(2, 1, 3), (2, 4, 5)]
