@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Tags whose content goes, whose ends or starts break lines, and how much is kept.
+#: Tags whose content goes, whose ends or starts break lines, and how much postings' fields keep.
 DROPPED = "script|style|noscript|template|svg|head"
 BLOCKS = "p|div|section|article|header|footer|main|aside|ul|ol|table|tr|h[1-6]|blockquote|pre|form|li|dl|dt|dd"
 MOST = 20_000
@@ -35,9 +35,10 @@ def _unescape(texts: pd.Series) -> pd.Series:
     return texts.map(one)
 
 
-def html_to_text(c: Column) -> Column:
+def html_to_text(c: Column, most: int | None = MOST) -> Column:
     """Text of a page: content of scripts and the like goes, blocks break lines, list items get a dash, references are
-    resolved, white space collapses, and at most MOST characters stay, cut at a paragraph. Only the references leave the JVM."""
+    resolved, white space collapses, and at most ``most`` characters stay, cut at a paragraph (None: all). Only the references
+    leave the JVM."""
     raw = F.regexp_replace(F.coalesce(c, F.lit("")), r"[\r\n]", " ")
     for pattern, instead in (
         (r"(?s)<!--.*?(?:-->|$)", ""), (rf"(?is)<({DROPPED})\b[^>]*>.*?(?:</\1\s*>|$)", ""), (r"(?i)<li\b[^>]*>", "\n- "), (r"(?i)<(?:br|hr)\b[^>]*>", "\n"), (rf"(?i)</(?:{BLOCKS})\s*>", "\n"), (r"<[^>]*(?:>|$)", ""),
@@ -46,18 +47,20 @@ def html_to_text(c: Column) -> Column:
     text = _unescape(raw)
     for pattern, instead in ((r"(?U)[^\S\n]+", " "), (r" ?\n ?", "\n"), (r"\n{3,}", "\n\n"), (r"^\s+|\s+$", "")):
         text = F.regexp_replace(text, pattern, instead)
-    cut = F.regexp_replace(F.left(text, F.lit(MOST)), r"(?s)^(.{10000,})\n\n.*$", "$1")
-    return F.when(F.length(text) <= MOST, text).otherwise(F.concat(F.rtrim(cut), F.lit("\n\n[truncated]")))
+    if most is None:
+        return text
+    cut = F.regexp_replace(F.left(text, F.lit(most)), r"(?s)^(.{10000,})\n\n.*$", "$1")
+    return F.when(F.length(text) <= most, text).otherwise(F.concat(F.rtrim(cut), F.lit("\n\n[truncated]")))
 
 
-def job_links(page: Column, html: Column) -> Column:
-    """Links of a page to its own host that look like single postings, in page order, without fragments, distinct. Anchors
-    are found in the JVM; only joining relative links is Python's."""
+def job_links(page: Column, html: Column, most: int | None = MOST_LINKS) -> Column:
+    """Links of a page to its own host that look like single postings, in page order, without fragments, distinct, at
+    most ``most`` (None: all). Anchors are found in the JVM; only joining relative links is Python's."""
     hrefs = F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(r"""(?i)<a\b[^>]*?\bhref\s*=\s*["']([^"']+)["']"""), F.lit(1))
     joined = _absolute(page, hrefs)
     path = lambda u: F.regexp_extract(u, r"^[^:]+://[^/?#]*([^?#]*)", 1)
     good = F.filter(joined, lambda u: path(u).rlike(JOB_PATH) & ~path(u).rlike(OTHER_PATH) & ~path(u).rlike(ASSET) & (F.size(F.filter(F.split(path(u), "/"), lambda x: x != "")) >= 2))
-    return F.slice(F.array_distinct(good), 1, MOST_LINKS)
+    return F.array_distinct(good) if most is None else F.slice(F.array_distinct(good), 1, most)
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))

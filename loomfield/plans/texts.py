@@ -109,13 +109,13 @@ def safe_urls(t: Tables) -> DataFrame:
 @query()
 def page_text(t: Tables) -> DataFrame:
     """Plain text of each page."""
-    return t.pages.select("page_id", hx.html_to_text(F.col("html")).alias("text")).select("page_id", F.length("text").alias("chars"), F.md5("text").alias("digest"))
+    return t.pages.select("page_id", hx.html_to_text(F.col("html"), most=None).alias("text")).select("page_id", F.length("text").alias("chars"), F.md5("text").alias("digest"))
 
 
 @query()
 def page_links(t: Tables) -> DataFrame:
     """Links of each page that look like job postings of its host."""
-    return t.pages.select("page_id", F.explode(hx.job_links(F.col("url"), F.col("html"))).alias("link"))
+    return t.pages.select("page_id", F.explode(hx.job_links(F.col("url"), F.col("html"), most=None)).alias("link"))
 
 
 @query()

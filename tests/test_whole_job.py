@@ -1,5 +1,7 @@
 """Registered queries read whole tables and whole texts. Their expected rows are written here, apart from the queries' SQL."""
 
+import hashlib
+
 from pyspark.sql import functions as F
 
 from loomfield.functions import decisions, rules
@@ -58,3 +60,16 @@ def test_exact_duplicates_are_equal_to_their_ends(spark, tmp_path):
     rows = [(1, same + "a"), (2, same + "b"), (3, same + "a"), (4, "short"), (5, "short"), (6, "other")]
     got = ask(spark, tmp_path, "exact_dup_docs", "documents", rows, "doc_id long, text string")
     assert sorted((r.n, r.first_id, r.newest_id) for r in got) == [(2, 1, 3), (2, 4, 5)]
+
+
+def test_page_text_is_whole(spark, tmp_path):
+    rows = [(i, "<p>" + "word " * 8000 + f"</p><p>end {i}</p>") for i in range(2)]
+    got = ask(spark, tmp_path, "page_text", "pages", rows, "page_id long, html string")
+    want = ["word " * 7999 + f"word\nend {i}" for i in range(2)]
+    assert sorted((r.page_id, r.chars, r.digest) for r in got) == [(i, len(w), hashlib.md5(w.encode()).hexdigest()) for i, w in enumerate(want)]
+
+
+def test_page_links_are_all_given(spark, tmp_path):
+    html = "".join(f'<a href="/jobs/{i}">x</a>' for i in [*range(100), 5])
+    got = ask(spark, tmp_path, "page_links", "pages", [(1, "https://h.com/jobs", html)], "page_id long, url string, html string")
+    assert [r.link for r in got] == [f"https://h.com/jobs/{i}" for i in range(100)]
