@@ -297,6 +297,11 @@ def links(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL)
     """One row per document (row with an id): doc_id, class_id (the smallest id that links, direct or not, lead to), copy_id
     (the smallest id with this very text), n_links (other documents with a similarity of ``threshold`` or more, copies among
     them) and n_text_links (other texts among them)."""
+    return _links(docs, threshold, recall).drop("k", "root")
+
+
+def _links(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
+    """``links`` with the digest of each row's text as k, and root, the smallest digest of its group."""
     bands, rows = choose_bands(threshold, recall)
     signed = written(signatures(docs, bands, rows), "jaccard-signatures")
     classes = written(signed.groupBy("k").agg(F.min("doc_id").alias("copy_id"), F.count("*").alias("n"), F.first("sig").alias("sig")), "jaccard-classes")
@@ -324,17 +329,19 @@ def links(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL)
     roots = groups_of(linked)
     degrees = linked.groupBy("k").agg(F.sum("classes").alias("classes"), F.sum("documents").alias("documents"))
     grouped = roots.join(classes.select("k", "copy_id"), "k").groupBy("root").agg(F.min("copy_id").alias("class_id"))
-    per_class = roots.join(grouped, "root").join(degrees, "k", "left").select("k", "class_id", "classes", "documents")
+    per_class = roots.join(grouped, "root").join(degrees, "k", "left").select("k", "root", "class_id", "classes", "documents")
     known = classes.select("k", "copy_id", "n").join(per_class, "k", "left").select(
-        "k", "copy_id", F.coalesce("class_id", "copy_id").alias("class_id"),
+        "k", F.coalesce("root", "k").alias("root"), "copy_id", F.coalesce("class_id", "copy_id").alias("class_id"),
         (F.col("n") - 1 + F.coalesce("documents", F.lit(0))).alias("n_links"), F.coalesce("classes", F.lit(0)).alias("n_text_links"),
     )
-    return signed.select("k", "doc_id").join(known, "k").select("doc_id", "class_id", "copy_id", "n_links", "n_text_links")
+    return signed.select("k", "doc_id").join(known, "k").select("doc_id", "k", "root", "class_id", "copy_id", "n_links", "n_text_links")
 
 
 def drop_near_copies(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` with one document of each group: the one with the smallest id, and of its repeated rows one. Rows without
-    an id all stay."""
-    stay = links(docs, threshold).where("doc_id = class_id").select(F.col("doc_id").alias("_stay")).distinct()
-    kept = docs.join(stay, docs["doc_id"].cast("long") == F.col("_stay"), "left_semi").dropDuplicates(["doc_id"])
+    """``docs`` with one document of each group: the one with the smallest id, and of its repeated rows one. Where one id
+    stands on several texts, each is a document of its own (within a group the smallest digest stays). Rows without an id all
+    stay."""
+    stay = _links(docs, threshold).where("doc_id = class_id").groupBy("root").agg(F.min("doc_id").alias("_stay"), F.min("k").alias("_text"))
+    own = docs.withColumn("_k", F.unhex(F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"))))
+    kept = own.join(stay, (own["doc_id"].cast("long") == F.col("_stay")) & (own["_k"] == F.col("_text")), "left_semi").dropDuplicates(["doc_id", "_k"]).drop("_k")
     return kept.unionByName(docs.where("doc_id is null"))

@@ -86,3 +86,11 @@ def test_counts_of_common_members(n):
     a, b = np.triu_indices(n, 1)
     want = [len(np.intersect1d(sets[x], sets[y])) for x, y in zip(a, b)]
     assert (jj.common_counts(sets, a, b).tolist() if n else []) == want
+
+
+def test_texts_that_share_an_id_stay_apart(spark):
+    near = " ".join(f"n{i}" for i in range(60))
+    rows = [(1, "a b c d e f"), (1, "g h i j k l"), (3, "a b c d e f"), (3, "m n o p q r"), (3, "m n o p q r"), (5, near), (5, near + " x")]
+    kept = jj.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.text) for r in kept if r.doc_id != 5) == [(1, "a b c d e f"), (1, "g h i j k l"), (3, "m n o p q r")]
+    assert sum(r.doc_id == 5 for r in kept) == 1
