@@ -53,7 +53,7 @@ _LIST = lambda words: "(" + ", ".join(f"'{w}'" for w in sorted(set(words))) + ")
 
 
 @query(rf"""
-with w as (select doc_id, lang, regexp_extract_all(left(coalesce(text, ''), 1500), '\p{{L}}+') as w from documents),
+with w as (select doc_id, lang, regexp_extract_all(coalesce(text, ''), '\p{{L}}+') as w from documents),
 c as (select doc_id, lang, len(w) as words, length(array_to_string(w, '')) as letters, length(regexp_replace(array_to_string(w, ''), '[\x{{0000}}-\x{{024F}}]', '', 'g')) as other,
   len(list_filter(w, lambda x: lower(x) in {_LIST(tx.STOPWORDS)})) as en, len(list_filter(w, lambda x: lower(x) in {_LIST(tx.FOREIGN_WORDS)})) as fo from w)
 select lang, (letters >= 80 and other / greatest(letters, 1) > 0.3) or (words >= 15 and en / greatest(words, 1) < 0.08 and fo / greatest(words, 1) >= 0.15) or (words >= 60 and en / greatest(words, 1) < 0.12) as foreign_text, count(*) as n from c group by all
@@ -75,7 +75,7 @@ def redact_docs(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", "text", tx.redact(F.col("text")).alias("r")).select("doc_id", (F.col("r") != F.col("text")).alias("changed"), F.md5("r").alias("digest"))
 
 
-@query("select md5(left(text, 2000)) as digest, count(*) as n, min(doc_id) as first_id, max(doc_id) as newest_id from documents group by 1 having count(*) > 1")
+@query("select md5(text) as digest, count(*) as n, min(doc_id) as first_id, max(doc_id) as newest_id from documents group by 1 having count(*) > 1")
 def exact_dup_docs(t: Tables) -> DataFrame:
     """Groups of documents with the same text."""
     return t.documents.groupBy(F.md5("text").alias("digest")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id"), F.max("doc_id").alias("newest_id")).where("n > 1")
@@ -157,7 +157,7 @@ def vector_topk(t: Tables) -> DataFrame:
 
 
 @query(r"""
-with b as (select doc_id, unnest(regexp_split_to_array(trim(text, chr(10)), '\n+')) as block from documents where doc_id % 2 = 0)
+with b as (select doc_id, unnest(regexp_split_to_array(trim(text, chr(10)), '\n+')) as block from documents)
 select doc_id, count(*) as blocks, count(*) filter (where length(block) <= 70 and not regexp_matches(block, '[.!?,;:]\s*$')) as headings, count(*) filter (where regexp_matches(block, '^\s*[-*•]\s')) as bullets from b where trim(block) <> '' group by doc_id
 """)
 def description_blocks(t: Tables) -> DataFrame:
