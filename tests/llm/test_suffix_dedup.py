@@ -3,17 +3,22 @@ import random
 
 import numpy as np
 import pytest
+import xxhash
 
 from loomfield.llm import suffix_dedup as sd
 
 SCHEMA = "doc_id long, text string, k string"
 
 
+def tie(text):
+    return (xxhash.xxh64((text or "").encode(), seed=42).intdigest() ^ (1 << 63)) - (1 << 63)
+
+
 def brute(rows, length=100):
-    """rows: (doc_id, text), ids distinct. Result rows by id."""
+    """rows: (doc_id, text). Result rows of distinct documents in their order."""
     seen, out = set(), []
-    for doc, text in sorted(rows, key=lambda r: r[0]):
-        data = (text or "").encode()
+    for doc, _, text in sorted({(d, tie(t), t or "") for d, t in rows}, key=lambda r: (r[0] is not None, r[0] or 0, r[1])):
+        data = text.encode()
         gone = np.zeros(len(data), bool)
         for i in range(len(data) - length + 1):
             w = data[i : i + length]
@@ -53,11 +58,29 @@ def test_matches_brute_force(spark, monkeypatch, seed):
     assert sorted(tuple(r) for r in sd.removed(docs).collect()) == brute(rows)
 
 
-def test_repeated_rows_null_ids_and_empty_tables(spark):
-    a, b = "".join(map(chr, range(40, 120))) * 2, "z" * 30
-    rows = [(1, a), (1, a), (None, b + a), (2, b), (2, b * 2)]
-    got = sorted(((r.doc_id is not None, r.doc_id or 0, r.n_bytes, r.n_removed) for r in sd.removed(spark.createDataFrame([(i, t, "x") for i, t in rows], SCHEMA)).collect()))
-    assert got == [(False, 0, 190, 0), (True, 1, 160, 160), (True, 1, 160, 160), (True, 2, 30, 0), (True, 2, 60, 0)]
+@pytest.mark.parametrize("hot", [False, True])
+def test_shared_null_and_repeated_ids_match_brute_force(spark, monkeypatch, hot):
+    if hot:  # every symbol of two texts is dealt
+        monkeypatch.setattr(sd, "HOT_LEAST", 2)
+        monkeypatch.setattr(sd, "SALTS", 3)
+    rng = random.Random(5)
+    rows = [(rng.choice([None, None, 1, 2, 2, 7, i]), t) for i, t in fixture(3)]
+    rows += [rows[4]] * 3 + [rows[9]] * 2 + [(None, rows[4][1])]
+    got = sd.removed(spark.createDataFrame([(i, t, "x") for i, t in rows], SCHEMA).repartition(3)).collect()
+    by = lambda r: (r[0] is not None, *(x or 0 for x in r[:4]), r[4])
+    assert len(got) == len(rows)
+    assert sorted({tuple(r) for r in got}, key=by) == sorted(set(brute(rows)), key=by)
+
+
+def test_texts_under_one_id_are_all_searched(spark):
+    rng = random.Random(11)
+    a, b = ("".join(rng.choice("abcdefgh") for _ in range(300)) for _ in range(2))
+    rows = [(None, a), (None, b), (1, a + "x" * 40), (2, b + "y" * 40), (3, "q" * 40 + a), (3, b)]
+    got = sd.removed(spark.createDataFrame([(i, t, "x") for i, t in rows], SCHEMA)).collect()
+    assert sorted((r.doc_id or 0, r.n_bytes, r.n_removed) for r in got) == [(0, 300, 0), (0, 300, 0), (1, 340, 300), (2, 340, 300), (3, 300, 300), (3, 340, 300)]
+
+
+def test_an_empty_table_gives_no_rows(spark):
     assert sd.removed(spark.createDataFrame([], SCHEMA)).collect() == []
 
 
