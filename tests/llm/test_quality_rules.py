@@ -1,4 +1,5 @@
 import math
+import random
 import re
 from collections import Counter
 
@@ -49,17 +50,43 @@ def test_certified_cutoffs_reject_bad_and_keep_good(spark):
     assert kept == {i for i, _, _ in good} | {i for i, _, _ in few}  # a stratum without labels rejects nothing
 
 
-def test_cutoffs_keep_the_bound(spark):
-    """Each certified cutoff passes the exact test; the next lower one does not."""
-    import random
+def moves_of(values, n_good, n_strata, risk=qr.Risk()):
+    """Moves that are certified, from the features (by rule) of the good texts that the base rule keeps."""
+    for at in range(1, len(qr.PATH) + 1):
+        k = sum(any(v[r] > c for r, c in qr.PATH[:at]) for v in values)
+        if not (k < n_good * risk.risk and tail(k, n_good, risk.risk) <= risk.delta / n_strata):
+            return at - 1
+    return len(qr.PATH)
 
+
+def test_moves_are_those_of_the_exact_test_on_distinct_texts(spark):
     rng = random.Random(1)
-    rows = [(i, "x" * 50 + " " + "!" * rng.choice([0, 0, 0, 1, 2, 9]) + " y", "en") for i in range(4000)]
-    docs = spark.createDataFrame([(i, t + " a b c d e f g h", lang) for i, t, lang in rows], "doc_id long, text string, lang string")
-    feats = qr.features(docs).cache()
+    texts = {f"{'x' * 50} {'!' * rng.choice([0] * 200 + [9, 20, 60])} a b c d e f g h {i}" for i in range(900)}
+    rows = [(i, t, "en") for i, t in enumerate(sorted(texts))]
+    rows += [(5000 + i, t, "en") for i, t, _ in rows] + [(i, t, lang) for i, t, lang in rows[:30]]  # copies and repeated rows are no draws
+    rows += [(9000 + i, f"one two three four five six seven eight nine ten {i}", None) for i in range(40)]
+    feats = qr.features(spark.createDataFrame(rows, "doc_id long, text string, lang string")).cache()
+    labels = spark.createDataFrame([(i, 1, 0) for i, _, _ in rows] + [(0, 0, 0), (1, None, 0)], "doc_id long, quality int, toxic int")
+    got = {r.stratum: (r.n_good, r.moves) for r in qr.certified(feats, labels).collect()}
+    values = [{r: (x.count("!") / (len(x) - x.count(" ")) if r == "bangs" else 0.0) for r in qr.RULES} for x in texts]
+    want = moves_of(values, len(texts), 2)
+    assert got == {"en": (len(texts), want), "": (40, 0)} and 0 < want < len(qr.PATH)
+
+
+def test_false_rejections_stay_within_the_risk(spark):
+    """Sixty strata whose good texts have too many symbols with known chances: after every certified move, fewer than the
+    risk of them are rejected."""
+    rng, rows, chance = random.Random(4), [], {}
+    for s in range(60):
+        chance[s] = rng.choice([0.0, 0.01, 0.018, 0.022, 0.03])
+        for i in range(700):
+            mark = "#" * 12 if rng.random() < chance[s] else "x" * 12
+            rows.append((len(rows), f"{mark} aaaa bbbb cccc dddd eeee ffff gggg hhhh iiii {s} {i}", f"s{s}"))
+    feats = qr.features(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
     labels = spark.createDataFrame([(i, 1, 0) for i, _, _ in rows], "doc_id long, quality int, toxic int")
-    got = {r.rule: r.cutoff for r in qr.cutoffs(feats, labels).collect()}
-    values = [r.n_bangs / max(r.word_chars, 1) for r in feats.collect()]
-    rate, level = qr.Risk.risk / len(qr.RULES), qr.Risk.delta / (len(qr.RULES) * len(qr.GRID))
-    passes = [c for c in qr.GRID if (k := sum(v > c for v in values)) < len(values) * rate and tail(k, len(values), rate) <= level]
-    assert got["bangs"] == min(passes)
+    got = {int(r.stratum[1:]): r.moves for r in qr.certified(feats, labels).collect()}
+    # The marks are over a fifth of these texts' characters, so the move to 0.2 rejects them.
+    first = 1 + next(i for i, (r, c) in enumerate(qr.PATH) if r == "symbols" and c <= 0.2)
+    assert all(chance[s] < qr.Risk.risk for s, m in got.items() if m >= first)
+    assert all(got[s] == len(qr.PATH) for s in got if chance[s] == 0.0)
+    assert all(m >= first - 1 for m in got.values())
