@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -9,21 +11,34 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A side of a join is broadcast only where its files are measured to be smaller than this; beyond it both sides shuffle.
+#: A side of a join is broadcast only where its rows times their width are counted to be less; beyond it both sides shuffle.
 BROADCAST_BYTES = 16 << 20
 #: The separators of op5's words, and of the shingles: space, and tab to carriage return.
 SPACES = (0x20, *range(0x09, 0x0E))
 
 
+_local: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the session names it; set here only where it is unset (tests)."""
+    """The folder that driver and executors share, as the session names it. Only where it is unset and all runs in one process
+    (tests), a temporary folder stands in for it; on a cluster an unset one is an error."""
     known = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not known:
-        known = "/tmp/checkpoints/loomfield"
-        spark.conf.set("spark.checkpoint.dir", known)
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        known = _local.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="spark-"))
     return known.rstrip("/")
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, or with underscores behind it until no column of ``df`` has it (in either case of letters)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: cuts its lineage, survives lost executors, has a known size."""
     spark = df.sparkSession
@@ -32,13 +47,20 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def table_bytes(df: DataFrame) -> int:
-    """Bytes of a written table, from Spark's own statistics of its files."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+def table_bytes(table: DataFrame) -> int:
+    """Rows times width of a written table, as memory holds it: 16 bytes a row and column, and the lengths of what varies."""
+    width = F.lit(16 * len(table.columns))
+    for field in table.schema.fields:
+        c = F.col(f"`{field.name}`")
+        kind = field.dataType.typeName()
+        size = F.octet_length(c) if kind in ("string", "binary") else 2 * F.octet_length(F.to_json(F.struct(c))) if kind in ("array", "map", "struct") else F.lit(0)
+        width = width + F.coalesce(size, F.lit(0))
+    return int(table.agg(F.sum(width.cast("long"))).first()[0] or 0)
 
 
 def maybe_broadcast(table: DataFrame) -> DataFrame:
-    """A written table, with a broadcast hint only if its measured size is below ``BROADCAST_BYTES``."""
+    """A written table, with a broadcast hint only if its rows times width are below ``BROADCAST_BYTES``, else with one for a
+    join in which both sides shuffle; the rows are the same."""
     return F.broadcast(table) if table_bytes(table) <= BROADCAST_BYTES else table.hint("merge")
 
 

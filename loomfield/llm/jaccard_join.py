@@ -27,7 +27,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomfield.llm.common import byte_slices, maybe_broadcast, mixed, shingles, space_table, text_bytes, words_in, written
+from loomfield.llm.common import byte_slices, free_name, maybe_broadcast, mixed, shingles, space_table, text_bytes, words_in, written
 
 WIDTH, THRESHOLD = 5, 0.8
 #: Recall wanted for pairs exactly at the threshold; pairs above it are found more surely.
@@ -341,7 +341,8 @@ def drop_near_copies(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame
     """``docs`` with one document of each group: the one with the smallest id, and of its repeated rows one. Where one id
     stands on several texts, each is a document of its own (within a group the smallest digest stays). Rows without an id all
     stay."""
-    stay = _links(docs, threshold).where("doc_id = class_id").groupBy("root").agg(F.min("doc_id").alias("_stay"), F.min("k").alias("_text"))
-    own = docs.withColumn("_k", F.unhex(F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"))))
-    kept = own.join(stay, (own["doc_id"].cast("long") == F.col("_stay")) & (own["_k"] == F.col("_text")), "left_semi").dropDuplicates(["doc_id", "_k"]).drop("_k")
+    key, stay_id, stay_text = (free_name(docs, x) for x in ("_key", "_stay_id", "_stay_text"))
+    stay = _links(docs, threshold).where("doc_id = class_id").groupBy("root").agg(F.min("doc_id").alias(stay_id), F.min("k").alias(stay_text))
+    own = docs.withColumn(key, F.unhex(F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"))))
+    kept = own.join(stay, (own["doc_id"].cast("long") == F.col(stay_id)) & (own[key] == F.col(stay_text)), "left_semi").dropDuplicates(["doc_id", key]).drop(key)
     return kept.unionByName(docs.where("doc_id is null"))

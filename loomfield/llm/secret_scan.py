@@ -1,31 +1,33 @@
 """Operator 3: secret scans by a trigram inverted index, in DataFrame and SQL functions only.
 
 Each rule is a regular expression. Its parse tree gives a Boolean trigram query: an OR of ANDs of trigrams, in lower
-case, that every match must contain. The index holds postings (trigram, doc_id) of the trigrams that some rule asks for;
-intersecting the postings of a clause gives its candidate documents. Only candidates are then searched with the rule.
-Rules without mandatory trigrams (long hexadecimal strings) are searched in every text.
+case, that every match must contain. The index is a table of postings (trigram, doc_id), written in order of trigrams, of the
+trigrams that some rule asks for. The postings of the trigrams of each AND are read from it and intersected: a document is a
+candidate if it stands in all of them. Only candidates are then searched with the rule. A rule changed within the indexed
+trigrams reads postings again, not texts. Rules without mandatory trigrams (long hexadecimal strings) are searched in every
+text.
 
 Spans come from one chain of gaps and matches: the pattern ``\\G(.*?)(rule)`` starts where the last match ended, so the
-lengths of gaps and matches add up to offsets in code points, in one pass over the text.
+running sums of the lengths of gaps and matches are offsets in code points, in one pass over the text. Running sums and
+maxima are taken by doubling steps, n log n in the spans of a text.
 
 Defined cases: a null text is empty; empty texts have no spans; rows are judged one by one, so repeated rows and ids stay,
-and rows with a null id share their candidates, which the search then settles; other columns are not read. Texts are
-searched whole.
+and rows with a null id share their candidates, which the search then settles; other columns are not read, and the names of
+helper columns give way to theirs. Texts are searched whole.
 """
 
 from __future__ import annotations
 
 import re
 from dataclasses import dataclass
-from functools import reduce
 from itertools import product
 from re import _constants as rc
 from re import _parser as rp
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomfield.llm.common import maybe_broadcast, written
+from loomfield.llm.common import free_name, maybe_broadcast, written
 
 
 @dataclass(frozen=True)
@@ -116,20 +118,28 @@ def trigram_query(pattern: str) -> list[frozenset[str]]:
 
 
 def trigram_index(docs: DataFrame, rules=RULES) -> DataFrame:
-    """Postings (trigram, doc_id) of the trigrams that the rules ask for, one for each document that has the trigram."""
+    """The written index: postings (trigram, doc_id) of the trigrams that the rules ask for, one for each document that has the
+    trigram. Files are in order of trigrams, so a look-up reads only the parts that hold its own."""
     wanted = sorted({t for r in rules for clause in trigram_query(r.pattern) for t in clause})
-    low = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower(F.coalesce(F.col("text"), F.lit(""))).alias("low"))
-    has = F.array_compact(F.array(*[F.when(F.contains("low", F.lit(t)), F.lit(t)) for t in wanted]))
-    return low.select("doc_id", F.explode(has).alias("trigram"))
+    low = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("low"))
+    has = F.array_compact(F.array(*[F.when(F.contains("low", F.lit(t)), F.lit(t)) for t in wanted])).cast("array<string>")
+    return written(low.select(F.explode(has).alias("trigram"), "doc_id").sortWithinPartitions("trigram", "doc_id"), "secret-index")
 
 
 def candidates(index: DataFrame, rules=RULES) -> DataFrame:
-    """(doc_id, kinds): the rules that each document may match, by intersecting the postings of each clause. One group
-    per document holds at most one posting per trigram of the rules, so groups stay small whatever is frequent."""
-    clauses = [(r.kind, c) for r in rules for c in trigram_query(r.pattern)]
-    per_doc = index.groupBy("doc_id").agg(F.collect_set("trigram").alias("has"))
-    met = [F.when(F.size(F.array_except(F.array(*[F.lit(t) for t in sorted(c)]), F.col("has"))) == 0, F.lit(k)) for k, c in clauses]
-    return per_doc.select("doc_id", F.array_distinct(F.array_compact(F.array(*met))).alias("kinds")).where("size(kinds) > 0")
+    """(doc_id, kinds): the rules that each document may match. The postings of the trigrams of each AND are intersected by
+    counting: documents in as many of its lists as it has trigrams. Repeated ids have repeated postings, which count once."""
+    clauses = [(n, r.kind, c) for n, (r, c) in enumerate((r, c) for r in rules for c in trigram_query(r.pattern))]
+    asked = index.where(F.col("trigram").isin(sorted({t for _, _, c in clauses for t in c})))
+    number = F.expr("array(" + ", ".join(f"if(array_contains(array({', '.join(_quoted(t) for t in sorted(c))}), trigram), struct({n} as clause, {len(c)} as needed), null)" for n, _, c in clauses) + ")")
+    lists = asked.select("doc_id", "trigram", F.inline(F.array_compact(number)))
+    both = lists.groupBy("doc_id", "clause", "needed").agg(F.count_distinct("trigram").alias("found")).where("found = needed")
+    kinds = F.array(*[F.lit(k) for _, k, _ in clauses])
+    return both.groupBy("doc_id").agg(F.collect_set(F.get(kinds, F.col("clause"))).alias("kinds"))
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
 # --- spans ------------------------------------------------------------------------------------------------------------
@@ -143,36 +153,47 @@ def _tight(rule: Rule) -> str:
     return f"{rule.pattern[:-1]}{{{rule.least - len(rule.pattern.split('[')[0])},}}"
 
 
+def bound(value: Column, body) -> Column:
+    """``body`` of a column that is worked out once, however often ``body`` names it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def running(values: Column, join) -> Column:
+    """Running results of an array under ``join``, a function of two columns (a sum, a maximum), by doubling: after k rounds
+    each place covers the 2**k places that end with it."""
+    back = lambda i, k: i - F.pow(F.lit(2), k).cast("int")
+    step = lambda acc, k: F.transform(acc, lambda x, i: F.when(back(i, k) >= 0, join(x, F.get(acc, back(i, k)))).otherwise(x))
+    rounds = lambda v: F.sequence(F.lit(0), F.ceil(F.log2(F.greatest(F.size(v), F.lit(1)))).cast("int"))
+    return bound(values, lambda v: F.aggregate(rounds(v), v, step))
+
+
 def _spans(text, rule: Rule):
     """Column: array of (start, end, kind number) of one rule in ``text``."""
     number = [r.kind for r in RULES].index(rule.kind)
     chain = rf"(?s)\G(.*?)({_tight(rule)})({rule.value})"
-    gaps, heads, tails = (F.regexp_extract_all(text, F.lit(chain), F.lit(g)) for g in (1, 2, 3))
-    lengths = F.transform(F.arrays_zip(gaps.alias("a"), heads.alias("b"), tails.alias("c")), lambda x: F.struct(F.length(x["a"]).alias("g"), F.length(x["b"]).alias("h"), F.length(x["c"]).alias("v")))
-    start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,end:int,kind:int>>)").alias("out"))
+    parts = F.arrays_zip(*[F.transform(F.regexp_extract_all(text, F.lit(chain), F.lit(g)), F.length).alias(n) for g, n in ((1, "gap"), (2, "head"), (3, "tail"))])
 
-    def step(acc, x):
-        begin = acc["at"] + x["g"]
-        end = begin + x["h"] + x["v"]
-        enough = (x["v"] if rule.value else x["h"]) >= rule.least
-        own = F.struct(begin.alias("start"), end.alias("end"), F.lit(number).alias("kind"))
-        return F.struct(end.alias("at"), F.when(enough, F.concat(acc["out"], F.array(own))).otherwise(acc["out"]).alias("out"))
+    def placed(p: Column) -> Column:
+        ends = running(F.transform(p, lambda x: x["gap"] + x["head"] + x["tail"]), lambda x, y: x + y)
+        return F.zip_with(p, ends, lambda x, e: F.struct((e - x["head"] - x["tail"]).alias("start"), e.alias("end"), F.lit(number).alias("kind"), (x["tail"] if rule.value else x["head"]).alias("size")))
 
-    return F.aggregate(lengths, start, step, lambda acc: acc["out"])
+    good = F.filter(bound(parts, placed), lambda x: x["size"] >= rule.least)
+    return F.transform(good, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind")))
 
 
 def scan(docs: DataFrame, rules=RULES, found: str = "_found") -> DataFrame:
     """``docs`` with the column ``found``: all spans as (start, kind number, end), by start, then kind."""
-    known = maybe_broadcast(written(candidates(trigram_index(docs, rules), rules), "secret-candidates")).select(F.col("doc_id").alias("_known_id"), F.col("kinds").alias("_kinds"))
-    joined = docs.join(known, docs["doc_id"].cast("long").eqNullSafe(known["_known_id"]), "left")
-    text = F.coalesce(docs["text"], F.lit(""))
+    known_id, kinds = free_name(docs, "_known_id"), free_name(docs, "_kinds")
+    known = maybe_broadcast(written(candidates(trigram_index(docs, rules), rules), "secret-candidates")).select(F.col("doc_id").alias(known_id), F.col("kinds").alias(kinds))
+    joined = docs.join(known, docs["doc_id"].cast("long").eqNullSafe(known[known_id]), "left")
+    text = F.coalesce(docs["text"].cast("string"), F.lit(""))
     none = F.expr("cast(array() as array<struct<start:int,end:int,kind:int>>)")
     parts = []
     for r in rules:
         # A search that fails costs one pass; the chain runs only where there is something to find.
         may = text.rlike(_tight(r))
         if trigram_query(r.pattern):
-            may = F.coalesce(F.array_contains("_kinds", r.kind), F.lit(False)) & may
+            may = F.coalesce(F.array_contains(kinds, r.kind), F.lit(False)) & may
         parts.append(F.when(may, _spans(text, r)).otherwise(none))
     ordered = F.array_sort(F.transform(F.concat(*parts), lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end"))))
     return joined.select(*[docs[c] for c in docs.columns if c != found], ordered.alias(found))
@@ -199,17 +220,16 @@ def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with each span in ``text`` replaced by its kind in brackets; overlapping spans become one, under the kind
     of the first. All rows stay, and texts without spans stay as they are; n_chars, if there, follows the new text."""
     names = F.array(*[F.lit(f"[{r.kind}]") for r in RULES])
-    found = scan(docs)
-    start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<string>)").alias("out"))
-
-    def step(acc, x):
-        apart = F.concat(acc["out"], F.array(F.substring(F.col("text"), acc["at"] + 1, x["start"] - acc["at"]), F.get(names, x["kind"])))
-        return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.when(x["start"] >= acc["at"], apart).otherwise(acc["out"]).alias("out"))
-
-    cleaned = F.aggregate("_found", start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
-    new = found.withColumn("_text", F.when(F.size("_found") > 0, cleaned).otherwise(F.col("text")))
-    change = {"text": F.col("_text"), "n_chars": F.when(F.size("_found") > 0, F.length("_text").cast("long")).otherwise(F.col("n_chars")) if "n_chars" in docs.columns else None}
-    return new.select(*[change.get(c, F.col(c)).alias(c) for c in docs.columns])
+    found, ends, new = (free_name(docs, x) for x in ("_found", "_ends", "_new"))
+    spans, text = F.col(found), F.col("text").cast("string")
+    # Where the text in front of each span ends: the largest end so far. Spans that start before it are within others.
+    placed = F.zip_with(spans, F.concat(F.array(F.lit(0)), F.col(ends)), lambda x, at: F.struct(x.alias("x"), at.alias("at")))
+    apart = F.filter(placed, lambda p: p["x"].isNotNull() & (p["x"]["start"] >= p["at"]))
+    pieces = F.transform(apart, lambda p: F.concat(F.substring(text, p["at"] + 1, p["x"]["start"] - p["at"]), F.get(names, p["x"]["kind"])))
+    cleaned = F.concat(F.array_join(pieces, ""), F.substring(text, F.element_at(ends, -1) + 1, F.length(text)))
+    done = scan(docs, found=found).withColumn(ends, running(F.transform(spans, lambda x: x["end"]), F.greatest)).withColumn(new, F.when(F.size(spans) > 0, cleaned).otherwise(text))
+    change = {"text": F.col(new), "n_chars": F.when(F.size(spans) > 0, F.length(new).cast("long")).otherwise(F.col("n_chars")) if "n_chars" in docs.columns else None}
+    return done.select(*[change.get(c, F.col(c)).alias(c) for c in docs.columns])
 
 
 def _oracle() -> str:
