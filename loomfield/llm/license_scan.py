@@ -3,8 +3,9 @@
 A template is license text with markup: ``[[ ... ]]`` is an optional region, ``{{n}}`` a replaceable region of at most n
 words. Templates are compiled into token automata (states are places in the wording; optional regions add empty moves,
 replaceable ones loops with a limit). A text is accepted where its words run through the whole mandatory wording exactly.
-Words are hashed for whole Arrow batches; automata start only where the three words in front of a template stand in the
-text, so texts without license wording cost one vectorised comparison.
+Words are hashed for whole Arrow batches; automata start only where three words stand that can begin a template, so texts
+without license wording cost one vectorised search. ``license_texts`` holds the templates. The score is the strongest
+evidence of a license: 0 for none, 0.5 for a base phrase, 0.75 for a notice that names a license, 1 for a whole license text.
 
 Defined cases: a null text is empty; texts without a phrase have n_base 0, null places and empty labels; rows are judged
 one by one, so repeated rows and ids stay; other columns are not read. Texts are read whole.
@@ -20,36 +21,15 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomfield.llm.common import byte_slices, text_bytes, words_in
+from loomfield.llm.common import byte_slices, shingles, text_bytes, words_in
+from loomfield.llm.license_texts import NOTICES, TEXTS
 
 #: Base phrases and their labels.
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 
-#: Public license notices with markup; case and punctuation don't count.
-TEMPLATES = {
-    "MIT": """[[The]] [[MIT]] [[License]] [[(MIT)]] [[Copyright {{20}}]] [[all rights reserved]]
-        Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
-        documentation files (the "Software"), to deal in the Software without restriction, including without limitation
-        the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and
-        to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above
-        copyright notice and this permission notice [[(including the next paragraph)]] shall be included in all copies or
-        substantial portions of the Software. [[THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND]]""",
-    "ISC": """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby
-        granted, provided that the above copyright notice and this permission notice appear in all copies.""",
-    "BSD": """Redistribution and use in source and binary forms, with or without modification, are permitted provided that
-        the following conditions are met: [[1.]] Redistributions of source code must retain the above copyright notice, this
-        list of conditions and the following disclaimer. [[2.]] Redistributions in binary form must reproduce the above
-        copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials
-        provided with the distribution. [[[[3.]] Neither the name of {{12}} nor the names of its contributors may be used
-        to endorse or promote products derived from this software without specific prior written permission.]]""",
-    "Apache-2.0": """Licensed under the Apache License, Version 2.0 (the "License"); you may not use {{4}} except in
-        compliance with the License.""",
-    "Apache-any": """Licensed under the Apache License""",
-    "GPL": """This program is free software[[:]] you can redistribute it and/or modify it under the terms of the GNU
-        [[Lesser]] [[Affero]] General Public License as published by the Free Software Foundation""",
-    "MIT-notice": """[[released]] [[distributed]] [[licensed]] under the [[terms of the]] MIT License""",
-    "GPL-notice": """under the [[terms of the]] [[GNU]] [[Lesser]] [[Affero]] General Public License""",
-}
+TEMPLATES = TEXTS | NOTICES
+#: Scores: a base phrase only, a notice that names a license, a whole license text.
+PHRASE_SCORE, NOTICE_SCORE, TEXT_SCORE = 0.5, 0.75, 1.0
 #: Words in front of a template by which places to start its automaton are found.
 HEAD = 3
 
@@ -101,9 +81,11 @@ class Automaton:
         return best
 
     def heads(self, n: int) -> set[tuple[str, ...]]:
-        """All runs of n words that can start an accepted text; replaceable regions can't stand there."""
+        """All runs of n words that can start an accepted text; an error if a replaceable region may stand there."""
         paths = {((), frozenset(self.closure({0})))}
         for _ in range(n):
+            if any(self.any[s] for _, now in paths for s in now):
+                raise ValueError(f"a template must start with {n} words of its own")
             paths = {
                 ((*p, w), frozenset(self.closure({t for s in now for t in self.moves[s].get(w, ())})))
                 for p, now in paths
@@ -157,17 +139,24 @@ class Matcher:
     def __init__(self):
         self.word, self.lower = word_table(), lower_table()
         self.automata = {k: compile_template(v) for k, v in TEMPLATES.items()}
-        self.starts: dict[tuple[str, ...], list[str]] = {}
+        starts: dict[int, list[str]] = {}
         for k, a in self.automata.items():
             for head in a.heads(HEAD):
-                self.starts.setdefault(head, []).append(k)
-        self.head_hashes = {tuple(h): self._hashes(" ".join(h)) for h in self.starts}
+                starts.setdefault(int(self._run_hashes(" ".join(head))[0]), []).append(k)
+        self.heads = np.array(sorted(starts), np.uint64)
+        self.starts = [starts[int(h)] for h in self.heads]
+        #: So many words at most can belong to the longest template.
+        self.most = max(len(a.moves) for a in self.automata.values())
         self.base_hashes = {p: self._hashes(p) for p in BASE}
 
     def _hashes(self, text: str) -> np.ndarray:
         data = np.frombuffer(text.encode(), np.uint8)
         return words_in(data, np.array([0, len(data)]), self.word)[2]
 
+    def _run_hashes(self, text: str) -> np.ndarray:
+        h = self._hashes(text)
+        return shingles(h, np.zeros(len(h), np.int64), HEAD)[0]
+
     @staticmethod
     def _places(hashes: np.ndarray, text: np.ndarray, phrase: np.ndarray) -> np.ndarray:
         n = len(hashes) - len(phrase) + 1
@@ -196,29 +185,24 @@ class Matcher:
                 last[d] = max(last[d], w)
                 base.setdefault(d, set()).add(label)
         found: dict[int, set[str]] = {}
-        share: dict[int, float] = {}
-        for head, names in self.starts.items():
-            for at in self._places(hashes, text, self.head_hashes[head]).tolist():
-                d = int(text[at])
-                # So many words at most can belong to the longest template.
+        own_text = np.flatnonzero(text[: max(len(text) - HEAD + 1, 0)] == text[HEAD - 1 :]) if len(text) >= HEAD else np.zeros(0, np.int64)
+        runs = shingles(hashes, text, HEAD)[0]
+        which = np.minimum(np.searchsorted(self.heads, runs), len(self.heads) - 1)
+        hit = np.flatnonzero(self.heads[which] == runs)
+        for at, w in zip(own_text[hit].tolist(), which[hit].tolist(), strict=True):
+            d = int(text[at])
+            names = [x for x in self.starts[w] if x not in found.get(d, ())]
+            if names:
                 own = [bytes(data[starts[i] : ends[i]]).decode() for i in range(at, min(int(begin[d + 1]), at + self.most))]
-                for name in names:
-                    end = self.automata[name].longest(own, 0)
-                    if end > 0:
-                        found.setdefault(d, set()).add(name)
-                        share[d] = share.get(d, 0.0) + end
-        out = [",".join(sorted(base.get(i, ()))) for i in range(n)] if base else [""] * n
-        labels = [",".join(sorted(base.get(i, set()) | found.get(i, set()))) for i in range(n)] if base or found else [""] * n
+                found.setdefault(d, set()).update(x for x in names if self.automata[x].longest(own, 0) > 0)
         score = np.zeros(n)
+        out, labels = [""] * n, [""] * n
         for d in base.keys() | found.keys():
-            # Half for license wording as such; the rest by the share of the text's words that templates accept.
-            score[d] = 0.5 + 0.5 * min(1.0, share.get(d, 0.0) / max(int(counts[d]), 1))
+            own_base, own_found = base.get(d, set()), found.get(d, set())
+            out[d], labels[d] = ",".join(sorted(own_base)), ",".join(sorted(own_base | own_found))
+            score[d] = TEXT_SCORE if own_found & TEXTS.keys() else NOTICE_SCORE if own_found else PHRASE_SCORE if own_base else 0.0
         return counts, n_base, first, last, out, labels, score
 
-    @property
-    def most(self) -> int:
-        return max(len(a.moves) for a in self.automata.values())
-
 
 @lru_cache(maxsize=1)
 def matcher() -> Matcher:
@@ -246,3 +230,28 @@ def scan(docs: DataFrame) -> DataFrame:
                 )
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SCHEMA)
+
+
+def _pattern(markup: str) -> str:
+    """A regular expression over words that end with a space each, from a template's markup."""
+    parts = re.findall(r"\[\[|\]\]|\{\{\d+\}\}|[^\[\]{}]+", markup)
+    return "".join("(?:" if p == "[[" else ")?" if p == "]]" else f"(?:[^ ]+ ){{0,{p[2:-2]}}}" if p[0] == "{" else "".join(w + " " for w in tokens(p)) for p in parts)
+
+
+def _oracle() -> str:
+    base = " union all ".join(f"select doc_id, i - 1 as i, '{label}' as label from p where " + " and ".join(f"w[i + {k}] = '{x}'" for k, x in enumerate(phrase.split())) for phrase, label in BASE.items())
+    found = " union all ".join(f"select doc_id, '{name}' as label, {TEXT_SCORE if name in TEXTS else NOTICE_SCORE} as s from t where regexp_matches(t, ' {_pattern(markup)}')" for name, markup in TEMPLATES.items())
+    return f"""
+with w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as w from documents),
+p as (select doc_id, w, unnest(range(1, len(w) + 1)) as i from w),
+b as ({base}),
+c as (select doc_id, count(*) as n, min(i) as lo, max(i) as hi, string_agg(distinct label, ',' order by label) as names from b group by doc_id),
+t as (select doc_id, ' ' || array_to_string(w, ' ') || ' ' as t from w),
+f as ({found}),
+l as (select doc_id, string_agg(distinct label, ',' order by label) as names, max(s) as s from (select doc_id, label, s from f union all select doc_id, label, {PHRASE_SCORE} from b) group by doc_id)
+select doc_id, cast(len(w) as bigint) as n_words, coalesce(c.n, 0) as n_base, lo as first_word, hi as last_word, coalesce(c.names, '') as base_labels, coalesce(l.names, '') as labels, cast(coalesce(s, 0) as double) as score
+from w left join c using (doc_id) left join l using (doc_id)
+"""
+
+
+ORACLE_SQL = _oracle()

@@ -66,5 +66,6 @@ def oracle_sql() -> dict[str, str]:
         "op3_secret_scan": secret_scan.ORACLE_SQL,
         "op5_quality_rules": quality_rules.ORACLE_SQL,
         "op6_chat_format": chat_format.ORACLE_SQL,
+        "op8_license_scan": license_scan.ORACLE_SQL,
         "op10_warc": warc.ORACLE_SQL,
     }
