@@ -27,11 +27,18 @@ from pyspark.sql import functions as F
 from loomfield.llm.common import written
 
 K = 20
-DEGREE, BUILD_BEAM, SEARCH_BEAM, ALPHA = 32, 64, 128, 1.2
+DEGREE, BUILD_BEAM, SEARCH_BEAM, ALPHA = 32, 64, 256, 1.2
 #: Nodes that a beam expands per step.
 WIDE = 4
-#: Shards hold at most so many vectors; few vectors are still split into up to ``FEW`` shards of ``LEAST`` or more.
-MOST, LEAST, FEW = 1_000_000, 4096, 12
+#: Shards hold at most ``MOST`` vectors, of which recall was measured (see README), and ``SHARD_BYTES``; few vectors are still
+#: split into up to ``FEW`` shards of ``LEAST`` or more, so that several tasks work.
+MOST, SHARD_BYTES, LEAST, FEW = 65_536, 256 << 20, 4096, 12
+
+
+def shards_for(n: int, dim: int) -> int:
+    """Shards for n vectors. A task holds for each vector two copies in double and two in single precision, and its edges twice."""
+    most = max(1, min(MOST, SHARD_BYTES // (24 * (dim + 1) + 8 * DEGREE)))
+    return max(-(-n // most), min(FEW, -(-n // LEAST)))
 
 
 def usable(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -200,7 +207,7 @@ def build(points: DataFrame, largest: float, shards: int) -> DataFrame:
         if held:
             yield from finish(held)
 
-    dealt = points.select("shard", "v", "ids").repartition(2 * shards, "shard").sortWithinPartitions("shard", F.col("ids")[0])
+    dealt = points.select("shard", "v", "ids").repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", F.col("ids")[0])
     return dealt.mapInArrow(run, schema)
 
 
@@ -250,7 +257,7 @@ def search(index: DataFrame, queries: DataFrame, largest: float, shards: int, k:
                     parts = [parts[0].slice(0, 1)]
                 yield from answer(batch.slice(cut))
 
-    both = left.unionByName(asked).repartition(2 * shards, "shard").sortWithinPartitions("shard", "kind", "pos")
+    both = left.unionByName(asked).repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "kind", "pos")
     return both.mapInArrow(run, schema)
 
 
@@ -264,7 +271,7 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = K) -> DataFrame:
     own = good.where(F.size("v") == sizes["dim"])
     copies = own.withColumn("copy", F.dense_rank().over(W.partitionBy("v").orderBy("vec_id"))).where(F.col("copy") <= k + 1)
     points = copies.groupBy("v").agg(F.array_sort(F.collect_set("vec_id")).alias("ids"))
-    shards = max(-(-sizes["n"] // MOST), min(FEW, -(-sizes["n"] // LEAST)))
+    shards = shards_for(sizes["n"], sizes["dim"])
     dealt = points.withColumn("shard", F.pmod(F.xxhash64("v"), F.lit(shards)).cast("int"))
     index = written(build(dealt, float(sizes["largest"]), shards), "graph-index")
     asked = own.where(F.pmod("vec_id", F.lit(every)) == 0).groupBy(F.col("vec_id").alias("query_id")).agg(F.min("v").alias("v"))

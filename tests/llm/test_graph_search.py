@@ -59,3 +59,26 @@ def test_graphs_hold_copies_and_clusters():
     found, _ = g.search(x[::10], 32)
     true = ((x[::10][:, None] - x[None]) ** 2).sum(2).argsort(1)[:, :10]
     assert np.mean([len(set(a[:10]) & set(b)) / 10 for a, b in zip(found.tolist(), true.tolist())]) > 0.95
+
+
+def test_shards_are_bounded_by_vectors_and_bytes():
+    assert gs.shards_for(1, 64) == 1 and gs.shards_for(51_282, 64) == 12
+    assert gs.shards_for(10**9, 64) == -(-(10**9) // gs.MOST)
+    for dim in (64, 768, 4096):
+        per = 10**8 / gs.shards_for(10**8, dim)
+        assert per <= gs.MOST and per * 24 * dim <= gs.SHARD_BYTES
+
+
+def test_recall_at_sixty_four_components(spark):
+    """One shard of clustered vectors of unlike length, against brute force."""
+    rng = np.random.default_rng(6)
+    v = rng.normal(size=(40, 64))[rng.integers(0, 40, 4000)] + 0.6 * rng.normal(size=(4000, 64))
+    v *= rng.uniform(0.5, 2, size=(4000, 1))
+    got = {}
+    for r in gs.nearest(spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    assert sorted(got) == list(range(0, 4000, 20))
+    scores = v[::20] @ v.T
+    scores[np.arange(200), np.arange(0, 4000, 20)] = -np.inf
+    true = np.argsort(-scores, axis=1)[:, :20]
+    assert np.mean([len(got[20 * i] & set(true[i].tolist())) / 20 for i in range(200)]) >= 0.9
