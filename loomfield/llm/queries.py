@@ -11,6 +11,9 @@ from loomfield.llm import chat_format, graph_search, jaccard_join, license_scan,
 #: The public vocabulary that the queries use; any other SentencePiece model file will do.
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 
+#: Shares of the mix's tokens that op7 aims at, of as many tokens as there are.
+TARGETS = {"clean": 0.9, "low": 0.06, "toxic": 0.04}
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -41,7 +44,7 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return source_mixing.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return source_mixing.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), source_mixing.Mix(weights=TARGETS))
 
 
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
