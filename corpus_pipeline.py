@@ -1,4 +1,9 @@
-"""The corpus pipeline: five stages over documents, each written as Parquet and read again by the next."""
+"""The corpus pipeline: five stages over documents, each written as Parquet and read again by the next.
+
+Defined cases: null and empty texts, and those of under ten words, fail the quality rules; rows without an id are judged, are
+no near copies of others, and stay; of repeated rows one stays, and texts that share an id are documents of their own; extra
+columns pass through all stages but the last, which returns its own. Empty tables give no rows.
+"""
 
 from __future__ import annotations
 
