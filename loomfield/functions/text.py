@@ -132,6 +132,38 @@ def resolve_relative_date(c: Column, reference: Column) -> Column:
     return reference + F.make_dt_interval(secs=shift.cast("decimal(18,6)"))
 
 
+def canonical_json(c: Column) -> Column:
+    """JSON with the keys of all objects in order and without white space; null for what is no JSON."""
+    return F.to_json(F.try_parse_json(c))
+
+
+def payload_hash(c: Column) -> Column:
+    """Digest of a payload that does not depend on the order of its keys."""
+    return F.sha2(canonical_json(c), 256)
+
+
+def report_parts(reason: Column) -> tuple[Column, Column]:
+    """(field, note) of a stored report, "field=pay; too low"; other reports are notes on "other"."""
+    form = r"(?s)^field=([a-z]+);\s*(.*)$"
+    return F.when(reason.rlike(form), F.regexp_extract(reason, form, 1)).otherwise("other"), F.when(reason.rlike(form), F.regexp_extract(reason, form, 2)).otherwise(F.coalesce(reason, F.lit("")))
+
+
+def to_iso(c: Column) -> Column:
+    """A stored time as ISO 8601 with milliseconds in UTC; null for what is no time."""
+    return F.date_format(c.try_cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+
+
+def to_locations(c: Column) -> Column:
+    """Stored places as an array of (raw, city, country): a JSON array of objects or strings; blank ones, and what is neither,
+    go. Broken JSON and null have none."""
+    some = F.coalesce(F.try_variant_get(F.try_parse_json(c), "$", "array<variant>"), F.expr("cast(array() as array<variant>)"))
+    blank = lambda x: F.nullif(F.trim(x), F.lit(""))
+    kind = lambda v: F.schema_of_variant(v)
+    get = lambda v, name: F.when(kind(v).startswith("OBJECT"), F.try_variant_get(v, f"$.{name}", "string"))
+    one = lambda v: F.struct(blank(F.coalesce(get(v, "raw"), F.when(kind(v) == "STRING", F.try_variant_get(v, "$", "string")))).alias("raw"), blank(get(v, "city")).alias("city"), blank(get(v, "country")).alias("country"))
+    return F.filter(F.transform(some, one), lambda x: x["raw"].isNotNull())
+
+
 def word_pattern(text: str) -> str:
     """Pattern of a whole word or phrase, where + and # belong to words."""
     import re

@@ -56,6 +56,18 @@ def level_points(seniority: Column, least_years: Column, mine: float) -> Column:
     )
 
 
+def place_points(remote_type: Column, places: Column, remote_ok: bool, wanted: list[str], countries: list[str]) -> Column:
+    """Full for remote work if one is open to it, and for a place one named; six tenths for a country one can work in; null
+    if no place is stated. ``places``: array of structs with raw and country."""
+    most = float(MOST["place"])
+    named = F.exists(places, lambda p: F.exists(F.array(*[F.lit(w.lower()) for w in wanted]), lambda w: F.contains(F.lower(p["raw"]), w)))
+    inside = F.exists(places, lambda p: p["country"].isin(countries))
+    return (
+        F.when(remote_type.eqNullSafe("remote"), most if remote_ok else 0.0).when(F.coalesce(named, F.lit(False)), most)
+        .when(F.size(places) > 0, F.when(F.coalesce(inside, F.lit(False)), most * 0.6).otherwise(0.0))
+    )
+
+
 def eligibility_points(scope: Column, countries: Column, mine: list[str]) -> Column:
     ok = F.arrays_overlap(countries, F.array(*[F.lit(c) for c in mine]))
     return F.when(scope == "worldwide", float(MOST["eligibility"])).when(F.size(countries) > 0, F.when(ok, float(MOST["eligibility"])).otherwise(0.0))

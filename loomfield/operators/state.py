@@ -13,11 +13,12 @@ CLOSE_AFTER, DEAD_AFTER, SUSPECT_DROP, SUSPECT_FROM = 2, 3, 0.2, 10
 
 
 def merge(base: DataFrame, delta: DataFrame, keys: list[str], version: str | None = None, update: list[str] | None = None) -> DataFrame:
-    """``base`` with the rows of ``delta`` put in by key. Of several delta rows of a key the newest version counts; a stored
+    """``base`` with the rows of ``delta`` put in by key. Of several delta rows of a key the newest version counts, and of equal
+    versions the row with the largest hash, so that the choice is the same in every run; a stored
     row is only replaced by one whose version is not older. ``update``: columns to replace (all but the keys). One exchange
     by key on both sides; run twice it changes nothing."""
     if version is not None:
-        newest = F.row_number().over(W.partitionBy(*keys).orderBy(F.desc_nulls_last(version)))
+        newest = F.row_number().over(W.partitionBy(*keys).orderBy(F.desc_nulls_last(version), F.desc(F.xxhash64(*[c for c, kind in delta.dtypes if not kind.startswith("map")]))))
         delta = delta.withColumn("_nth", newest).where("_nth = 1").drop("_nth")
     change = [c for c in base.columns if c not in keys] if update is None else update
     old, new = base.withColumn("_stored", F.lit(True)).alias("o"), delta.withColumn("_given", F.lit(True)).alias("n")
@@ -62,18 +63,20 @@ def ids_hash(ids: Column) -> Column:
     return F.sha2(F.concat(F.array_join(F.array_sort(F.collect_set(ids.cast("string"))), "\n"), F.lit("\n")), 256)
 
 
-def liveness(postings: DataFrame, listed: DataFrame, board: str, item: str) -> DataFrame:
+def liveness(postings: DataFrame, listed: DataFrame, board: str, item: str, polled: DataFrame | None = None) -> DataFrame:
     """One complete poll per board applied to its postings. ``postings``: board, item, status, missing_polls;
-    ``listed``: (board, item) of the boards that were polled. Boards without a poll stay as they are, and so do those
+    ``listed``: (board, item) of what polls listed; ``polled``: the boards that were polled, of which some may have listed
+    nothing (None: those that listed something). Boards without a poll stay as they are, and so do those
     whose list is too short to believe. Listed postings are open without misses; others miss once more and close at the
     second miss in a row. Adds ``suspect``."""
     seen = listed.select(board, item).distinct().withColumn("_listed", F.lit(True))
-    polled = listed.select(board).distinct().withColumn("_polled", F.lit(True))
+    boards = listed.select(board) if polled is None else listed.select(board).union(polled.select(board))
+    polls = boards.distinct().withColumn("_polled", F.lit(True))
     rows = postings.join(seen, [board, item], "left")
     is_open = F.col("status") == "open"
     guard = rows.groupBy(board).agg(F.count_if(is_open).alias("_open"), F.count_if(is_open & F.col("_listed")).alias("_found"))
     guard = guard.withColumn("suspect", (F.col("_open") >= GUARD_MIN_OPEN) & (F.col("_found") < F.col("_open") * GUARD_MIN_SHARE))
-    out = rows.join(guard.select(board, "suspect"), board, "left").join(polled, board, "left")
+    out = rows.join(guard.select(board, "suspect"), board, "left").join(polls, board, "left")
     acts = F.col("_polled").isNotNull() & ~F.col("suspect")
     missed = acts & F.col("_listed").isNull() & is_open
     here = acts & F.col("_listed").isNotNull() & F.col("status").isin("open", "closed")

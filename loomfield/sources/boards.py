@@ -63,3 +63,13 @@ def posting_key(identifier: Column, url: Column, title: Column, location: Column
     """Stable key of a posting on a careers page: its identifier, else its link, else its title and place."""
     blank = lambda c: F.nullif(F.trim(c), F.lit(""))
     return F.substring(F.sha2(F.coalesce(blank(identifier), blank(url), F.concat_ws("|", title, location)), 256), 1, 16)
+
+
+def pseudo_slug(source: Column, name: Column) -> Column:
+    """Slug of the board that stands for a saved query of an aggregator."""
+    return F.concat(F.lit("agg-"), source, F.lit("-"), name)
+
+
+def missing_boards(queries: DataFrame, stored: DataFrame, source: Column) -> DataFrame:
+    """Slugs of the pseudo-boards of saved ``queries`` (name) that are not ``stored`` (slug) yet; stored ones are never edited."""
+    return queries.select(pseudo_slug(source, F.col("name")).alias("slug")).distinct().join(stored, "slug", "left_anti")
