@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from loomfield.functions.text import says
+
 #: Role families and the wording of a title that puts it there; order matters.
 ROLE_RULES_PORTABLE = (
     ("operations", r"\bdata\s+entry\b|\bvirtual\s+assistant\b|\bback[- ]?office\b|\bexecutive\s+assistant\b|\bpersonal\s+assistant\b|\b(?:technical\s+)?(?:program|project)\s+manager\b|\bworkplace\b|\bfacilit(?:y|ies)\b|\boffice\s+manager\b"),
@@ -24,7 +26,8 @@ ROLE_RULES_PORTABLE = (
     ("software-engineering", r"\bsolutions?\s+architect\b|\bengineer\w*\b|\bdeveloper\b|\bprogrammer\b|\bsoftware\b|\bsde\b|\bswe\b|\bfront[- ]?end\b|\bback[- ]?end\b|\bfull[- ]?stack\b|\bweb\s+dev\w*\b|\bmobile\b|\bandroid\b|\bios\b|\breact\b|\bnode\b|\bjava\b|\.net\b|\bphp\b|\bgolang\b|\brust\b|\bpython\b|\bruby\b|\btypescript\b|\bjavascript\b|\bembedded\b|\bfirmware\b|\bblockchain\b|\bsolidity\b|\bgame\s+dev\w*\b|\bunity\b|\barchitect\b"),
 )
 
-#: What a test title must not be followed by (exam preparation), which only Java's look-ahead can say.
+#: Titles about exam preparation, taken out before families are looked for, so that one rule without look-ahead
+#: serves every engine.
 TEST_PREP = r"(?i)\btest(?:ing)?\s*(?:prep|preparation)\b"
 
 #: Levels in titles, first match wins.
@@ -35,7 +38,7 @@ LEVELS = (
 
 #: Wording of a stated employment type, of titles and of descriptions.
 FULL_TIME_TYPE = r"(?i)full[ _-]?time|permanent|\bregular\b|\bemployee\b"
-TYPE_WORDS = (("internship", r"(?i)\bintern(?:ship)?\b"), ("volunteer", r"(?i)volunteer"), ("part_time", r"(?i)part[ _-]?time"), ("temporary", r"(?i)temporary|seasonal|fixed[ _-]?term|\btemp\b"), ("contract", r"(?i)contract|freelanc|consultant|\bb2b\b"))
+TYPE_WORDS = (("internship", r"(?i)\bintern(?:s|ship|ships)?\b|\bapprentice(?:ship)?s?\b"), ("volunteer", r"(?i)volunteer"), ("part_time", r"(?i)part[ _-]?time"), ("temporary", r"(?i)temporary|seasonal|fixed[ _-]?term|\btemp\b"), ("contract", r"(?i)contract|freelanc|consultant|\bb2b\b"))
 INTERN_TITLE = r"(?i)\bintern(?:s|ship)?\b|\bsummer\s+analyst\b|\bstagiair\w*|\bpraktik\w+|\bwerkstudent\w*|\bbecari[oa]s?\b|\balternan(?:t|ce)\b|(?<!early\s)(?<!late\s)(?<!growth\s)(?<!seed\s)\bstage\s*$"
 TRAINEE_TITLE = r"(?i)\b(?:trainee|apprentice(?:ship)?)\b"
 REAL_JOB = r"(?i)\bfull[- ]?time\b|\bpermanent\b|\bppo\b|\bpre[- ]placement\s+offer\b|\bconversion\b|\bctc\b|\blpa\b|\bper\s+annum\b|\bsalary\b|\bconfirmed\s+(?:as|into)\b"
@@ -150,6 +153,8 @@ FLAGS = {
     "campus_ambassador": r"(?i)\bcampus\s+ambassadors?\b",
     "chat_contact": r"(?i)\b(?:whatsapp|telegram)\b[^.\n]{0,80}\b(?:contact|message|apply|call|send)\b",
 }
+#: What a text must hold for a flag's wording to stand in it.
+FLAG_ANCHORS = {"fee_asked": ("fee", "deposit", "charge"), "unpaid": ("unpaid",), "commission_only": ("commission",), "talent_pool": ("talent", "opportunit"), "campus_ambassador": ("ambassador",), "chat_contact": ("whatsapp", "telegram")}
 GUARD = r"(?i)\b(?:no|not|never|without|don't|do\s+not|free\s+of|beware|scam\w*|fraud\w*)\b[^.\n]{0,70}$"
 
 
@@ -160,5 +165,5 @@ def flags(text: Column) -> Column:
     found = []
     for name, pattern in FLAGS.items():
         before = F.regexp_extract_all(own, F.lit(rf"(?s)\G(.*?)(?:{pattern})"), F.lit(1))
-        found.append(F.when(own.rlike(pattern) & F.exists(before, lambda x: ~F.right(x, F.lit(70)).rlike(GUARD)), F.lit(name)))
+        found.append(F.when(says(text, *FLAG_ANCHORS[name]) & own.rlike(pattern) & F.exists(before, lambda x: ~F.right(x, F.lit(70)).rlike(GUARD)), F.lit(name)))
     return F.array_compact(F.array(*found))

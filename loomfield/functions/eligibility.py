@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from loomfield.functions import geo
+from loomfield.functions.text import says
 
 #: Wording near which a country or region is a requirement, and claims that a job is open to all.
 CUES = r"(?i)\bonly\b|\bmust\b|\bbased\s+in\b|\blocated\s+in\b|\bopen\s+to\b|\beligible\b|\bresidents?\s+of\b|\bcitizens?\b|\bauthorized\s+to\s+work\s+in\b|\bhiring\s+in\b|\bcandidates?\s+in\b"
@@ -42,7 +43,7 @@ PERMITS = {
     "security_clearance": r"(?i:\b(?:security\s+clearance|ts/sci|top\s+secret)\b)",
     "citizenship": r"(?i:\b(?:us|u\.s\.|uk|eu)?\s*citizens?\s+only\b|\bcitizenship\s+(?:is\s+)?required\b)",
 }
-PERMIT_ANCHORS = ("authori", "citizen", "verify", "right to", "right", "permit", "clearance", "ts/sci", "top secret", "top")
+PERMIT_ANCHORS = ("authori", "citizen", "verify", "right", "permit", "clearance", "ts/sci", "secret")
 NO_BEFORE = r"(?i)(?:\bno\b|\bnot\b|\bnever\b|\bwithout\b|\bdon't\b|\bdo\s+not\b|\bdoesn't\b|\bdoes\s+not\b|\bisn't\b|\bneedn't\b|\bno\s+need\s+(?:to\s+be|for)\b)[^.;!?\n]{0,30}$"
 NO_AFTER = r"(?i)^[^.;!?\n]{0,25}\b(?:is\s+|are\s+)?(?:not|never)\s+(?:required|needed|necessary|a\s+requirement|mandatory)\b|^[^.;!?\n]{0,25}\b(?:isn't|aren't)\s+(?:required|needed|necessary)\b|^\s*(?:is\s+)?optional\b"
 CONDITION_BEFORE = r"(?i)\b(?:who|that|if\s+you|applicants?|candidates?)\s+(?:are|is|do|does)\s+not\b[^.;!?\n]{0,30}$"
@@ -51,14 +52,6 @@ INDIANS_ONLY, AMERICANS_ONLY = r"(?i)\bindian?\s+(?:citizens?|nationals?)\s+only
 _NONE = "cast(array() as array<string>)"
 
 
-def says(text: Column, *anchors: str) -> Column:
-    """Whether a text holds one of some lower-case strings, in either case: a cheap test in front of a pattern."""
-    low, out = F.lower(text), F.lit(False)
-    for a in anchors:
-        out = out | F.contains(low, F.lit(a))
-    return out
-
-
 def matches(text: Column, pattern: str) -> Column:
     """Array of (said, before, after): each match with 40 characters in front and 45 behind. Null without a match."""
     gaps, said = (F.regexp_extract_all(text, F.lit(rf"(?s)\G(.*?)({pattern})"), F.lit(g)) for g in (1, 2))
@@ -91,15 +84,15 @@ def eligibility(text: Column) -> Column:
     own = F.coalesce(text, F.lit(""))
     known = lambda countries, scope: F.struct(countries.alias("countries"), F.lit(scope).cast("string").alias("scope"))
     none, empty = F.lit(None).cast("array<string>"), F.expr(_NONE)
-    world = own.rlike(WORLDWIDE) | ((F.length(own) <= 60) & own.rlike(WORLDWIDE_BARE))
+    world = says(own, "worldwide", "global", "anywhere") & (own.rlike(WORLDWIDE) | ((F.length(own) <= 60) & own.rlike(WORLDWIDE_BARE)))
     rest = F.regexp_extract(own, rf"(?s){WORLDWIDE}([^.;!?\n]{{0,120}})", 1)
-    outside = geo.country_code(F.trim(F.regexp_extract(own, NOT_OUTSIDE, 1)))
+    outside = F.when(says(own, "outside"), geo.country_code(F.trim(F.regexp_extract(own, NOT_OUTSIDE, 1))))
 
-    places = F.regexp_extract_all(own, F.lit(REMOTE_PLACE), F.lit(1))
+    places = F.when(says(own, "remote"), F.regexp_extract_all(own, F.lit(REMOTE_PLACE), F.lit(1))).otherwise(empty)
     parts = F.transform(places, lambda p: F.filter(F.transform(F.split(p, r"\s*(?:\bor\b|,|/|\|)\s*"), lambda x: F.trim(x)), lambda x: x != ""))
     coded = F.transform(parts, lambda p: F.transform(p, geo.country_code))
     stated = F.flatten(F.filter(coded, lambda c: (F.size(c) > 0) & F.forall(c, lambda x: x.isNotNull())))
-    lower = F.coalesce(matches(own, rf"(?i:\b(?:{_names(k for k in geo.COUNTRIES if k not in ('uk', 'usa', 'u.s.'))})\b)"), F.array())
+    lower = F.coalesce(matches(own, rf"(?iU:\b(?:{_names(k for k in geo.COUNTRIES if k not in ('uk', 'usa', 'u.s.'))})\b)"), F.array())
     upper = F.coalesce(matches(own, r"\b(?:USA|US|UK)\b"), F.array())
     code = {"US": "US", "USA": "US", "UK": "GB"}
     by_upper = F.create_map(*[F.lit(x) for kv in code.items() for x in kv])
@@ -107,12 +100,12 @@ def eligibility(text: Column) -> Column:
     capitals = F.transform(F.filter(upper, _near_cue), lambda m: F.try_element_at(by_upper, m["said"]))
     countries = F.array_sort(F.array_distinct(F.array_compact(F.concat(stated, named, capitals))))
     bare = F.lower(F.regexp_replace(own, r"^[\s.,;:()\[\]]+|[\s.,;:()\[\]]+$", ""))
-    regions = bare.isin(*REGION_WORDS) | F.coalesce(F.exists(matches(own, rf"(?i:\b(?:{_names(REGION_WORDS)})\b)"), _near_cue), F.lit(False))
-    has_place = says(own, *[n for n in geo.COUNTRIES if n not in ("uk", "usa", "u.s.")]) | own.rlike(r"\bUSA?\b|\bUK\b|(?i:remote\s*[-–:(])")
+    regions = bare.isin(*REGION_WORDS) | F.coalesce(F.exists(matches(own, rf"(?iU:\b(?:{_names(REGION_WORDS)})\b)"), _near_cue), F.lit(False))
+    has_place = says(own, *[n for n in geo.COUNTRIES if n not in ("uk", "usa", "u.s.")]) | says(own, "remote") | own.rlike(r"\bUSA?\b|\bUK\b")
     return (
         F.when(world & rest.rlike(EXCEPTION), known(none, None)).when(world, known(empty, "worldwide"))
         .when(outside.isNotNull(), known(F.array(outside), "countries"))
-        .when(own.rlike(EU_ONLY), known(F.array(*[F.lit(c) for c in sorted(geo.EU)]), "countries"))
+        .when(says(own, "the eu", "eu only", "union only") & own.rlike(EU_ONLY), known(F.array(*[F.lit(c) for c in sorted(geo.EU)]), "countries"))
         .when(has_place & (F.size(countries) > 0), known(countries, "countries"))
         .when(says(own, *REGION_WORDS) & regions, known(none, "regions")).otherwise(known(none, None))
     )

@@ -6,7 +6,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomfield.functions import decisions
+from loomfield.functions import decisions, eligibility
+from loomfield.functions.text import says
 
 #: Pay wording.
 CURRENCY = r"₹|\bRs\.?|\bINR\b|\bUSD\b|US\$|S\$|A\$|CA?\$|\$|€|\bEUR\b|£|\bGBP\b|\bAUD\b|\bCAD\b|\bSGD\b|\bAED\b"
@@ -23,7 +24,8 @@ CURRENCIES = {"₹": "INR", "rs": "INR", "rs.": "INR", "inr": "INR", "$": "USD",
 YEARLY = {"hour": 2080, "day": 260, "month": 12, "year": 1}
 
 #: Wording of experience, work mode, deadlines, visas.
-YEARS = r"(?i)\b(\d{1,2})\s*+(?:(?:-|–|to)\s*+(\d{1,2}))?\s*+(\+)?\s*+(?:years?|yrs?)\b(?=[^.\n]{0,40}\bexp|\s+of\b|[^.\n]{0,20}\brequired)"
+YEARS_SAID = r"(?i)\b(\d{1,2})\s*+(?:(?:-|–|to)\s*+(\d{1,2}))?\s*+(\+)?\s*+(?:years?|yrs?)\b"
+YEARS = YEARS_SAID + r"(?=[^.\n]{0,40}\bexp|\s+of\b|[^.\n]{0,20}\brequired)"
 FRESHER = r"(?i)\b(?:freshers?|no\s+(?:prior\s+)?experience\s+(?:required|needed))\b"
 REMOTE = r"(?i)\b(?:fully\s+remote|100\s*%\s*remote|remote[- ]first|work\s+from\s+(?:home|anywhere)|this\s+is\s+a\s+remote|remote\s+(?:role|position|job|opportunity))\b"
 HYBRID = r"(?i)\bhybrid\b"
@@ -42,13 +44,15 @@ def scanned(text: Column) -> Column:
     return F.coalesce(text, F.lit(""))
 
 
-def _chain(text: Column, pattern: str, groups: int) -> Column:
-    """Array of matches: ``before`` (the text since the last match) and the groups ``g1`` to ``gN``; null without any."""
-    whole = rf"(?s)\G(.*?)(?:{pattern})"
-    parts = [F.regexp_extract_all(text, F.lit(whole), F.lit(i)).alias("before" if i == 1 else f"g{i - 1}") for i in range(1, groups + 2)]
-    # Texts without a match cost one search instead of one for each group.
-    zipped = F.arrays_zip(*parts)
-    return F.when(text.rlike(pattern), zipped)
+def _chain(text: Column, pattern: str, groups: int, inner: str | None = None) -> Column:
+    """Array of matches: ``before`` (the text since the last match) and the groups ``g1`` to ``gN``; null without any. The text is
+    searched for whole matches, and groups are read from each short match by ``inner`` (the pattern itself, or what of it does
+    not look beyond the match)."""
+    whole = rf"(?s)\G(.*?)({pattern})"
+    # Texts without a match cost one search.
+    both = F.when(text.rlike(pattern), F.arrays_zip(*[F.regexp_extract_all(text, F.lit(whole), F.lit(i)).alias(n) for i, n in ((1, "before"), (2, "said"))]))
+    group = lambda m, i: F.regexp_extract(m["said"], inner or pattern, i).alias(f"g{i}")
+    return F.transform(both, lambda m: F.struct(m["before"].alias("before"), *[group(m, i) for i in range(1, groups + 1)]))
 
 
 def _lookup(table: dict, key: Column) -> Column:
@@ -86,7 +90,8 @@ def pay(text: Column) -> Column:
         return F.when(good & ~F.right(m["before"], F.lit(40)).rlike(FUNDING), F.struct(low.alias("low"), high.alias("high"), currency.alias("currency"), year.alias("period")))
 
     anchored = scanned(text).rlike(rf"(?i)(?:{CURRENCY})[\s:]{{0,4}}[0-9]|[0-9]\s*(?:{MAGNITUDE})")
-    return F.when(anchored, agreed(F.array_compact(F.transform(_chain(scanned(text), PAY, 8), read))))
+    marked = says(text, "₹", "$", "€", "£", "rs", "inr", "usd", "eur", "gbp", "aud", "cad", "sgd", "aed", "crore", "cr", "lakh", "lac", "lpa") & scanned(text).rlike("[0-9]")
+    return F.when(marked & anchored, agreed(F.array_compact(F.transform(_chain(scanned(text), PAY, 8), read))))
 
 
 def pay_in_rupees(rows: DataFrame, rates: DataFrame, column: str = "pay") -> DataFrame:
@@ -104,24 +109,24 @@ def experience(text: Column) -> Column:
         a, b = m["g1"].try_cast("int"), m["g2"].try_cast("int")
         return F.when((a <= 40) & (b.isNull() | ((b <= 40) & (a <= b))), F.struct(a.alias("least"), F.when(m["g3"] == "+", None).otherwise(F.coalesce(b, F.lit(None))).alias("most")))
 
-    stated = agreed(F.array_compact(F.transform(_chain(scanned(text), YEARS, 3), read)))
-    any_years = scanned(text).rlike(YEARS)
-    return F.when(any_years, stated).when(scanned(text).rlike(FRESHER), F.struct(F.lit(0).alias("least"), F.lit(None).cast("int").alias("most")))
+    stated = agreed(F.array_compact(F.transform(_chain(scanned(text), YEARS, 3, YEARS_SAID), read)))
+    any_years = says(text, "year", "yr") & scanned(text).rlike(YEARS)
+    return F.when(any_years, stated).when(says(text, "fresher", "experience") & scanned(text).rlike(FRESHER), F.struct(F.lit(0).alias("least"), F.lit(None).cast("int").alias("most")))
 
 
 def work_mode(text: Column) -> Column:
     """remote, hybrid or onsite if exactly one of them is said without a negation in front."""
     own = scanned(text)
-    says = []
-    for name, pattern in (("remote", REMOTE), ("hybrid", HYBRID), ("onsite", ONSITE)):
+    said = []
+    for name, pattern, anchors in (("remote", REMOTE, ("remote", "work")), ("hybrid", HYBRID, ("hybrid",)), ("onsite", ONSITE, ("site", "office"))):
         before = F.regexp_extract_all(own, F.lit(rf"(?s)\G(.*?)(?:{pattern})"), F.lit(1))
-        says.append(F.when(own.rlike(pattern) & F.exists(before, lambda x: ~F.right(x, F.lit(40)).rlike(NEGATED)), F.lit(name)))
-    return agreed(F.array_compact(F.array(*says)))
+        said.append(F.when(says(text, *anchors) & own.rlike(pattern) & F.exists(before, lambda x: ~F.right(x, F.lit(40)).rlike(NEGATED)), F.lit(name)))
+    return agreed(F.array_compact(F.array(*said)))
 
 
 def deadline(text: Column) -> Column:
     """End of the day (UTC) that applications close, if one date is stated."""
-    days = F.regexp_extract_all(scanned(text), F.lit(DEADLINE), F.lit(1))
+    days = F.when(says(text, "apply", "deadline", "closing", "closes", "last"), F.regexp_extract_all(scanned(text), F.lit(DEADLINE), F.lit(1)))
     return F.timestamp_seconds(F.unix_timestamp(agreed(F.array_compact(F.transform(days, lambda d: d.try_cast("date")))).cast("timestamp")) + 86399)
 
 
@@ -129,7 +134,7 @@ def visa(text: Column) -> Column:
     """no before yes; both, once refusals are taken out, is unknown."""
     own = scanned(text)
     no, yes = own.rlike(VISA_NO), F.regexp_replace(own, VISA_NO, " ").rlike(VISA_YES)
-    return F.when(no & yes, None).when(no, "no").when(yes, "yes")
+    return F.when(~says(text, "sponsor"), None).when(no & yes, None).when(no, "no").when(yes, "yes")
 
 
 def joining(text: Column) -> Column:
@@ -137,7 +142,7 @@ def joining(text: Column) -> Column:
     own = scanned(text)
     unit = F.regexp_extract(own, NOTICE, 2)
     days = F.regexp_extract(own, NOTICE, 1).try_cast("int") * F.when(F.lower(unit) == "week", 7).when(F.lower(unit) == "month", 30).otherwise(1)
-    return F.when(own.rlike(NOTICE), F.struct(F.lit("notice_days").alias("kind"), days.alias("days"))).when(own.rlike(IMMEDIATE), F.struct(F.lit("immediate").alias("kind"), F.lit(0).alias("days")))
+    return F.when(~says(text, "notice", "join"), None).when(own.rlike(NOTICE), F.struct(F.lit("notice_days").alias("kind"), days.alias("days"))).when(own.rlike(IMMEDIATE), F.struct(F.lit("immediate").alias("kind"), F.lit(0).alias("days")))
 
 
 def languages(text: Column) -> Column:
@@ -146,6 +151,7 @@ def languages(text: Column) -> Column:
     pattern = rf"(?i)\b(?:fluen(?:t|cy)|native|bilingual|proficien(?:t|cy)|speak(?:ing)?)\s+(?:[\w-]+\s+){{0,3}}?({names})\b([^.\n]{{0,40}})"
     rows = _chain(scanned(text), pattern, 2)
     nice = r"(?i)\b(?:plus|advantage|bonus|asset|nice[- ]to[- ]have|preferred|desirable|optional|not\s+required)\b"
+    rows = F.when(says(text, *LANGUAGES), rows)
     hard = F.filter(rows, lambda m: ~m["g2"].rlike(nice) & ~F.right(m["before"], F.lit(40)).rlike(rf"{nice}[^.\n]*$"))
     return F.coalesce(F.array_sort(F.array_distinct(F.transform(hard, lambda m: F.lower(m["g1"])))), F.expr("cast(array() as array<string>)"))
 
@@ -168,16 +174,33 @@ def skills(rows: DataFrame, key: str, text: str, dictionary: DataFrame) -> DataF
     return said.join(dictionary.select(F.lower("term").alias("term"), "skill"), "term").groupBy(key, "skill").agg(F.min("importance").alias("importance"))
 
 
-def extract(title: Column, text: Column) -> Column:
-    """All fields of a posting as one struct."""
-    p, e, j = pay(text), experience(text), joining(text)
+def parts_of(title: Column, text: Column) -> dict[str, Column]:
+    """What each rule finds, by rule."""
+    return {
+        "pay": pay(text), "years": experience(text), "joining": joining(text), "mode": work_mode(F.concat_ws("\n", title, text)), "deadline": deadline(text), "visa": visa(text),
+        "languages": languages(text), "flags": decisions.flags(text), "eligibility": eligibility.eligibility(text), "permits": eligibility.permits(text),
+    }
+
+
+def fields_of(title: Column, found: dict[str, Column]) -> Column:
+    """All fields of a posting as one struct, from ``parts_of``."""
+    p, e, j, c = found["pay"], found["years"], found["joining"], found["eligibility"]
     return F.struct(
         p["low"].alias("pay_low"), p["high"].alias("pay_high"), p["currency"].alias("pay_currency"), p["period"].alias("pay_period"), e["least"].alias("years_least"), e["most"].alias("years_most"),
-        decisions.level(title).alias("seniority"), work_mode(F.concat_ws("\n", title, text)).alias("work_mode"), deadline(text).alias("deadline"), visa(text).alias("visa"),
-        j["kind"].alias("joining"), j["days"].alias("joining_days"), F.array_join(languages(text), ",").alias("languages"), F.array_join(decisions.flags(text), ",").alias("flags"),
+        decisions.level(title).alias("seniority"), found["mode"].alias("work_mode"), found["deadline"].alias("deadline"), found["visa"].alias("visa"),
+        j["kind"].alias("joining"), j["days"].alias("joining_days"), F.array_join(found["languages"], ",").alias("languages"), F.array_join(found["flags"], ",").alias("flags"),
+        c["countries"].alias("countries"), c["scope"].alias("scope"), F.when(F.size(found["permits"]) > 0, found["permits"]).alias("permits"),
     )
 
 
+def with_fields(rows: DataFrame, title: Column, text: Column, name: str = "_rules") -> DataFrame:
+    """``rows`` with all fields as the struct ``name``. What a rule finds is worked out in a projection of its own, so once per
+    row, however many fields come from it."""
+    found = parts_of(title, text)
+    own = rows.withColumns({f"_found_{k}": c for k, c in found.items()})
+    return own.withColumn(name, fields_of(title, {k: F.col(f"_found_{k}") for k in found})).drop(*[f"_found_{k}" for k in found])
+
+
 def fill(known: Column, provenance: Column, found: Column) -> tuple[Column, Column, Column]:
     """(value, provenance, conflict) of a field: a rule only fills what is unknown, and differing values are a conflict."""
     return F.coalesce(known, found), F.when(known.isNotNull(), provenance).when(found.isNotNull(), "rule"), known.isNotNull() & found.isNotNull() & (known != found)

@@ -6,6 +6,14 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def says(text: Column, *anchors: str) -> Column:
+    """Whether a text holds one of some lower-case strings, in either case: a cheap test in front of a pattern."""
+    low, out = F.lower(F.coalesce(text, F.lit(""))), F.lit(False)
+    for a in anchors:
+        out = out | F.contains(low, F.lit(a))
+    return out
+
+
 def normalize_title(c: Column) -> Column:
     """Lower case; letters, digits, underscores, spaces and + # . stay; white space collapses."""
     return F.trim(F.regexp_replace(F.regexp_replace(F.lower(c), r"(?U)[^\w\s+#.]", " "), r"\s+", " "))
@@ -45,9 +53,13 @@ REDACTIONS = (
 )
 
 
+#: What a text must hold, in either case, for each of these to find something.
+_HOLDS = (("@",), ("bearer",), ("=",), ("=",))
+
+
 def redact(c: Column) -> Column:
-    for pattern, instead in REDACTIONS:
-        c = F.regexp_replace(c, pattern, instead)
+    for (pattern, instead), anchors in zip(REDACTIONS, _HOLDS, strict=True):
+        c = F.when(says(c, *anchors), F.regexp_replace(c, pattern, instead)).otherwise(c)
     return c
 
 

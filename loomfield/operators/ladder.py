@@ -14,7 +14,7 @@ from loomfield.operators import state
 VERSION = "1"
 
 #: Values that rules may fill, and the field of ``rules.extract`` (or an expression over it) that fills them.
-FILLED = {"remote_type": "work_mode", "seniority": "seniority", "deadline_at": "deadline", "visa_sponsorship": "visa"}
+FILLED = {"remote_type": "work_mode", "seniority": "seniority", "deadline_at": "deadline", "visa_sponsorship": "visa", "eligible_countries": "countries", "eligibility_scope": "scope", "work_auth_required": "permits"}
 
 
 def with_page_data(rows: DataFrame, key: str, html: str) -> DataFrame:
@@ -32,7 +32,7 @@ def with_page_data(rows: DataFrame, key: str, html: str) -> DataFrame:
 def apply_rules(rows: DataFrame, title: str = "title", text: str = "description") -> DataFrame:
     """``rows`` with what wording says where nothing is known yet. Each filled value has ``<name>_provenance`` (source, rule
     or unknown); a differing statement of a known value goes to ``rule_conflicts``."""
-    f = rows.withColumn("_rules", rules.extract(F.coalesce(F.col(title), F.lit("")), F.col(text)))
+    f = rules.with_fields(rows, F.coalesce(F.col(title), F.lit("")), F.col(text))
     r = F.col("_rules")
     rule_pay = F.when(F.coalesce(r["pay_low"], r["pay_high"]).isNotNull(), F.struct(r["pay_low"].alias("low"), r["pay_high"].alias("high"), r["pay_currency"].alias("currency"), r["pay_period"].alias("period")))
     out, clashes = [c for c in rows.columns if c not in (*FILLED, "pay")], []

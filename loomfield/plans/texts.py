@@ -61,7 +61,7 @@ select lang, (letters >= 80 and other / greatest(letters, 1) > 0.3) or (words >=
 def non_english(t: Tables) -> DataFrame:
     """Documents judged to be in another language, against their stated one."""
     counts = tx.language_counts(F.col("text"))
-    rows = t.documents.select("lang", *[c.alias(k) for k, c in counts.items()])
+    rows = t.spread("documents", "doc_id", "doc_id", "lang", "text").select("lang", *[c.alias(k) for k, c in counts.items()])
     return rows.select("lang", tx.is_non_english(*[F.col(k) for k in counts]).alias("foreign_text")).groupBy("lang", "foreign_text").agg(F.count("*").alias("n"))
 
 
@@ -72,7 +72,7 @@ select doc_id, r <> text as changed, md5(r) as digest from d
 """)
 def redact_docs(t: Tables) -> DataFrame:
     """Documents after redaction of addresses and tokens."""
-    return t.documents.select("doc_id", "text", tx.redact(F.col("text")).alias("r")).select("doc_id", (F.col("r") != F.col("text")).alias("changed"), F.md5("r").alias("digest"))
+    return t.spread("documents", "doc_id", "doc_id", "text").select("doc_id", "text", tx.redact(F.col("text")).alias("r")).select("doc_id", (F.col("r") != F.col("text")).alias("changed"), F.md5("r").alias("digest"))
 
 
 @query("select md5(text) as digest, count(*) as n, min(doc_id) as first_id, max(doc_id) as newest_id from documents group by 1 having count(*) > 1")
@@ -185,7 +185,8 @@ def rule_fields(t: Tables) -> DataFrame:
     """Pay, experience, work mode, deadline, visa and languages that the wording rules find in each document."""
     from loomfield.functions import rules
 
-    return t.documents.select("doc_id", rules.extract(F.lit(""), F.col("text")).alias("f")).select("doc_id", "f.*")
+    rows = rules.with_fields(t.spread("documents", "doc_id", "doc_id", "text"), F.lit(""), F.col("text"), "f").select("doc_id", "f.*")
+    return rows.withColumns({c: F.array_join(c, ",") for c in ("countries", "permits")})
 
 
 @query()
@@ -193,6 +194,6 @@ def decided_documents(t: Tables) -> DataFrame:
     """All decisions on each document, its first line standing for a title."""
     from loomfield.operators import ladder
 
-    rows = t.documents.select("doc_id", F.substring_index("text", "\n", 1).alias("title"), F.col("text").alias("description"))
-    done = ladder.decide(rows)
+    rows = t.spread("documents", "doc_id", "doc_id", "text").select("doc_id", F.substring_index("text", "\n", 1).alias("title"), F.col("text").alias("description"))
+    done = ladder.decide(ladder.apply_rules(rows))
     return done.select("doc_id", "employment_kind", "role_family", "india_eligible", "entry_level", F.array_join("flags", ",").alias("flags"), F.array_join("labels", ",").alias("labels"), "decision_key")

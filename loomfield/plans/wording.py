@@ -40,7 +40,8 @@ def _pick(values: tuple) -> Column:
 
 
 def _said(values: tuple) -> Column:
-    return F.concat_ws("\n", "text", _pick(tuple(v[0] for v in values)))
+    # The line between keeps a document's own words out of the 45 characters around the statement.
+    return F.concat_ws("\n", "text", F.lit("-" * 60), _pick(tuple(v[0] for v in values)))
 
 
 def _sql(values: tuple, columns: str) -> str:
@@ -49,17 +50,23 @@ def _sql(values: tuple, columns: str) -> str:
     return f"select doc_id, {columns} from documents join (values {rows}) as meant(n, {columns}) on doc_id % {len(values)} = n"
 
 
-@query(_sql(ELIGIBILITY, "countries, scope"))
+#: A document's own words may name a region close to a cue, which counts where the statement settles nothing; statement 2 does.
+_OWN_REGION = rf"""
+len(list_filter(regexp_extract_all(text, '(?i)[\s\S]{{0,40}}\b(?:{"|".join(el.REGION_WORDS)})\b[\s\S]{{0,38}}'), lambda x: regexp_matches(x, '{el.CUES}'))) > 0
+"""
+
+
+@query(f"select m.doc_id, countries, case when scope is null and m.doc_id % {len(ELIGIBILITY)} <> 2 and own then 'regions' else scope end as scope from ({_sql(ELIGIBILITY, 'countries, scope')}) m join (select doc_id, {_OWN_REGION} as own from documents) o using (doc_id)")
 def stated_eligibility(t: Tables) -> DataFrame:
     """Countries and scope that each document's wording states."""
-    found = t.documents.select("doc_id", _said(ELIGIBILITY).alias("said")).select("doc_id", el.eligibility(F.col("said")).alias("e"))
+    found = t.spread("documents", "doc_id").select("doc_id", _said(ELIGIBILITY).alias("said")).select("doc_id", el.eligibility(F.col("said")).alias("e"))
     return found.select("doc_id", F.array_join("e.countries", ",").alias("countries"), "e.scope")
 
 
 @query(_sql(PERMITS, "labels"))
 def stated_permits(t: Tables) -> DataFrame:
     """Labels of the permits that each document's wording asks for."""
-    return t.documents.select("doc_id", _said(PERMITS).alias("said")).select("doc_id", F.array_join(el.permits(F.col("said")), ",").alias("labels"))
+    return t.spread("documents", "doc_id").select("doc_id", _said(PERMITS).alias("said")).select("doc_id", F.array_join(el.permits(F.col("said")), ",").alias("labels"))
 
 
 @query(_sql(TITLES, "segments"))

@@ -19,6 +19,15 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    def spread(self, name: str, key: str, *columns: str) -> DataFrame:
+        """A table for costly expressions: if its files have fewer parts than there are cores (one large row group is one part,
+        however long its texts take), its rows are dealt over all cores by ``key``. Tables of many parts are read as they are."""
+        table = getattr(self, name)
+        if columns:
+            table = table.select(*columns)
+        cores = self.spark.sparkContext.defaultParallelism
+        return table.repartition(cores, key) if table.rdd.getNumPartitions() < 2 * cores else table
+
 
 def query(sql: str | None = None):
     """Register a function of ``Tables`` under its name, with the SQL that gives the same rows."""
