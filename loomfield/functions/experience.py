@@ -8,16 +8,16 @@ from pyspark.sql import functions as F
 from loomfield.functions.matches import around, ungrouped
 from loomfield.functions.text import says
 
-#: Statements of years and months; no one is asked for more than 40 years, and months end at 36.
+#: Fixed values (white space is taken whole, so that long runs of it stay linear): statements of years and months; no one is asked for more than 40 years, and months end at 36.
 _NUMBER, _UNIT, _TO = r"[0-9]{1,3}(?:\.[0-9]+)?", r"(?:years?|yrs?|yoe)", r"(?:–|—|-|to)"
-RANGE = rf"(?i:(?:\b(?:minimum|min|at\s+least|up\s+to|maximum|max)\b[\s:]{{0,3}})?({_NUMBER})\s*{_TO}\s*({_NUMBER})\s*{_UNIT}\b)"
-PLUS = rf"(?i:({_NUMBER})\s*\+\s*{_UNIT}\b)"
-MINIMUM = rf"(?i:\b(?:minimum|min|at\s+least)\b[\s:]+({_NUMBER})\s*{_UNIT}\b)"
-UP_TO = rf"(?i:\b(?:up\s+to|maximum|max)\b[\s:]+({_NUMBER})\s*{_UNIT}\b)"
+RANGE = rf"(?i:(?:\b(?:minimum|min|at\s+least|up\s+to|maximum|max)\b[\s:]{{0,3}})?({_NUMBER})\s*+{_TO}\s*+({_NUMBER})\s*+{_UNIT}\b)"
+PLUS = rf"(?i:({_NUMBER})\s*+\+\s*+{_UNIT}\b)"
+MINIMUM = rf"(?i:\b(?:minimum|min|at\s+least)\b[\s:]+({_NUMBER})\s*+{_UNIT}\b)"
+UP_TO = rf"(?i:\b(?:up\s+to|maximum|max)\b[\s:]+({_NUMBER})\s*+{_UNIT}\b)"
 LESS_THAN_YEAR = r"(?i:\b(?:less\s+than|under|below)\s+(a|1|one)\s+year\b)"
-MONTHS = rf"(?i:([0-9]{{1,2}})\s*{_TO}\s*([0-9]{{1,2}})\s*months?\b)"
-SINGLE = rf"(?i:({_NUMBER})\s*{_UNIT}\b(\s*\+)?)"
-MONTH = r"(?i:([0-9]{1,2})\s*\+?\s*months?\b)"
+MONTHS = rf"(?i:([0-9]{{1,2}})\s*+{_TO}\s*+([0-9]{{1,2}})\s*+months?\b)"
+SINGLE = rf"(?i:({_NUMBER})\s*+{_UNIT}\b(\s*+\+)?)"
+MONTH = r"(?i:([0-9]{1,2})\s*+\+?\s*+months?\b)"
 MONTH_BEHIND = r"(?i)^[^.]{0,30}\b(?:experience|exp)\b"
 MOST_YEARS, MOST_MONTHS = 40, 36
 

@@ -42,14 +42,14 @@ UNPAID = (
     r"|\b(?:equity|shares?)[- ]only\b|\bpaid\s+in\s+(?:exposure|experience|equity\s+only)\b|\b(?:compensation|payment|pay)\s+is\s+(?:experience|exposure|learning|equity)\b|\bin\s+exchange\s+for\s+(?:exposure|experience)\b)"
 )
 UNPAID_BENEFIT = r"(?i)\bunpaid\s+(?:leave|time\s+off|vacation|holidays?|pto|sabbatical|breaks?|parental|maternity|paternity|lunch)\b"
-#: Pay by commission only, promises too good to hold, chat contacts.
+#: Fixed values (white space in front of sums is taken whole, so that long runs of it stay linear): pay by commission only, promises too good to hold, chat contacts.
 COMMISSION_ONLY = (
     r"(?i:\bcommission[- ]only\b|\b100\s*%\s*commission\b|\bonly\s+(?:on\s+)?commissions?\b|\bpurely\s+(?:on\s+)?commissions?\b|\bstraight\s+commission\b|\bno\s+(?:fixed|base|basic)\s+(?:salary|pay)\b|\bnot\s+(?:a\s+)?salaried\b"
     r"|\bcommission[- ]based\s+(?:only|income|role|position)\b|\bearn\s+(?:only\s+)?(?:through|via|from)\s+commissions?\b)"
 )
 TOO_GOOD = (
     r"(?i:\bno\s+interviews?\b|\bwithout\s+(?:any\s+)?interviews?\b|\bguaranteed\s+(?:job|placement|income|salary|joining)\b|\b100\s*%\s*(?:job\s+)?(?:guarantee|placement)\b|\bpay\s+per\s+(?:task|click|like|view|order|video)\b"
-    r"|\bearn\s+(?:up\s+to\s+)?(?:rs\.?|₹|inr|\$)?\s*[\d,]{4,}\s*(?:/|per|a)\s*(?:day|week)\b|\bwork\s+from\s+home\b[^.\n]{0,60}\bearn\s+(?:rs\.?|₹|inr)?\s*[\d,]{5,})"
+    r"|\bearn\s++(?:up\s+to\s++)?(?:rs\.?|₹|inr|\$)?\s*+[\d,]{4,}\s*(?:/|per|a)\s*(?:day|week)\b|\bwork\s+from\s+home\b[^.\n]{0,60}\bearn\s++(?:rs\.?|₹|inr)?\s*+[\d,]{5,})"
 )
 CHAT = r"(?i:\b(?:whats\s?app|telegram)\b)"
 CONTACT = r"(?i)\b(?:apply|send|share|forward|contact|reach|message|text|resume|cv|hr|whatsapp\s+us)\b"

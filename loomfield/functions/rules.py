@@ -6,7 +6,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomfield.functions import decisions, eligibility
+from loomfield.functions import dates, eligibility, flags
+from loomfield.functions import experience as ex
+from loomfield.functions import languages as lg
 from loomfield.functions.text import says
 
 #: Pay wording.
@@ -24,9 +26,6 @@ CURRENCIES = {"₹": "INR", "rs": "INR", "rs.": "INR", "inr": "INR", "$": "USD",
 YEARLY = {"hour": 2080, "day": 260, "month": 12, "year": 1}
 
 #: Wording of experience, work mode, deadlines, visas.
-YEARS_SAID = r"(?i)\b(\d{1,2})\s*+(?:(?:-|–|to)\s*+(\d{1,2}))?\s*+(\+)?\s*+(?:years?|yrs?)\b"
-YEARS = YEARS_SAID + r"(?=[^.\n]{0,40}\bexp|\s+of\b|[^.\n]{0,20}\brequired)"
-FRESHER = r"(?i)\b(?:freshers?|no\s+(?:prior\s+)?experience\s+(?:required|needed))\b"
 REMOTE = r"(?i)\b(?:fully\s+remote|100\s*%\s*remote|remote[- ]first|work\s+from\s+(?:home|anywhere)|this\s+is\s+a\s+remote|remote\s+(?:role|position|job|opportunity))\b"
 HYBRID = r"(?i)\bhybrid\b"
 ONSITE = r"(?i)\b(?:on[- ]?site|in[- ]office|work\s+from\s+(?:the\s+)?office)\b"
@@ -34,7 +33,6 @@ NEGATED = r"(?i)\b(?:not|no|isn't|never)\b[^.\n]{0,25}$"
 DEADLINE = r"(?i)\b(?:apply\s+(?:by|before)|deadline(?:\s+is)?|closing\s+date|closes\s+on|last\s+date)[^0-9\n]{0,20}(\d{4}-\d{2}-\d{2})"
 VISA_NO = r"(?i)\b(?:no|not|unable\s+to|cannot|can't|won't|does\s+not)\b[^.\n]{0,40}\bsponsor\w*|\bwithout\s+(?:visa\s+)?sponsorship\b"
 VISA_YES = r"(?i)\bvisa\s+sponsorship\b|\bsponsor\w*\s+(?:a\s+)?(?:work\s+)?visas?\b"
-LANGUAGES = "german french spanish portuguese italian dutch japanese korean mandarin cantonese chinese arabic russian turkish vietnamese thai indonesian swedish norwegian danish finnish czech hebrew greek hungarian romanian ukrainian hindi tamil telugu kannada malayalam marathi bengali gujarati punjabi urdu odia".split()
 NOTICE = r"(?i)\bnotice\s+period[^.\n0-9]{0,25}(\d{1,3})\s*(day|week|month)s?\b"
 IMMEDIATE = r"(?i)\b(?:immediate\s+join\w*|join\s+immediately)\b"
 
@@ -103,15 +101,9 @@ def pay_in_rupees(rows: DataFrame, rates: DataFrame, column: str = "pay") -> Dat
     return own.withColumn("inr_low", p["low"] * rate * per_year).withColumn("inr_high", p["high"] * rate * per_year).drop("_currency", "inr")
 
 
-def experience(text: Column) -> Column:
+def experience(text: Column, title: Column | None = None) -> Column:
     """struct(least, most) years; statements over 40 years don't count, freshers start at 0, conflicts are unknown."""
-    def read(m: Column) -> Column:
-        a, b = m["g1"].try_cast("int"), m["g2"].try_cast("int")
-        return F.when((a <= 40) & (b.isNull() | ((b <= 40) & (a <= b))), F.struct(a.alias("least"), F.when(m["g3"] == "+", None).otherwise(F.coalesce(b, F.lit(None))).alias("most")))
-
-    stated = agreed(F.array_compact(F.transform(_chain(scanned(text), YEARS, 3, YEARS_SAID), read)))
-    any_years = says(text, "year", "yr") & scanned(text).rlike(YEARS)
-    return F.when(any_years, stated).when(says(text, "fresher", "experience") & scanned(text).rlike(FRESHER), F.struct(F.lit(0).alias("least"), F.lit(None).cast("int").alias("most")))
+    return ex.experience(text, title)
 
 
 def work_mode(text: Column) -> Column:
@@ -125,7 +117,7 @@ def work_mode(text: Column) -> Column:
 
 
 def deadline(text: Column) -> Column:
-    """End of the day (UTC) that applications close, if one date is stated."""
+    """End of the day (UTC) that applications close, if just one date is stated, year first. ``dates.deadline`` reads every shape."""
     days = F.when(says(text, "apply", "deadline", "closing", "closes", "last"), F.regexp_extract_all(scanned(text), F.lit(DEADLINE), F.lit(1)))
     return F.timestamp_seconds(F.unix_timestamp(agreed(F.array_compact(F.transform(days, lambda d: d.try_cast("date")))).cast("timestamp")) + 86399)
 
@@ -147,13 +139,7 @@ def joining(text: Column) -> Column:
 
 def languages(text: Column) -> Column:
     """Languages that a posting requires; those named as a plus don't count."""
-    names = "|".join(LANGUAGES)
-    pattern = rf"(?i)\b(?:fluen(?:t|cy)|native|bilingual|proficien(?:t|cy)|speak(?:ing)?)\s+(?:[\w-]+\s+){{0,3}}?({names})\b([^.\n]{{0,40}})"
-    rows = _chain(scanned(text), pattern, 2)
-    nice = r"(?i)\b(?:plus|advantage|bonus|asset|nice[- ]to[- ]have|preferred|desirable|optional|not\s+required)\b"
-    rows = F.when(says(text, *LANGUAGES), rows)
-    hard = F.filter(rows, lambda m: ~m["g2"].rlike(nice) & ~F.right(m["before"], F.lit(40)).rlike(rf"{nice}[^.\n]*$"))
-    return F.coalesce(F.array_sort(F.array_distinct(F.transform(hard, lambda m: F.lower(m["g1"])))), F.expr("cast(array() as array<string>)"))
+    return lg.languages(text)["required"]
 
 
 def skills(rows: DataFrame, key: str, text: str, dictionary: DataFrame) -> DataFrame:
@@ -174,31 +160,31 @@ def skills(rows: DataFrame, key: str, text: str, dictionary: DataFrame) -> DataF
     return said.join(dictionary.select(F.lower("term").alias("term"), "skill"), "term").groupBy(key, "skill").agg(F.min("importance").alias("importance"))
 
 
-def parts_of(title: Column, text: Column) -> dict[str, Column]:
-    """What each rule finds, by rule."""
+def parts_of(title: Column, text: Column, seen: Column | None = None, country: Column | None = None) -> dict[str, Column]:
+    """What each rule finds, by rule. ``seen`` and ``country``: the posting's time and place, for dates."""
     return {
-        "pay": pay(text), "years": experience(text), "joining": joining(text), "mode": work_mode(F.concat_ws("\n", title, text)), "deadline": deadline(text), "visa": visa(text),
-        "languages": languages(text), "flags": decisions.flags(text), "eligibility": eligibility.eligibility(text), "permits": eligibility.permits(text),
+        "pay": pay(text), "years": experience(text, title), "joining": joining(text), "mode": work_mode(F.concat_ws("\n", title, text)), "deadline": dates.deadline(text, seen, country), "visa": visa(text),
+        "languages": languages(text), "flags": F.transform(flags.hard_flags(title, text), lambda x: x["flag"]), "level": ex.level(title, text), "eligibility": eligibility.eligibility(text), "permits": eligibility.permits(text),
     }
 
 
-def fields_of(title: Column, found: dict[str, Column]) -> Column:
+def fields_of(found: dict[str, Column]) -> Column:
     """All fields of a posting as one struct, from ``parts_of``."""
     p, e, j, c = found["pay"], found["years"], found["joining"], found["eligibility"]
     return F.struct(
         p["low"].alias("pay_low"), p["high"].alias("pay_high"), p["currency"].alias("pay_currency"), p["period"].alias("pay_period"), e["least"].alias("years_least"), e["most"].alias("years_most"),
-        decisions.level(title).alias("seniority"), found["mode"].alias("work_mode"), found["deadline"].alias("deadline"), found["visa"].alias("visa"),
+        found["level"].alias("seniority"), found["mode"].alias("work_mode"), found["deadline"].alias("deadline"), found["visa"].alias("visa"),
         j["kind"].alias("joining"), j["days"].alias("joining_days"), F.array_join(found["languages"], ",").alias("languages"), F.array_join(found["flags"], ",").alias("flags"),
         c["countries"].alias("countries"), c["scope"].alias("scope"), F.when(F.size(found["permits"]) > 0, found["permits"]).alias("permits"),
     )
 
 
-def with_fields(rows: DataFrame, title: Column, text: Column, name: str = "_rules") -> DataFrame:
+def with_fields(rows: DataFrame, title: Column, text: Column, name: str = "_rules", seen: Column | None = None, country: Column | None = None) -> DataFrame:
     """``rows`` with all fields as the struct ``name``. What a rule finds is worked out in a projection of its own, so once per
     row, however many fields come from it."""
-    found = parts_of(title, text)
+    found = parts_of(title, text, seen, country)
     own = rows.withColumns({f"_found_{k}": c for k, c in found.items()})
-    return own.withColumn(name, fields_of(title, {k: F.col(f"_found_{k}") for k in found})).drop(*[f"_found_{k}" for k in found])
+    return own.withColumn(name, fields_of({k: F.col(f"_found_{k}") for k in found})).drop(*[f"_found_{k}" for k in found])
 
 
 def fill(known: Column, provenance: Column, found: Column) -> tuple[Column, Column, Column]:

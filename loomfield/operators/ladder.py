@@ -6,13 +6,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from loomfield.functions import board_fields, decisions, geo, jsonld, rules
+from loomfield.functions import board_fields, decisions, flags, geo, jsonld, rules
+from loomfield.functions import experience as ex
+from loomfield.functions import languages as lg
 from loomfield.functions import text as tx
 from loomfield.operators import state
 
 #: Version of the rules and decisions: rows that carry another one are recomputed.
 VERSION = "1"
 
+#: Languages that everyone is taken to read.
+ASSUMED = ("english", "hindi")
+
 #: Values that rules may fill, and the field of ``rules.extract`` (or an expression over it) that fills them.
 FILLED = {"remote_type": "work_mode", "seniority": "seniority", "deadline_at": "deadline", "visa_sponsorship": "visa", "eligible_countries": "countries", "eligibility_scope": "scope", "work_auth_required": "permits"}
 
@@ -32,7 +37,7 @@ def with_page_data(rows: DataFrame, key: str, html: str) -> DataFrame:
 def apply_rules(rows: DataFrame, title: str = "title", text: str = "description") -> DataFrame:
     """``rows`` with what wording says where nothing is known yet. Each filled value has ``<name>_provenance`` (source, rule
     or unknown); a differing statement of a known value goes to ``rule_conflicts``."""
-    f = rules.with_fields(rows, F.coalesce(F.col(title), F.lit("")), F.col(text))
+    f = rules.with_fields(rows, F.coalesce(F.col(title), F.lit("")), F.col(text), seen=F.col("posted_at").cast("timestamp") if "posted_at" in rows.columns else None)
     r = F.col("_rules")
     rule_pay = F.when(F.coalesce(r["pay_low"], r["pay_high"]).isNotNull(), F.struct(r["pay_low"].alias("low"), r["pay_high"].alias("high"), r["pay_currency"].alias("currency"), r["pay_period"].alias("period")))
     out, clashes = [c for c in rows.columns if c not in (*FILLED, "pay")], []
@@ -80,23 +85,31 @@ def decide(rows: DataFrame) -> DataFrame:
     col = lambda c, kind="string": F.col(c) if c in rows.columns else F.lit(None).cast(kind)
     located = F.array_distinct(F.flatten(F.transform(F.coalesce(col("places", "array<string>"), none), lambda p: read_place(p)["countries"])))
     title, text = F.coalesce(col("title"), F.lit("")), col("description")
-    seniority = F.coalesce(col("seniority"), decisions.level(title))
+    seniority = F.coalesce(col("seniority"), ex.level(title, text))
     kind = decisions.employment_kind(title, text, F.array_join(col("employment_type", "array<string>"), ","), seniority)
     # What several decisions use is computed in a projection of its own, once per row.
-    own = rows.withColumns({"_kind": kind, "_level": seniority, "_years": rules.experience(text), "_counts": F.struct(*[c.alias(k) for k, c in tx.language_counts(text).items()]), "_languages": rules.languages(text)})
+    own = rows.withColumns({
+        "_kind": kind, "_level": seniority, "_years": rules.experience(text, title), "_counts": F.struct(*[c.alias(k) for k, c in tx.language_counts(text).items()]), "_languages": lg.languages(F.concat_ws("\n", title, text)),
+        "_hard": flags.hard_flags(title, text, col("source")), "_soft": flags.soft_labels(title, text, F.array_join(col("employment_type", "array<string>"), ","), col("source"), col("remote_type")),
+    })
     counts = {k: F.col("_counts")[k] for k in ("words", "letters", "non_latin", "english", "foreign")}
-    labels = F.array_compact(F.array(F.when(F.col("_kind") == "contract", "freelance"), F.when(tx.is_non_english(**counts), "not_in_english")))
+    known = F.array(*[F.lit(x) for x in ASSUMED])
+    blocking, nice = F.array_except(F.col("_languages")["required"], known), F.array_except(F.col("_languages")["nice"], known)
+    needed = F.struct(F.lit("language_required").alias("flag"), F.array_join(blocking, ", ").alias("evidence"))
+    foreign = F.struct(F.lit("non_english").alias("flag"), F.lit("").alias("evidence"))
+    raised = F.concat("_hard", F.array_compact(F.array(F.when(F.size(blocking) > 0, needed), F.when(tx.is_non_english(**counts), foreign))))
+    labels = F.array_distinct(F.concat("_soft", F.array_compact(F.array(F.when(F.col("_kind") == "contract", "freelance"))), F.transform(nice, lambda x: F.concat(F.lit("lang_nice:"), x))))
     return own.withColumns({
         "employment_kind": F.col("_kind"), "role_family": decisions.role_family(title),
         "india_eligible": decisions.india_eligible(title, text, col("eligible_countries", "array<string>"), col("eligibility_scope"), col("work_auth_required", "array<string>"), col("remote_type"), located),
         "entry_level": decisions.entry_level(F.col("_level"), F.col("_years")["least"], F.col("_years")["most"], F.col("_kind")),
-        "flags": F.array_distinct(F.concat(decisions.flags(text), F.transform("_languages", lambda x: F.concat(F.lit("language_"), x)))), "labels": labels, "decision_key": F.lit(f"decide:{VERSION}"),
-    }).drop("_kind", "_level", "_years", "_counts", "_languages")
+        "flags": F.transform(raised, lambda x: x["flag"]), "flag_evidence": raised, "labels": labels, "decision_key": F.lit(f"decide:{VERSION}"),
+    }).drop("_kind", "_level", "_years", "_counts", "_languages", "_hard", "_soft")
 
 
 def decide_pending(postings: DataFrame) -> DataFrame:
     """``postings`` where rows decided by another version are decided again and the others stay as they are."""
-    names = ("employment_kind", "role_family", "india_eligible", "entry_level", "flags", "labels", "decision_key")
+    names = ("employment_kind", "role_family", "india_eligible", "entry_level", "flags", "flag_evidence", "labels", "decision_key")
     key = F.lit(f"decide:{VERSION}")
     todo = state.pending(postings, "decision_key", key).drop(*names)
     return postings.where(F.col("decision_key").eqNullSafe(key)).unionByName(decide(todo).select(postings.columns))

@@ -7,6 +7,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomfield.functions import dates, experience, flags, languages
 from loomfield.functions import eligibility as el
 from loomfield.registry import Tables, query
 
@@ -33,6 +34,27 @@ REQUIREMENTS = (
     (("India", "Bavaria", "india"), "IN", "countries", None), (("Worldwide",), None, "worldwide", None), (("EMEA", "anywhere"), None, "regions", None), (("Europe", "Germany"), "DE", "countries", None), (("Bavaria", " "), None, None, None),
     (("Hybrid", "hybrid "), None, None, "hybrid"), (("In  Office", "Hybrid"), None, None, None), (("On-site",), None, None, "onsite"), ((), None, None, None),
 )
+#: Statement, flags, labels.
+FLAGS = (
+    ("A registration fee applies.", "fee_requested", ""), ("There is no registration fee.", "", ""), ("You must pay a small fee before joining.", "fee_requested", ""), ("We build systems for processing fees.", "", ""), ("This is an unpaid role.", "unpaid", ""), ("We grant unpaid leave.", "", ""),
+    ("The job is commission-only.", "commission_only", ""), ("A guaranteed placement!", "too_good", ""), ("We never promise a guaranteed placement.", "", ""), ("Submit your CV for future openings.", "not_a_job", ""), ("Send a message on WhatsApp.", "suspicious_contact", ""),
+    ("It is a night shift.", "", "night_shift"), ("Freelancers may ask.", "", "freelance"), ("We have quarterly offsites.", "", "occasional_office"), ("The security deposit is waived; commission only.", "commission_only", ""), ("Nothing is said.", "", ""),
+)
+#: Statement, languages asked for, languages welcomed.
+LANGUAGES = (
+    ("Fluent in German.", "german", ""), ("Fluent French is a plus.", "", "french"), ("Korean is required.", "korean", ""), ("Italian (B2). Danish preferred.", "italian", "danish"), ("Italian (B2), Danish preferred.", "", "italian"), ("For Spanish-speaking markets.", "", ""), ("A Tamil interpreter.", "tamil", ""),
+    ("Languages: English, Dutch.", "dutch", ""), ("Strong command of Thai; good Czech market sense.", "thai", ""), ("Native Polish.", "polish", ""), ("polish your skills.", "", ""), ("Nothing is said.", "", ""),
+)
+#: Statement, last second for applications from 2026-02-01.
+DEADLINES = (
+    ("Apply by 12 March 2026.", "2026-03-12"), ("Deadline: March 12, 2026", "2026-03-12"), ("Applications close in March 2026.", "2026-03-01"), ("Last date 2026/03/05", "2026-03-05"), ("Apply before 25/12/2026.", "2026-12-25"), ("Apply before 05/06/2026.", None),
+    ("Closes in 10 days.", "2026-02-11"), ("Apply by 5 January.", "2027-01-05"), ("Founded on 12 March 2016.", None), ("Rolling basis.", None),
+)
+#: Statement, least and most years, level.
+YEARS = (
+    ("3-5 years of experience.", "3.0", "5.0", None), ("At least 4 years.", "4.0", None, None), ("Up to 3 years.", None, "3.0", None), ("6-12 months.", "0.5", "1.0", None), ("18 months of experience.", "1.5", None, None), ("Less than a year.", "0.0", "1.0", None),
+    ("Operating for 25 years.", None, None, None), ("2+ years. Freshers welcome.", None, None, "entry"), ("0-1 years. Freshers welcome.", "0.0", "1.0", "entry"), ("Not an entry-level job.", None, None, None), ("Nothing is said.", None, None, None),
+)
 
 
 def _pick(values: tuple) -> Column:
@@ -81,3 +103,32 @@ def applicant_places(t: Tables) -> DataFrame:
     names = _pick(tuple(x[0] for x in REQUIREMENTS))
     rows = t.documents.select("doc_id", el.applicant_requirements(names).alias("r"), el.mode_of_places(names).alias("mode"))
     return rows.select("doc_id", F.array_join("r.countries", ",").alias("countries"), "r.scope", "mode")
+
+
+@query(_sql(FLAGS, "flags, labels"))
+def stated_flags(t: Tables) -> DataFrame:
+    """Flags and labels that each document's wording raises."""
+    rows = t.spread("documents", "doc_id").select("doc_id", _said(FLAGS).alias("said"))
+    hard, soft = flags.hard_flags(F.lit(""), F.col("said")), flags.soft_labels(F.lit(""), F.col("said"))
+    return rows.select("doc_id", F.array_join(F.transform(hard, lambda x: x["flag"]), ",").alias("flags"), F.array_join(soft, ",").alias("labels"))
+
+
+@query(_sql(LANGUAGES, "required, nice"))
+def stated_languages(t: Tables) -> DataFrame:
+    """Languages that each document's wording asks for and welcomes."""
+    rows = t.spread("documents", "doc_id").select("doc_id", languages.languages(_said(LANGUAGES)).alias("l"))
+    return rows.select("doc_id", F.array_join("l.required", ",").alias("required"), F.array_join("l.nice", ",").alias("nice"))
+
+
+@query(_sql(DEADLINES, "deadline"))
+def stated_deadlines(t: Tables) -> DataFrame:
+    """Days by which each document's wording wants applications."""
+    at = dates.deadline(_said(DEADLINES), F.expr("timestamp'2026-02-01 10:00:00'"))
+    return t.spread("documents", "doc_id").select("doc_id", F.date_format(at, "yyyy-MM-dd").alias("deadline"))
+
+
+@query(f"select doc_id, cast(least as double) as least, cast(most as double) as most, level from ({_sql(YEARS, 'least, most, level')})")
+def stated_years(t: Tables) -> DataFrame:
+    """Years of experience and levels that each document's wording asks for."""
+    rows = t.spread("documents", "doc_id").select("doc_id", _said(YEARS).alias("said"))
+    return rows.select("doc_id", experience.experience(F.col("said")).alias("y"), experience.level(F.lit(""), F.col("said")).alias("level")).select("doc_id", "y.least", "y.most", "level")

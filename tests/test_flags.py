@@ -67,3 +67,9 @@ def test_windows_reach_over_earlier_matches(spark):
     rows = spark.createDataFrame([("ab x cd x ef",), ("none",), (None,), ("x",)], "t string")
     got = [[tuple(m) for m in r.y] for r in rows.select(matches.around(F.col("t"), "x", 4, 3).alias("y")).collect()]
     assert got == [[("ab ", "x", " cd"), ("cd ".rjust(4), "x", " ef")], [], [], [("", "x", "")]]
+
+
+def test_long_runs_of_blanks_cost_no_more_than_others(spark):
+    gap = " " * 200_000
+    said = f"earn{gap}x. fluent in{gap}x. languages:{gap}x. pay a{gap}x"
+    assert hard(spark, "", said) == {} and asked(spark, said + " german") == ([], [])
