@@ -129,6 +129,7 @@ def find_runs(words: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     period) by text, start, period; starts count from the text's first word."""
     lengths, h, size = np.diff(offsets), None, SMALLEST
     found: list[np.ndarray] = []
+    reach, period_at = np.zeros(len(words), np.int64), np.ones(len(words), np.int64)
     while size <= LARGEST and (long := np.flatnonzero(lengths >= max(LEAST, TIMES * size if size > SMALLEST else 0))).size:
         last = 1 if size < LARGEST else int(lengths.max()) // (TIMES * size)
         own = lengths[long]
@@ -148,13 +149,20 @@ def find_runs(words: np.ndarray, offsets: np.ndarray) -> np.ndarray:
                 if not whole.any():
                     continue
                 text, seed, distance = long[text[whole]], seed[whole], distance[whole]
-                h = h or Hashes(words)
                 a = seed + offsets[text]
+                # A block and its copy in one stretch that is known, a whole number of its periods apart, show it again.
+                new = (reach[a] < a + distance + size) | (distance % period_at[a] > 0)
+                if not new.any():
+                    continue
+                text, a, distance = text[new], a[new], distance[new]
+                h = h or Hashes(words)
                 b, z = a + distance, offsets[text + 1]
                 right = _longest(lambda k, a=a, b=b: h.of(a, a + k) == h.of(b, b + k), z - b)
                 left = _longest(lambda k, a=a, b=b: h.of(a - k, a) == h.of(b - k, b), a - offsets[text])
                 long_enough = (right >= size) & (left + right + distance >= np.maximum(LEAST, TIMES * distance))
                 found.append(np.unique(np.stack([text, a - left, b + right, distance])[:, long_enough], axis=1))
+                for _, start, end, period in found[-1][:, ::-1].T.tolist():
+                    reach[start:end], period_at[start:end] = end, period
         size *= 2
     # One stretch under several periods has the smallest for its own: of three periods and more, the others are its multiples.
     period_of: dict[tuple[int, int, int], int] = {}
