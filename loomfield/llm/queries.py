@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomfield.llm import chat_format, graph_search, jaccard_join, license_scan, periodic_runs, quality_rules, secret_scan, sentencepiece_codec, sharding, source_mixing, suffix_dedup, warc
+from loomfield.llm import chat_format, conversation_repair, graph_search, jaccard_join, license_scan, periodic_runs, quality_rules, secret_scan, sentencepiece_codec, sharding, source_mixing, suffix_dedup, warc
 
 #: The public vocabulary that the queries use; any other SentencePiece model file will do.
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
@@ -67,8 +67,12 @@ def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.report(_table(spark, sf_dir, "documents"))
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.report(_table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_sentencepiece, op2_graph_search, op3_secret_scan, op4_jaccard_join, op5_quality_rules, op6_chat_format, op7_source_mixing, op8_license_scan, op9_suffix_dedup, op10_warc, op11_periodic_runs, op12_sharding)
+    found = (op1_sentencepiece, op2_graph_search, op3_secret_scan, op4_jaccard_join, op5_quality_rules, op6_chat_format, op7_source_mixing, op8_license_scan, op9_suffix_dedup, op10_warc, op11_periodic_runs, op12_sharding, op13_conversation_repair)
     return {f.__name__: f for f in found}
 
 
