@@ -25,6 +25,8 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomfield.llm.common import crc32_sql
+
 #: What edits cost, and what is added to a truncated turn that stays.
 REROLE, DELETE, INSERT, TRUNCATED = 3, 4, 3, 3
 #: Turns that one table covers.
@@ -259,3 +261,40 @@ def report(turns: DataFrame) -> DataFrame:
         "conv_id", *(F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in COUNTS), F.coalesce("audit", F.lit("")).alias("audit"),
         F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"),
     )
+
+
+#: The states of the grammar (0: nothing yet, 1: behind the system turn, 2: assistant due, 3: user due), turn by turn, each with
+#: the least cost and audit that reach it; up to two insertions stand before a turn.
+ORACLE_SQL = f"""
+with recursive c as (select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text, {crc32_sql("coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ')")} % 20 as h from conversations),
+e as (select conv_id, turn, if(h = 4, 'user', role) as role, case h when 1 then '' when 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text, unnest(range(if(h = 3, 2, 1))) as copy from c where h <> 0),
+o as (select *, row_number() over (partition by conv_id order by turn nulls first, role, text) as pos from e),
+x as (select *, regexp_extract(text, '([^\\x20\\x09-\\x0D])[\\x20\\x09-\\x0D]*$', 1) as last, row_number() over (partition by conv_id, role, text order by pos) as copies, lag(left(role, 1)) over (partition by conv_id order by pos) as before from o),
+t as (select conv_id, turn, role, text, pos, left(role, 1) as letter, before, case when last = '' then 'blank' when copies > 1 then 'duplicate' when last not in ('.', '!', '?') then 'truncated' else '' end as fault from x),
+moves(state, middle, spent, letters) as (values (0, 0, 0, ''), (0, 2, 3, 'I'), (0, 3, 6, 'II'), (1, 1, 0, ''), (1, 2, 3, 'I'), (1, 3, 6, 'II'), (2, 2, 0, ''), (2, 3, 3, 'I'), (3, 3, 0, ''), (3, 2, 3, 'I')),
+edits(middle, due, target) as (values (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (2, 'a', 3), (3, 'u', 2)),
+steps as (select m.state, m.letters, m.spent, s.middle, s.due, s.target from moves m join edits s using (middle)
+  union all select state, letters, spent, middle, null, middle from moves),
+path(conv_id, pos, state, best) as (
+  select distinct conv_id, 0::bigint, 0, {{'cost': 0, 'audit': ''}} from t
+  union all
+  select p.conv_id, t.pos, s.target, min({{
+    'cost': p.best.cost + s.spent + case when s.due is null then 4 else if(t.letter = s.due, 0, 3) + if(t.fault = 'truncated', 3, 0) end,
+    'audit': p.best.audit || s.letters || case when s.due is null then 'D' when t.letter = s.due then 'K' else 'R' end}})
+  from path p join t on t.conv_id is not distinct from p.conv_id and t.pos = p.pos + 1 join steps s on s.state = p.state
+  where s.due is null or (t.fault not in ('blank', 'duplicate') and (s.due <> 's' or t.letter = 's'))
+  group by p.conv_id, t.pos, s.target),
+ends as (select p.conv_id, min({{'cost': p.best.cost + m.spent, 'audit': p.best.audit || m.letters}}) as best
+  from path p join (select conv_id, max(pos) as pos from t group by conv_id) l on l.conv_id is not distinct from p.conv_id and l.pos = p.pos join moves m on m.state = p.state
+  where m.middle = 3 or (m.state = 0 and m.middle = 0) group by p.conv_id),
+letters as (select conv_id, best.audit as audit, unnest(string_split(best.audit, '')) as edit, unnest(range(1, 1 + len(best.audit))) as nth from ends where best.audit <> ''),
+placed as (select *, count(*) filter (edit <> 'I') over w as pos, count(*) filter (edit <> 'D') over w as k, count(*) filter (edit <> 'D') over (partition by conv_id) as m from letters window w as (partition by conv_id order by nth)),
+texts as (select p.conv_id, string_agg(case when edit = 'K' then t.role when (m - k) % 2 = 0 then 'assistant' else 'user' end || ':' || if(edit = 'I', '', t.text), chr(10) order by nth) as repaired
+  from placed p left join t on t.conv_id is not distinct from p.conv_id and t.pos = p.pos where edit <> 'D' group by p.conv_id),
+counts as (select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count(*) filter (fault = 'blank') as blank, count(*) filter (fault = 'duplicate') as duplicate,
+  count(*) filter (fault = 'truncated') as truncated, count(*) filter (pos > 1 and before || letter not in ('su', 'ua', 'au')) as illegal from t group by conv_id)
+select i.conv_id, coalesce(gaps, 0) as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate, coalesce(truncated, 0) as truncated, coalesce(illegal, 0) as illegal,
+  coalesce(best.cost, 0)::bigint as cost, coalesce(best.audit, '') as audit, sha256(coalesce(repaired, '')) as repaired_sha256
+from (select distinct conv_id from conversations) i left join counts n on n.conv_id is not distinct from i.conv_id left join ends e on e.conv_id is not distinct from i.conv_id
+  left join texts x on x.conv_id is not distinct from i.conv_id
+"""

@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomfield.llm.common import byte_slices, space_table, text_bytes, words_in
+from loomfield.llm.common import byte_slices, crc32_sql, space_table, text_bytes, words_in
 from loomfield.llm.suffix_dedup import Hashes
 
 #: A run has so many words at least, and so many periods.
@@ -246,3 +246,23 @@ def report(docs: DataFrame) -> DataFrame:
         "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period", F.expr("1000 * best.length div best.period").alias("exponent_milli"),
         digest(F.array_join(F.transform("runs", line), "")).alias("runs_sha256"), digest(F.col("collapsed")).alias("collapsed_sha256"), "n_words",
     )
+
+
+#: Word pairs at every distance up to a third of the text, gaps and islands per distance, and the smallest period of each stretch.
+ORACLE_SQL = f"""
+with d as (select row_number() over () as r, doc_id, coalesce(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+'), []) as own, coalesce({crc32_sql("doc_id::varchar")}, 1) as h from documents),
+e as (select *, len(own) as n, h // 10 as g, if(h % 10 = 0 and len(own) > 0, (h // 10) % len(own), len(own)) as a from d),
+f as (select *, 1 + (n - a) // (3 + g % 8) as p from e),
+t as (select r, doc_id, n, list_transform(range(n), lambda i: own[1 + if(i < a, i, a + (i - a) % p)]) as words from f),
+w as (select r, n, unnest(words) as word, unnest(range(n)) as i from t),
+pairs as (select x.r, y.i - x.i as q, x.i from w x join w y on x.r = y.r and x.word = y.word and y.i > x.i and 3 * (y.i - x.i) <= x.n),
+islands as (select *, i - row_number() over (partition by r, q order by i) as island from pairs),
+stretches as (select r, q, min(i) as start, count(*) + q as length from islands group by r, q, island having count(*) + q >= greatest({LEAST}, {TIMES} * q)),
+runs as (select r, start, length, min(q) as period from stretches group by all),
+listed as (select r, count(*) as n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' order by start, period) as lines,
+  first({{'start': start, 'length': length, 'period': period}} order by length / period desc, start, period) as best from runs group by r),
+kept as (select r, string_agg(word, ' ' order by i) as words from w where not exists (select 1 from runs x where x.r = w.r and w.i >= x.start + x.period and w.i < x.start + x.length) group by r)
+select doc_id, coalesce(n_runs, 0) as n_runs, best.start as start, best.length as length, best.period as period, 1000 * best.length // best.period as exponent_milli,
+  sha256(coalesce(lines, '')) as runs_sha256, sha256(coalesce(kept.words, '')) as collapsed_sha256, n as n_words
+from t left join listed using (r) left join kept using (r)
+"""

@@ -83,4 +83,6 @@ def oracle_sql() -> dict[str, str]:
         "op6_chat_format": chat_format.ORACLE_SQL,
         "op8_license_scan": license_scan.ORACLE_SQL,
         "op10_warc": warc.ORACLE_SQL,
+        "op11_periodic_runs": periodic_runs.ORACLE_SQL,
+        "op13_conversation_repair": conversation_repair.ORACLE_SQL,
     }
