@@ -1,12 +1,15 @@
 """Operator 2: approximate nearest neighbours by robust-pruned directed graphs, one per shard.
 
-Vectors are dealt to shards by a hash. Each shard builds its graph in batches: greedy searches on the graph so far propose
-neighbours, and relaxed distance pruning (an edge to c goes if a kept neighbour is closer to c by the factor ``ALPHA``)
-keeps diverse ones, for new points and, where reverse edges overflow, for old ones. Queries run a beam search on every
-shard; their candidates are scored exactly, in double precision on the original vectors, and merged.
+Vectors are dealt to shards by a hash, within bands of like norms. Each shard builds its graph in batches: greedy searches on
+the graph so far propose neighbours, and relaxed distance pruning (an edge to c goes if a kept neighbour is closer to c by the
+factor ``ALPHA``) keeps diverse ones, for new points and, where reverse edges overflow, for old ones. Queries run a beam search
+on every shard; their candidates are scored exactly, in double precision on the original vectors, and merged.
 
 Nearness is the largest inner product. Graphs are built on vectors with one more component, sqrt(M^2 - |x|^2) with M the
-largest norm, where the nearest by distance are those of largest inner product.
+shard's largest norm, where the nearest by distance are those of largest inner product. In a band norms differ by the factor
+2^``BAND`` at most, and a shard is scaled by a power of two, so single precision tells points apart whatever norms other
+vectors have. Searches enter at points that lie far from each other (so no cluster is out of sight) and at one point of
+each part that edges don't reach, so a beam ends full or with all of its shard: a query gets k rows, or all candidates.
 
 Defined cases: null, zero and non-finite vectors, vectors with null components, vectors with null ids and vectors whose
 length is not the most common one take no part; equal vectors are one point of the graph that lists their 21 smallest ids
@@ -30,6 +33,8 @@ K = 20
 DEGREE, BUILD_BEAM, SEARCH_BEAM, ALPHA = 32, 64, 256, 1.2
 #: Nodes that a beam expands per step.
 WIDE = 4
+#: Powers of two that the norms of a shard may span, and points far from each other at which searches enter.
+BAND, ENTRIES = 4, 48
 #: Shards hold at most ``MOST`` vectors, of which recall was measured (see README), and ``SHARD_BYTES``; few vectors are still
 #: split into up to ``FEW`` shards of ``LEAST`` or more, so that several tasks work.
 MOST, SHARD_BYTES, LEAST, FEW = 65_536, 256 << 20, 4096, 12
@@ -41,6 +46,15 @@ def shards_for(n: int, dim: int) -> int:
     return max(-(-n // most), min(FEW, -(-n // LEAST)))
 
 
+def bands_of(exponents: list[int]) -> dict[int, int]:
+    """A band for each exponent of a norm: from the largest down, ``BAND`` of them share one."""
+    out, top = {}, None
+    for e in sorted(exponents, reverse=True):
+        top = e if top is None or e <= top - BAND else top
+        out[e] = top
+    return out
+
+
 def usable(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(vec_id, v) of the vectors that take part."""
     own = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
@@ -57,9 +71,38 @@ class Graph:
         self.x, self.n = x, len(x)
         self.square = (x * x).sum(1)
         self.edges = np.full((self.n, DEGREE), -1, np.int32) if edges is None else edges
-        self.start = int(((x - x.mean(0)) ** 2).sum(1).argmin())
-
-    def search(self, q: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
+        self.starts = self._far_apart()
+        if edges is not None:
+            self._enter_all()
+
+    def _far_apart(self) -> np.ndarray:
+        """The point nearest to the mean, then always the one farthest from those before, as long as it lies elsewhere."""
+        out = [int(((self.x - self.x.mean(0)) ** 2).sum(1).argmin())]
+        nearest = np.full(self.n, np.inf, np.float32)
+        while len(out) < min(ENTRIES, self.n):
+            nearest = np.minimum(nearest, ((self.x - self.x[out[-1]]) ** 2).sum(1))
+            if not nearest[far := int(nearest.argmax())] > 0:
+                break
+            out.append(far)
+        return np.array(out)
+
+    def _enter_all(self) -> None:
+        """Add the first point of each part that edges from the entries don't reach."""
+        reached, front, at = np.zeros(self.n, bool), self.starts, 0
+        while True:
+            while len(front):
+                reached[front] = True
+                near = np.unique(self.edges[front])
+                near = near[near >= 0]
+                front = near[~reached[near]]
+            rest = np.flatnonzero(~reached[at:])
+            if not len(rest):
+                return
+            at += int(rest[0])
+            front = np.array([at])
+            self.starts = np.append(self.starts, at)
+
+    def search(self, q: np.ndarray, beam: int, starts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Ids and squared distances of the nearest found of each query row, ascending; -1 and inf fill up."""
         m = len(q)
         beam = min(beam, self.n)
@@ -67,8 +110,11 @@ class Graph:
         done = np.zeros((m, beam), bool)
         seen = np.zeros((m, self.n), bool)
         own = (q * q).sum(1)
-        ids[:, 0], seen[:, self.start] = self.start, True
-        dist[:, 0] = self.square[self.start] - 2 * q @ self.x[self.start] + own
+        starts = self.starts if starts is None else starts
+        seen[:, starts] = True
+        first = self.square[starts] - 2 * q @ self.x[starts].T + own[:, None]
+        order = np.argsort(first, axis=1, kind="stable")[:, :beam]
+        ids[:, : order.shape[1]], dist[:, : order.shape[1]] = starts[order], np.take_along_axis(first, order, 1)
         rows = np.arange(m)
         while len(rows):
             open_ = ~done[rows] & (ids[rows] >= 0)
@@ -123,16 +169,17 @@ class Graph:
 
     def build(self, seed: int = 7) -> None:
         order = np.random.default_rng(seed).permutation(self.n)
-        order = np.concatenate([[self.start], order[order != self.start]])
+        order = np.concatenate([self.starts, order[~np.isin(order, self.starts)]])
         at = 1
         while at < self.n:
             # At most a sixteenth of what stands, so that searches see nearly all points that came before.
             size = min(self.n - at, max(1, at // 16), max(16, min(256, (1 << 26) // self.n)))
             batch = order[at : at + size]
-            found, _ = self.search(self.x[batch], BUILD_BEAM)
+            found, _ = self.search(self.x[batch], BUILD_BEAM, self.starts[: max(1, min(at, len(self.starts)))])
             self.edges[batch] = self.prune(batch, found)
             self._back(batch)
             at += size
+        self._enter_all()
 
     def _back(self, batch: np.ndarray) -> None:
         """Reverse edges of new points; rows that overflow are pruned."""
@@ -160,10 +207,17 @@ class Graph:
             self.edges[targets[part]] = self.prune(targets[part], cand)
 
 
-def raised(v: np.ndarray, largest: float) -> np.ndarray:
-    """Points with the component that turns inner products into distances."""
-    rest = np.sqrt(np.maximum(largest * largest - (v * v).sum(1), 0.0))
-    return np.concatenate([v, rest[:, None]], 1).astype(np.float32)
+def raised(v: np.ndarray) -> np.ndarray:
+    """Points, scaled by a power of two, with the component that turns inner products into distances."""
+    v = np.ldexp(v, -int(np.frexp(np.abs(v).max())[1]))
+    square = (v * v).sum(1)
+    return np.concatenate([v, np.sqrt(square.max() - square)[:, None]], 1).astype(np.float32)
+
+
+def directions(q: np.ndarray) -> np.ndarray:
+    """Queries, scaled to norm 1 (no order among inner products changes), with the added component 0."""
+    q = np.ldexp(q, -np.frexp(np.abs(q).max(1))[1][:, None])
+    return np.concatenate([q / np.sqrt((q * q).sum(1))[:, None], np.zeros((len(q), 1))], 1).astype(np.float32)
 
 
 def _runs(batches, key: int) -> Iterator[tuple[bool, object]]:
@@ -183,7 +237,7 @@ def _matrix(column) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
-def build(points: DataFrame, largest: float, shards: int) -> DataFrame:
+def build(points: DataFrame, shards: int) -> DataFrame:
     """(shard, pos, v, ids, edges): the graphs of all shards. ``points``: (shard, v, ids)."""
     schema = "shard int, pos int, v array<double>, ids array<long>, edges array<int>"
 
@@ -191,7 +245,7 @@ def build(points: DataFrame, largest: float, shards: int) -> DataFrame:
         import pyarrow as pa
 
         t = pa.Table.from_batches(parts).combine_chunks()
-        g = Graph(raised(_matrix(t["v"].combine_chunks()), largest))
+        g = Graph(raised(_matrix(t["v"].combine_chunks())))
         g.build()
         lists = pa.FixedSizeListArray.from_arrays(pa.array(g.edges.ravel()), DEGREE).cast(pa.list_(pa.int32()))
         out = pa.table({"shard": t["shard"], "pos": pa.array(np.arange(g.n, dtype=np.int32)), "v": t["v"], "ids": t["ids"], "edges": lists})
@@ -211,7 +265,7 @@ def build(points: DataFrame, largest: float, shards: int) -> DataFrame:
     return dealt.mapInArrow(run, schema)
 
 
-def search(index: DataFrame, queries: DataFrame, largest: float, shards: int, k: int = K) -> DataFrame:
+def search(index: DataFrame, queries: DataFrame, shards: int, k: int = K) -> DataFrame:
     """(query_id, vec_id, score): the k best of each shard for each query. A task holds one shard; its queries stream
     past in batches. ``queries``: (query_id, v)."""
     schema = "query_id long, vec_id long, score double"
@@ -231,7 +285,7 @@ def search(index: DataFrame, queries: DataFrame, largest: float, shards: int, k:
             step = max(16, min(256, (1 << 26) // graph.n))
             for a in range(0, len(q), step):
                 own, who = q[a : a + step], mine[a : a + step]
-                found, _ = graph.search(np.concatenate([own, np.zeros((len(own), 1))], 1).astype(np.float32), max(SEARCH_BEAM, k + 1))
+                found, _ = graph.search(directions(own), max(SEARCH_BEAM, k + 1))
                 out = []
                 for i in range(len(own)):
                     at = found[i][found[i] >= 0]
@@ -253,7 +307,7 @@ def search(index: DataFrame, queries: DataFrame, largest: float, shards: int, k:
                 if graph is None:
                     t = pa.Table.from_batches(parts).combine_chunks()
                     vectors, ids = _matrix(t["v"].combine_chunks()), t["ids"].to_pylist()
-                    graph = Graph(raised(vectors, largest), _matrix(t["edges"].combine_chunks()))
+                    graph = Graph(raised(vectors), _matrix(t["edges"].combine_chunks()))
                     parts = [parts[0].slice(0, 1)]
                 yield from answer(batch.slice(cut))
 
@@ -263,18 +317,31 @@ def search(index: DataFrame, queries: DataFrame, largest: float, shards: int, k:
 
 def nearest(vectors: DataFrame, every: int = 20, k: int = K) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of each vector whose id is divisible by ``every``."""
-    good = usable(vectors)
-    sizes = good.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n"), F.max(F.expr("sqrt(aggregate(v, 0D, (a, x) -> a + x * x))")).alias("largest")).orderBy(F.desc("n"), "dim").first()
+    # The norm, without squares that leave the range of doubles.
+    most = F.array_max(F.transform("v", F.abs))
+    norm = most * F.sqrt(F.aggregate(F.transform("v", lambda x: x / most), F.lit(0.0), lambda a, x: a + x * x))
+    good = usable(vectors).withColumn("exponent", F.floor(F.log2(norm)).cast("int"))
+    sizes = good.groupBy(F.size("v").alias("dim"), "exponent").count().collect()  # doubles have 2 100 exponents
     result = "query_id long, rank int, vec_id long, score double"
-    if sizes is None:
+    if not sizes:
         return vectors.sparkSession.createDataFrame([], result)
-    own = good.where(F.size("v") == sizes["dim"])
+    total: dict[int, int] = {}
+    for r in sizes:
+        total[r["dim"]] = total.get(r["dim"], 0) + r["count"]
+    dim = min(total, key=lambda d: (-total[d], d))
+    band = bands_of([r["exponent"] for r in sizes if r["dim"] == dim])
+    rows = {b: sum(r["count"] for r in sizes if r["dim"] == dim and band[r["exponent"]] == b) for b in band.values()}
+    first, parts, shards = {}, {}, 0
+    for b in sorted(rows):
+        first[b], parts[b] = shards, shards_for(rows[b], dim)
+        shards += parts[b]
+    own = good.where(F.size("v") == dim)
     copies = own.withColumn("copy", F.dense_rank().over(W.partitionBy("v").orderBy("vec_id"))).where(F.col("copy") <= k + 1)
-    points = copies.groupBy("v").agg(F.array_sort(F.collect_set("vec_id")).alias("ids"))
-    shards = shards_for(sizes["n"], sizes["dim"])
-    dealt = points.withColumn("shard", F.pmod(F.xxhash64("v"), F.lit(shards)).cast("int"))
-    index = written(build(dealt, float(sizes["largest"]), shards), "graph-index")
+    points = copies.groupBy("v", "exponent").agg(F.array_sort(F.collect_set("vec_id")).alias("ids"))
+    of = lambda table: F.element_at(F.create_map(*[F.lit(x) for e, b in band.items() for x in (e, table[b])]), F.col("exponent"))
+    dealt = points.withColumn("shard", (of(first) + F.pmod(F.xxhash64("v"), of(parts))).cast("int"))
+    index = written(build(dealt, shards), "graph-index")
     asked = own.where(F.pmod("vec_id", F.lit(every)) == 0).groupBy(F.col("vec_id").alias("query_id")).agg(F.min("v").alias("v"))
-    found = search(index, asked, float(sizes["largest"]), shards, k)
+    found = search(index, asked, shards, k)
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from loomfield.llm import graph_search as gs
 
@@ -82,3 +83,60 @@ def test_recall_at_sixty_four_components(spark):
     scores[np.arange(200), np.arange(0, 4000, 20)] = -np.inf
     true = np.argsort(-scores, axis=1)[:, :20]
     assert np.mean([len(got[20 * i] & set(true[i].tolist())) / 20 for i in range(200)]) >= 0.9
+
+
+def recall_of(spark, rows, parts=3, k=20):
+    """Recall against brute force; every query must have k rows or all candidates."""
+    df = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in rows], "vec_id long, embedding array<double>").repartition(parts)
+    got: dict[int, list] = {}
+    for r in gs.nearest(df, k=k).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    ids, x = np.array([i for i, _ in rows]), np.array([v for _, v in rows], float)
+    hits = 0
+    assert got.keys() == {i for i, _ in rows if i % 20 == 0}
+    for q, found in got.items():
+        score = x @ x[ids == q][0]
+        score[ids == q] = -np.inf
+        best = set(ids[np.lexsort((ids, -score))[:k]].tolist())
+        assert sorted(r for r, _, _ in found) == list(range(1, min(k, len(rows) - 1) + 1))
+        hits += len(best & {v for _, v, _ in found})
+    return hits / sum(min(k, len(rows) - 1) for _ in got)
+
+
+def unit(rng, n, dim=32):
+    v = rng.normal(size=(n, dim))
+    return v / np.sqrt((v * v).sum(1))[:, None]
+
+
+@pytest.mark.parametrize("norms", [[1e4], [1e8], [1e2, 1e3, 1e4, 1e6], [1e20] * 10, [1e-20] * 10, [5e-324, 1e150, 1e-150]])
+def test_outlying_norms_cost_no_rows(spark, norms):
+    rng = np.random.default_rng(3)
+    v = unit(rng, 1500)
+    for i, n in enumerate(norms):
+        v[7 * i + 3] *= n
+    assert recall_of(spark, [(i, x) for i, x in enumerate(v) if np.any(x)]) >= 0.95
+
+
+@pytest.mark.parametrize("scale", [1e20, 1e-30, 1e150])
+def test_all_norms_huge_or_tiny(spark, scale):
+    assert recall_of(spark, list(enumerate(unit(np.random.default_rng(4), 1000) * scale))) >= 0.95
+
+
+def test_far_clusters_are_entered(spark):
+    rng = np.random.default_rng(5)
+    centres = unit(rng, 3, 16) * 50
+    v = np.concatenate([centres[0] + rng.normal(size=(1200, 16)), centres[1] + rng.normal(size=(300, 16)) * 0.01, centres[2] + rng.normal(size=(25, 16)) * 0.001])
+    assert recall_of(spark, list(enumerate(rng.permutation(v)))) >= 0.95
+
+
+def test_norms_over_many_powers_of_two(spark):
+    rng = np.random.default_rng(6)
+    assert recall_of(spark, list(enumerate(unit(rng, 1000, 8) * np.exp(rng.normal(size=(1000, 1)) * 8)))) >= 0.95
+
+
+def test_parts_without_edges_are_entered():
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(500, 6)).astype(np.float32)
+    edges = np.full((500, gs.DEGREE), -1, np.int32)  # no edges at all
+    found, _ = gs.Graph(x, edges).search(x[:20], 500)
+    assert (np.sort(found, axis=1) == np.arange(500)).all()
