@@ -3,10 +3,10 @@
 Of a uniform shuffle of all rows into shards of given sizes, the numbers of rows that go from each input partition to each shard
 are a random matrix with fixed margins. The driver draws that matrix exactly, partition by partition, from the counts of rows
 (``draw_matrix``): it holds partitions times shards whole numbers and no row. Each partition then permutes its shard numbers
-locally, as many of each as the matrix says, and gives every row a random 64-bit key. Rows are exchanged, and each shard is
-permuted again: its rows are sorted by key. Each shard is exchanged in cells, ranges of keys of about ``CELL_ROWS`` rows, so
-no task holds a shard; how many rows a cell gets follows from the partitions' counts and seeds alone, so the first slot of
-each cell is known from a pass that reads no data.
+locally, as many of each as the matrix says, and gives every row a random 63-bit key. Rows are exchanged, and each shard is
+permuted again: its rows are sorted by key. Each shard is exchanged in cells, ranges of keys of about ``CELL_ROWS`` rows and
+one task each, so no task holds a shard; how many rows a cell gets follows from the partitions' counts and seeds alone, so the
+first slot of each cell is known from a pass that reads no data. Beyond ``MOST_CELLS`` cells of that size, cells grow.
 
 A shard's size is the number of its rows: floor((j + 1) n / k) - floor(j n / k) of n rows for shard j of k, so sizes differ by one
 at most (law ``rows``). Equal texts are rows of their own and fall where chance puts them.
@@ -30,10 +30,8 @@ from pyspark.sql import types as T
 
 from loomfield.llm.common import free_name, written
 
-#: Rows that a cell holds on average, at most.
-CELL_ROWS = 4096
-#: Rows that are numbered at a time.
-BATCH = 1 << 20
+#: Rows that a cell holds on average, as long as there are no more cells than that.
+CELL_ROWS, MOST_CELLS = 4096, 32_768
 
 
 def hypergeometric(rng: np.random.Generator, good: int, bad: int, drawn: int) -> int:
@@ -75,7 +73,9 @@ def draw_matrix(counts: list[int], sizes: list[int], seed: int) -> np.ndarray:
 
 
 def cells_of(sizes: list[int], cell_rows: int) -> np.ndarray:
-    return np.array([max(1, -(-n // cell_rows)) for n in sizes], np.int64)
+    """Number of cells of each shard."""
+    rows = max(cell_rows, -(-sum(sizes) // MOST_CELLS))
+    return np.array([max(1, -(-n // rows)) for n in sizes], np.int64)
 
 
 def local_plan(seed: int, partition: int, row: np.ndarray, cells: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -83,8 +83,8 @@ def local_plan(seed: int, partition: int, row: np.ndarray, cells: np.ndarray) ->
     rng = np.random.default_rng([seed, 2, partition])
     shard = rng.permutation(np.repeat(np.arange(len(row), dtype=np.int32), row))
     key = rng.integers(0, 1 << 63, len(shard), dtype=np.int64)
-    # The upper 31 bits times the number of cells, so cells are ranges of keys.
-    return shard, key, ((key >> 32) * cells[shard]) >> 31
+    # The upper 31 bits times the number of cells, so cells are ranges of keys; they are numbered over all shards.
+    return shard, key, (np.cumsum(cells) - cells)[shard] + (((key >> 32) * cells[shard]) >> 31)
 
 
 def _counts(docs: DataFrame) -> list[int]:
@@ -93,23 +93,23 @@ def _counts(docs: DataFrame) -> list[int]:
     return [found.get(i, 0) for i in range(max(found, default=-1) + 1)]
 
 
-def _first_slots(spark: SparkSession, counts: list[int], matrix: np.ndarray, cells: np.ndarray, seed: int, names: tuple[str, str, str]) -> DataFrame:
-    """(shard, cell, first slot) from counts and seeds alone, as each partition's plan can be made anew."""
-    shard_, cell_, first_ = names
+def first_slots(spark: SparkSession, counts: list[int], matrix: np.ndarray, cells: np.ndarray, seed: int) -> np.ndarray:
+    """First slot of each cell in its shard, from counts and seeds alone, as each partition's plan can be made anew."""
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
             for i in batch.column(0).to_pylist():
-                shard, _, cell = local_plan(seed, i, matrix[i], cells)
-                own, n = np.unique(np.stack([shard.astype(np.int64), cell]), axis=1, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(own[0].astype(np.int32)), pa.array(own[1]), pa.array(n)], names=["shard", "cell", "n"])
+                own, n = np.unique(local_plan(seed, i, matrix[i], cells)[2], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(n)], names=["cell", "n"])
 
     parts = max(1, min(len(counts), 4 * spark.sparkContext.defaultParallelism))
-    found = spark.range(0, len(counts), 1, parts).mapInArrow(run, "shard int, cell long, n long").groupBy("shard", "cell").agg(F.sum("n").alias("n"))
-    before = F.sum("n").over(W.partitionBy("shard").orderBy("cell").rowsBetween(W.unboundedPreceding, -1))
-    return found.select(F.col("shard").alias(shard_), F.col("cell").alias(cell_), F.coalesce(before, F.lit(0)).alias(first_))
+    rows = np.zeros(int(cells.sum()), np.int64)
+    for r in spark.range(0, len(counts), 1, parts).mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():
+        rows[r["cell"]] = r["n"]
+    before = np.concatenate([[0], np.cumsum(rows)])
+    return before[:-1] - np.repeat(before[np.cumsum(cells) - cells], cells)
 
 
 def shuffle(docs: DataFrame, shards: int, seed: int = 12, shard: str = "shard", slot: str = "slot", cell_rows: int = CELL_ROWS, stable: bool = True) -> DataFrame:
@@ -121,7 +121,8 @@ def shuffle(docs: DataFrame, shards: int, seed: int = 12, shard: str = "shard",
     spark, counts = docs.sparkSession, _counts(docs)
     sizes = shard_sizes(sum(counts), shards)
     matrix, cells = draw_matrix(counts, sizes, seed), cells_of(sizes, cell_rows)
-    cell_, key_, first_ = (free_name(docs, n) for n in ("_cell", "_key", "_first"))
+    firsts = first_slots(spark, counts, matrix, cells, seed)
+    cell_, key_ = (free_name(docs, n) for n in ("_cell", "_key"))
     width = len(docs.columns)
 
     def run(batches):
@@ -135,18 +136,17 @@ def shuffle(docs: DataFrame, shards: int, seed: int = 12, shard: str = "shard",
             end = at + batch.num_rows
             if end > len(plan[0]):
                 raise RuntimeError("a partition has grown between two passes over the input; pass stable=False")
-            own = [pa.array(x[at:end]) for x in (plan[0], plan[2], plan[1])]
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(width)), *own], names=[*batch.schema.names, shard, cell_, key_])
+            own = [pa.array(x) for x in (plan[0][at:end], firsts[plan[2][at:end]].astype(np.int32), plan[2][at:end].astype(np.int32), plan[1][at:end])]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(width)), *own], names=[*batch.schema.names, shard, slot, cell_, key_])
             at = end
         if at != (counts[i] if i < len(counts) else 0):
             raise RuntimeError("a partition has shrunk between two passes over the input; pass stable=False")
 
-    schema = T.StructType([*docs.schema.fields, T.StructField(shard, T.IntegerType()), T.StructField(cell_, T.LongType()), T.StructField(key_, T.LongType())])
-    placed = docs.mapInArrow(run, schema)
-    firsts = _first_slots(spark, counts, matrix, cells, seed, (shard, cell_, first_))
-    # The join, the window and the sort behind it all go by (shard, cell): one exchange of the rows.
-    number = F.row_number().over(W.partitionBy(shard, cell_).orderBy(key_))
-    return placed.join(firsts.hint("merge"), [shard, cell_]).select(*(F.col(f"`{c}`") for c in docs.columns), shard, (F.col(first_) + number - 1).cast("int").alias(slot))
+    added = ((shard, T.IntegerType()), (slot, T.IntegerType()), (cell_, T.IntegerType()), (key_, T.LongType()))
+    placed = docs.mapInArrow(run, T.StructType([*docs.schema.fields, *(T.StructField(*x) for x in added)]))
+    number = F.row_number().over(W.partitionBy(cell_).orderBy(key_))
+    dealt = placed.repartitionById(int(cells.sum()), F.col(cell_))  # each task one cell; the window needs no other exchange
+    return dealt.withColumn(slot, F.col(slot) + number - 1).drop(cell_, key_)
 
 
 def report(docs: DataFrame, shards: int = 16, seed: int = 12) -> DataFrame:
