@@ -34,8 +34,8 @@ LEAST, TIMES = 24, 3
 #: products stay below 2**53, where doubles are exact.
 PRIME, GENERATOR = 7340033, 3
 SMALLEST, LARGEST, RADIX = 8, 1 << 19, 32
-#: Numbers that are transformed at a time.
-CHUNK = 1 << 19
+#: Numbers that are transformed at a time, and bytes of text that are searched together, about.
+CHUNK, SLICE = 1 << 17, 1 << 18
 
 
 def _mod(x: np.ndarray) -> np.ndarray:
@@ -200,7 +200,7 @@ def collapse(docs: DataFrame) -> DataFrame:
         is_word = space_table()
         kind = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64()), ("period", pa.int64())]))
         for batch in batches:
-            for begin, end in byte_slices(batch.column(1)):
+            for begin, end in byte_slices(batch.column(1), SLICE):
                 column = batch.column(1).slice(begin, end - begin)
                 data, offsets = text_bytes(column)
                 _, _, hashes, text = words_in(data, offsets, is_word)
