@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from loomfield.functions import geo
 from loomfield.functions.text import says
 
 #: Role families and the wording of a title that puts it there; order matters.
@@ -30,12 +31,6 @@ ROLE_RULES_PORTABLE = (
 #: serves every engine.
 TEST_PREP = r"(?i)\btest(?:ing)?\s*(?:prep|preparation)\b"
 
-#: Levels in titles, first match wins.
-LEVELS = (
-    ("intern", r"\bintern(?:s|ship)?\b|\btrainee\b"), ("director", r"\bdirector\b|\bhead\s+of\b|\bvp\b|\bchief\b"), ("principal", r"\bprincipal\b"), ("staff", r"\bstaff\b"), ("lead", r"\b(?:team\s+|tech\s+)?lead\b|\bmanager\b"),
-    ("senior", r"\bsenior\b|\bsr\b|\biii\b"), ("mid", r"\bii\b|\bmid[- ]level\b"), ("entry", r"\bjunior\b|\bjr\b|\bentry[- ]level\b|\bfresher\b|\bgraduate\b|\bassociate\b"),
-)
-
 #: Wording of a stated employment type, of titles and of descriptions.
 FULL_TIME_TYPE = r"(?i)full[ _-]?time|permanent|\bregular\b|\bemployee\b"
 TYPE_WORDS = (("internship", r"(?i)\bintern(?:s|ship|ships)?\b|\bapprentice(?:ship)?s?\b"), ("volunteer", r"(?i)volunteer"), ("part_time", r"(?i)part[ _-]?time"), ("temporary", r"(?i)temporary|seasonal|fixed[ _-]?term|\btemp\b"), ("contract", r"(?i)contract|freelanc|consultant|\bb2b\b"))
@@ -53,9 +48,15 @@ TEMPORARY = r"(?i)\bthis\s+is\s+an?\s+(?:\w+\s+){0,2}fixed[- ]term\b|\bfixed[- ]
 AUTH_COUNTRY = {"us_work_authorization": "US", "uk_right_to_work": "GB", "india_work_permit": "IN"}
 AUTH_ALWAYS = ("security_clearance", "citizenship", "eu_work_permit")
 
-#: Wording that excludes India, and words of regions without it.
-NOT_INDIA = r"(?i)\b(?:not|cannot|can't|unable\s+to)\s+(?:be\s+)?(?:hir\w+|accept\w*|consider\w*|open|available|employ\w*)[^.\n]{0,40}\bindia\b|\b(?:except|excluding|outside\s+of)\s+india\b"
-TITLE_ONLY = r"(?i)\b(us|usa|uk|canada|germany|europe|european|emea|eu|latam|americas|american|nordic|dach|benelux)[-\s](?:based|only|residents?|citizens?)\b"
+#: Refusals to hire in India, places that leave India out, restrictions in a title, and words of regions without India.
+NOT_HIRING_INDIA = (
+    r"(?i)\b(?:not|never|cannot|can't|can\s+not|unable\s+to|won't|will\s+not|do\s+not|don't|does\s+not|doesn't|currently\s+not|no\s+longer)\s+(?:currently\s+)?"
+    r"(?:hir\w+|recruit\w*|employ\w*|accept\w*|consider\w*|open|available|eligible|support\w*|sponsor\w*)\s+"
+    r"(?:[\w'-]+\s+){0,5}?(?:in|from|to|for|within)\s+(?:[\w'-]+\s+){0,3}india\b"
+)
+EXCEPT_INDIA = r"(?i)\b(?:excluding|except(?:\s+for)?|other\s+than|apart\s+from|outside\s+of|outside|but\s+not|not\s+including)\s+(?:[^.;\n]{0,60}?\b)?india\b"
+TITLE_RESTRICTION = r"(?i)\b([A-Za-z][A-Za-z.]{1,14})[-\s](?:based|only|residents?|citizens?)\b"
+TITLE_REGIONS = ("europe", "european", "emea", "eu", "latam", "americas", "american", "nordic", "dach", "benelux")
 
 
 def role_family(title: Column) -> Column:
@@ -66,14 +67,6 @@ def role_family(title: Column) -> Column:
     return out.otherwise("other")
 
 
-def level(title: Column) -> Column:
-    out = None
-    for name, pattern in LEVELS:
-        cond = title.rlike(f"(?i){pattern}")
-        out = F.when(cond, name) if out is None else out.when(cond, name)
-    return out
-
-
 def stated_kind(value: Column) -> Column:
     """Kind that a stated employment type names; full time wins ("FULL_TIME,CONTRACTOR")."""
     out = F.when(value.rlike(FULL_TIME_TYPE), "full_time")
@@ -118,6 +111,18 @@ def eligible_from_fields(country: str, countries: Column, scope: Column, auth: C
     return named | (scope.eqNullSafe("worldwide") & ~_blocked(auth, country))
 
 
+def refuses_india(text: Column) -> Column:
+    """The text says that it does not hire in India, or leaves India out of where it does."""
+    return says(text, "india") & (text.rlike(NOT_HIRING_INDIA) | text.rlike(EXCEPT_INDIA))
+
+
+def restricted(title: Column) -> Column:
+    """A title that keeps the job to a country or region without India ("US-based", "EMEA only")."""
+    words = F.transform(F.regexp_extract_all(title, F.lit(TITLE_RESTRICTION), F.lit(1)), lambda w: F.regexp_replace(w, r"^\.+|\.+$", ""))
+    away = lambda w: F.lower(w).isin(*TITLE_REGIONS) | F.coalesce(geo.country_code(w) != "IN", F.lit(False))
+    return F.exists(words, away)
+
+
 def india_eligible(title: Column, description: Column, countries: Column, scope: Column, auth: Column, remote: Column, located: Column) -> Column:
     """yes, no or unknown, by ordered rules. ``located``: countries of the posting's places."""
     head = F.coalesce(title, F.lit(""))
@@ -125,8 +130,8 @@ def india_eligible(title: Column, description: Column, countries: Column, scope:
     none = F.expr("cast(array() as array<string>)")
     named, blocked = F.array_contains(F.transform(F.coalesce(countries, none), F.upper), "IN"), _blocked(auth, "IN")
     return (
-        F.when(text.rlike(NOT_INDIA), "no")
-        .when(head.rlike(TITLE_ONLY), F.when(named, "unknown").otherwise("no"))
+        F.when(refuses_india(text), "no")
+        .when(restricted(head), F.when(named, "unknown").otherwise("no"))
         .when(named, F.when(blocked, "unknown").otherwise("yes"))
         .when(scope.eqNullSafe("worldwide"), F.when(blocked, "no").otherwise("yes"))
         .when(scope.isin("countries", "regions"), F.when(F.size(F.coalesce(countries, none)) > 0, "no").otherwise("unknown"))
@@ -142,28 +147,3 @@ def entry_level(seniority: Column, least: Column, most: Column, kind: Column) ->
         F.when(senior | kind.eqNullSafe("internship") | (least >= 3), "no").when(seniority.eqNullSafe("entry") & (least.isNull() | (least <= 2)), "yes")
         .when(seniority.isNull() & ((least <= 2) | (most <= 2)), "yes").otherwise("unknown")
     )
-
-
-#: Wording of hard flags; each counts unless a negation stands close in front.
-FLAGS = {
-    "fee_asked": r"(?i)\b(?:registration|application|training|processing|security)\s+(?:fee|deposit|charges?)\b",
-    "unpaid": r"(?i)\bunpaid\s+(?:role|position|internship|work|trial)\b",
-    "commission_only": r"(?i)\bcommission[- ]only\b|\b100\s*%\s*commission\b",
-    "talent_pool": r"(?i)\btalent\s+(?:pool|community|pipeline)\b|\bfuture\s+opportunit(?:y|ies)\b",
-    "campus_ambassador": r"(?i)\bcampus\s+ambassadors?\b",
-    "chat_contact": r"(?i)\b(?:whatsapp|telegram)\b[^.\n]{0,80}\b(?:contact|message|apply|call|send)\b",
-}
-#: What a text must hold for a flag's wording to stand in it.
-FLAG_ANCHORS = {"fee_asked": ("fee", "deposit", "charge"), "unpaid": ("unpaid",), "commission_only": ("commission",), "talent_pool": ("talent", "opportunit"), "campus_ambassador": ("ambassador",), "chat_contact": ("whatsapp", "telegram")}
-GUARD = r"(?i)\b(?:no|not|never|without|don't|do\s+not|free\s+of|beware|scam\w*|fraud\w*)\b[^.\n]{0,70}$"
-
-
-def flags(text: Column) -> Column:
-    """Names of the flags with an unguarded match. The text in front of each match, back to
-    the end of the last one, is looked at for a negation."""
-    own = F.coalesce(text, F.lit(""))
-    found = []
-    for name, pattern in FLAGS.items():
-        before = F.regexp_extract_all(own, F.lit(rf"(?s)\G(.*?)(?:{pattern})"), F.lit(1))
-        found.append(F.when(says(text, *FLAG_ANCHORS[name]) & own.rlike(pattern) & F.exists(before, lambda x: ~F.right(x, F.lit(70)).rlike(GUARD)), F.lit(name)))
-    return F.array_compact(F.array(*found))

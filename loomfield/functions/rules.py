@@ -6,9 +6,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomfield.functions import dates, eligibility, flags
+from loomfield.functions import dates, eligibility, flags, work_modes
 from loomfield.functions import experience as ex
 from loomfield.functions import languages as lg
+from loomfield.functions.matches import around, ungrouped
 from loomfield.functions.text import says
 
 #: Pay wording.
@@ -17,20 +18,18 @@ AMOUNT = r"[0-9][0-9,]*(?:\.[0-9]+)?"
 MAGNITUDE = r"\b(?:crores?|cr|lakhs?|lacs?|lpa)\b|[kK]\b"
 PERIOD = r"/\s*(?:hour|hr|month|mo|year|yr)|per\s+(?:hour|day|month|year|annum)|p\.?\s*a\.?(?!\w)|hourly|daily|monthly|yearly|annual(?:ly)?|a\s+(?:month|year|hour|day)"
 PAY = (
-    rf"(?i)(up\s*to|maximum|from|starting\s+(?:at|from)|minimum)?[\s:]{{0,4}}({CURRENCY})?[\s:]{{0,4}}({AMOUNT})\s*({MAGNITUDE})?"
-    rf"(?:\s*(?:–|—|-|to)\s*(?:{CURRENCY})?\s*({AMOUNT})\s*({MAGNITUDE})?)?(\s*\+)?(?:\s*({PERIOD}))?"
+    rf"(?i)(\b(?:up\s*to|maximum|from|starting\s+(?:at|from)|minimum|between|ctc|stipend)\b)?[\s:]{{0,4}}({CURRENCY})?[\s:]{{0,4}}({AMOUNT})\s*({MAGNITUDE})?"
+    rf"(?:\s*(–|—|-|to|and)\s*({CURRENCY})?\s*({AMOUNT})\s*({MAGNITUDE})?)?(\s*\+)?(?:\s*({PERIOD}))?"
 )
-FUNDING = r"(?i)^\s{0,2}(?:m|b|mn|bn|million|billion)\b|raised|funding|valuation|revenue|series\s+[a-z]\b|funded"
+PERIOD_BEFORE = r"(?i)\b(hourly|monthly|daily|yearly|annual|annually)\b(?!.*\b(?:hourly|monthly|daily|yearly|annual|annually)\b)"
+FUNDING_AFTER = r"(?i)^\s{0,2}(?:m\b|b\b|mn\b|bn\b|million|billion)"
+FUNDING = r"(?i)raised|funding|valuation|revenue|series\s+[a-z]\b|\bfunded"
+PAY_WORDS = r"(?i)salary|compensation|\bpay\b|\bctc\b|\bbase\b|per\s+year|\blpa\b|annual"
 MULTIPLES = {"k": 1e3, "lakh": 1e5, "lakhs": 1e5, "lac": 1e5, "lacs": 1e5, "lpa": 1e5, "cr": 1e7, "crore": 1e7, "crores": 1e7}
 CURRENCIES = {"₹": "INR", "rs": "INR", "rs.": "INR", "inr": "INR", "$": "USD", "usd": "USD", "us$": "USD", "€": "EUR", "eur": "EUR", "£": "GBP", "gbp": "GBP", "s$": "SGD", "sgd": "SGD", "a$": "AUD", "aud": "AUD", "c$": "CAD", "ca$": "CAD", "cad": "CAD", "aed": "AED"}
 YEARLY = {"hour": 2080, "day": 260, "month": 12, "year": 1}
 
-#: Wording of experience, work mode, deadlines, visas.
-REMOTE = r"(?i)\b(?:fully\s+remote|100\s*%\s*remote|remote[- ]first|work\s+from\s+(?:home|anywhere)|this\s+is\s+a\s+remote|remote\s+(?:role|position|job|opportunity))\b"
-HYBRID = r"(?i)\bhybrid\b"
-ONSITE = r"(?i)\b(?:on[- ]?site|in[- ]office|work\s+from\s+(?:the\s+)?office)\b"
-NEGATED = r"(?i)\b(?:not|no|isn't|never)\b[^.\n]{0,25}$"
-DEADLINE = r"(?i)\b(?:apply\s+(?:by|before)|deadline(?:\s+is)?|closing\s+date|closes\s+on|last\s+date)[^0-9\n]{0,20}(\d{4}-\d{2}-\d{2})"
+#: Wording of visas and joining.
 VISA_NO = r"(?i)\b(?:no|not|unable\s+to|cannot|can't|won't|does\s+not)\b[^.\n]{0,40}\bsponsor\w*|\bwithout\s+(?:visa\s+)?sponsorship\b"
 VISA_YES = r"(?i)\bvisa\s+sponsorship\b|\bsponsor\w*\s+(?:a\s+)?(?:work\s+)?visas?\b"
 NOTICE = r"(?i)\bnotice\s+period[^.\n0-9]{0,25}(\d{1,3})\s*(day|week|month)s?\b"
@@ -42,17 +41,6 @@ def scanned(text: Column) -> Column:
     return F.coalesce(text, F.lit(""))
 
 
-def _chain(text: Column, pattern: str, groups: int, inner: str | None = None) -> Column:
-    """Array of matches: ``before`` (the text since the last match) and the groups ``g1`` to ``gN``; null without any. The text is
-    searched for whole matches, and groups are read from each short match by ``inner`` (the pattern itself, or what of it does
-    not look beyond the match)."""
-    whole = rf"(?s)\G(.*?)({pattern})"
-    # Texts without a match cost one search.
-    both = F.when(text.rlike(pattern), F.arrays_zip(*[F.regexp_extract_all(text, F.lit(whole), F.lit(i)).alias(n) for i, n in ((1, "before"), (2, "said"))]))
-    group = lambda m, i: F.regexp_extract(m["said"], inner or pattern, i).alias(f"g{i}")
-    return F.transform(both, lambda m: F.struct(m["before"].alias("before"), *[group(m, i) for i in range(1, groups + 1)]))
-
-
 def _lookup(table: dict, key: Column) -> Column:
     return F.try_element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), F.lower(key))
 
@@ -63,33 +51,47 @@ def agreed(values: Column) -> Column:
     return F.when(F.size(distinct) == 1, F.get(distinct, 0))
 
 
+def _period(said: Column) -> Column:
+    return F.when(said.rlike("hour|hr"), "hour").when(said.rlike("day|daily"), "day").when(said.rlike("mo"), "month").when(said != "", "year")
+
+
 def pay(text: Column) -> Column:
-    """struct(low, high, currency, period) of disclosed pay. A currency or an Indian magnitude must stand at the figure;
-    a magnitude on one side of a range holds for both; without a period less than 10 000 is not judged, and funding is no
-    pay. Several different figures are no statement."""
+    """struct(low, high, currency, period) of disclosed pay. A currency or an Indian magnitude must stand at the figure; a magnitude
+    on one side of a range holds for both, and "and" makes a range only behind "between". The period stands behind the figure,
+    in LPA, or as the last such word in the 40 characters in front; without one, less than 10 000 is not judged. Funding is
+    no pay. Of several different figures one counts only if all those near a word for pay agree on it."""
     blank = lambda c: F.nullif(F.trim(c), F.lit(""))
 
     def read(m: Column) -> Column:
-        magnitude = F.coalesce(blank(m["g4"]), blank(m["g6"]))
-        multiple = F.coalesce(_lookup(MULTIPLES, magnitude), F.lit(1.0))
-        number = lambda c: blank(F.replace(c, F.lit(","), F.lit(""))).try_cast("double") * multiple
-        one, two, lead = number(m["g3"]), number(m["g5"]), F.lower(F.regexp_replace(m["g1"], r"\s+", " "))
-        currency = F.coalesce(_lookup(CURRENCIES, blank(m["g2"])), F.when(F.lower(magnitude) != "k", "INR"))
-        said = F.lower(m["g8"])
-        period = (
-            F.when(said.rlike("hour|hr"), "hour").when(said.rlike("day|daily"), "day").when(said.rlike("mo"), "month").when(said != "", "year")
-            .when(F.lower(magnitude) == "lpa", "year")
-        )
-        low = F.when(lead.rlike("^(?:up ?to|maximum)"), None).otherwise(F.least(one, F.coalesce(two, one)))
-        high = F.when(two.isNotNull(), F.greatest(one, two)).when(lead.rlike("^(?:from|starting|minimum)") | (F.trim(m["g7"]) == "+"), None).otherwise(one)
-        top = F.coalesce(high, low)
-        year = F.coalesce(period, F.lit("year"))
+        lead, joined = F.lower(F.regexp_replace(m["g1"], r"\s+", "")), F.lower(m["g5"])
+        ranged = (m["g7"] != "") & ((joined != "and") | (lead == "between"))
+        magnitude = F.lower(F.coalesce(blank(m["g4"]), blank(m["g8"])))
+        own = F.coalesce(_lookup(MULTIPLES, blank(m["g4"])), _lookup(MULTIPLES, magnitude), F.lit(1.0))
+        other = F.coalesce(_lookup(MULTIPLES, blank(m["g8"])), _lookup(MULTIPLES, magnitude), F.lit(1.0))
+        number = lambda c: blank(F.replace(c, F.lit(","), F.lit(""))).try_cast("double")
+        one, two = number(m["g3"]) * own, F.when(ranged, number(m["g7"]) * other)
+        currency = F.coalesce(_lookup(CURRENCIES, blank(m["g2"])), _lookup(CURRENCIES, blank(m["g6"])), F.when(magnitude != "k", "INR"))
+        before = F.right(m["before"], F.lit(40))
+        period = F.coalesce(_period(F.lower(m["g10"])), F.when(magnitude == "lpa", "year"), _period(F.lower(F.regexp_extract(F.regexp_replace(before, "\n", " "), PERIOD_BEFORE, 1))))
+        low = F.when(two.isNull() & lead.isin("upto", "maximum"), None).otherwise(F.least(one, F.coalesce(two, one)))
+        high = F.when(two.isNotNull(), F.greatest(one, two)).when(lead.isin("from", "startingat", "startingfrom", "minimum") | (F.trim(m["g9"]) == "+"), None).otherwise(one)
+        top, year = F.coalesce(high, low), F.coalesce(period, F.lit("year"))
         good = currency.isNotNull() & (period.isNotNull() | (top >= 10_000)) & ((year != "year") | (top >= F.when(currency == "INR", 10_000).otherwise(1000)))
-        return F.when(good & ~F.right(m["before"], F.lit(40)).rlike(FUNDING), F.struct(low.alias("low"), high.alias("high"), currency.alias("currency"), year.alias("period")))
+        funding = m["after"].rlike(FUNDING_AFTER) | F.concat(before, m["said"], m["after"]).rlike(FUNDING)
+        value = F.struct(low.alias("low"), high.alias("high"), currency.alias("currency"), year.alias("period"))
+        labelled = F.concat(F.right(before, F.lit(30)), m["said"]).rlike(PAY_WORDS)
+        return F.when(good & ~funding, F.struct(value.alias("value"), labelled.alias("labelled")))
 
-    anchored = scanned(text).rlike(rf"(?i)(?:{CURRENCY})[\s:]{{0,4}}[0-9]|[0-9]\s*(?:{MAGNITUDE})")
-    marked = says(text, "₹", "$", "€", "£", "rs", "inr", "usd", "eur", "gbp", "aud", "cad", "sgd", "aed", "crore", "cr", "lakh", "lac", "lpa") & scanned(text).rlike("[0-9]")
-    return F.when(marked & anchored, agreed(F.array_compact(F.transform(_chain(scanned(text), PAY, 8), read))))
+    def judged(found: Column) -> Column:
+        values = lambda x: F.array_distinct(F.transform(x, lambda v: v["value"]))
+        labelled = values(F.filter(found, lambda v: v["labelled"]))
+        return F.when(F.size(values(found)) == 1, F.get(values(found), 0)).when(F.size(labelled) == 1, F.get(labelled, 0))
+
+    own = scanned(text)
+    anchored = own.rlike(rf"(?i)(?:{CURRENCY})[\s:]{{0,4}}[0-9]|[0-9]\s*(?:{MAGNITUDE})")
+    marked = says(text, "₹", "$", "€", "£", "rs", "inr", "usd", "eur", "gbp", "aud", "cad", "sgd", "aed", "crore", "cr", "lakh", "lac", "lpa") & own.rlike("[0-9]")
+    found = F.array_compact(F.transform(around(own, PAY, 40, 40, 10, ungrouped(PAY)), read))
+    return F.when(marked & anchored, F.get(F.transform(F.array(found), judged), 0))
 
 
 def pay_in_rupees(rows: DataFrame, rates: DataFrame, column: str = "pay") -> DataFrame:
@@ -107,19 +109,8 @@ def experience(text: Column, title: Column | None = None) -> Column:
 
 
 def work_mode(text: Column) -> Column:
-    """remote, hybrid or onsite if exactly one of them is said without a negation in front."""
-    own = scanned(text)
-    said = []
-    for name, pattern, anchors in (("remote", REMOTE, ("remote", "work")), ("hybrid", HYBRID, ("hybrid",)), ("onsite", ONSITE, ("site", "office"))):
-        before = F.regexp_extract_all(own, F.lit(rf"(?s)\G(.*?)(?:{pattern})"), F.lit(1))
-        said.append(F.when(says(text, *anchors) & own.rlike(pattern) & F.exists(before, lambda x: ~F.right(x, F.lit(40)).rlike(NEGATED)), F.lit(name)))
-    return agreed(F.array_compact(F.array(*said)))
-
-
-def deadline(text: Column) -> Column:
-    """End of the day (UTC) that applications close, if just one date is stated, year first. ``dates.deadline`` reads every shape."""
-    days = F.when(says(text, "apply", "deadline", "closing", "closes", "last"), F.regexp_extract_all(scanned(text), F.lit(DEADLINE), F.lit(1)))
-    return F.timestamp_seconds(F.unix_timestamp(agreed(F.array_compact(F.transform(days, lambda d: d.try_cast("date")))).cast("timestamp")) + 86399)
+    """remote, hybrid or onsite, if the text states one for its job."""
+    return work_modes.work_mode(text)
 
 
 def visa(text: Column) -> Column:

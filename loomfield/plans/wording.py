@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomfield.functions import dates, experience, flags, languages
+from loomfield.functions import dates, experience, flags, languages, rules, work_modes
 from loomfield.functions import eligibility as el
 from loomfield.registry import Tables, query
 
@@ -57,6 +57,18 @@ YEARS = (
 )
 
 
+#: Statement, way of work.
+MODES = (
+    ("The position is remote.", "remote"), ("Painter (Remote)", "remote"), ("Work with remote teams.", None), ("Remote or hybrid.", None), ("3 days a week on site.", "hybrid"), ("A hybrid schedule.", "hybrid"), ("A hybrid of oil and water.", None), ("Painters are on-site.", "onsite"),
+    ("Not remote, but on site.", "onsite"), ("Come for an in-person interview.", None), ("Remote.io makes brushes.", None), ("This is a remote job; our hybrid policy is on the next page.", "remote"), ("Location: remote. #LI-Hybrid", None), ("The option to work remotely.", None), ("Nothing is said.", None),
+)
+#: Statement, least, most, currency, period.
+PAY = (
+    ("Salary: ₹12-18 LPA.", "1200000", "1800000", "INR", "year"), ("The daily rate is £350.", "350", "350", "GBP", "day"), ("Your monthly wage: €2,800", "2800", "2800", "EUR", "month"), ("Between $90k and $110k.", "90000", "110000", "USD", "year"), ("We raised $25 million.", None, None, None, None),
+    ("Reward $15,000. Your base pay is $95,000 to $105,000.", "95000", "105000", "USD", "year"), ("$9,500", None, None, None, None), ("Up to 8 lakhs per annum.", None, "800000", "INR", "year"), ("From £40,000 a year.", "40000", None, "GBP", "year"), ("Nothing is said.", None, None, None, None),
+)
+
+
 def _pick(values: tuple) -> Column:
     return F.element_at(F.array(*[F.lit(v) if isinstance(v, str) else F.array(*[F.lit(x) for x in v]).cast("array<string>") for v in values]), (F.col("doc_id") % len(values) + 1).cast("int"))
 
@@ -113,6 +125,24 @@ def stated_flags(t: Tables) -> DataFrame:
     return rows.select("doc_id", F.array_join(F.transform(hard, lambda x: x["flag"]), ",").alias("flags"), F.array_join(soft, ",").alias("labels"))
 
 
+@query(_sql(MODES, "mode"))
+def stated_modes(t: Tables) -> DataFrame:
+    """The way of work that each document's wording states."""
+    rows = t.spread("documents", "doc_id").select("doc_id", _said(MODES).alias("said"))
+    return rows.select("doc_id", work_modes.work_mode(F.col("said")).alias("mode"))
+
+
+@query(rf"""
+select m.doc_id, cast(low as double) as low, cast(high as double) as high, currency, period from ({_sql(PAY, 'low, high, currency, period')}) m
+""")
+def stated_pay(t: Tables) -> DataFrame:
+    """Pay that a statement in each document's words discloses: the document's digits are taken out first, so that just the
+    statement's figures are there."""
+    said = F.concat_ws("\n", F.regexp_replace("text", "[0-9]", ""), F.lit("-" * 60), _pick(tuple(v[0] for v in PAY)))
+    rows = t.spread("documents", "doc_id").select("doc_id", said.alias("said"))
+    return rows.select("doc_id", rules.pay(F.col("said")).alias("p")).select("doc_id", "p.low", "p.high", "p.currency", "p.period")
+
+
 @query(_sql(LANGUAGES, "required, nice"))
 def stated_languages(t: Tables) -> DataFrame:
     """Languages that each document's wording asks for and welcomes."""

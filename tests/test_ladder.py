@@ -26,7 +26,7 @@ def test_process_is_idempotent_and_fills_unknowns(spark):
 
 
 def test_rules_fill_never_override_and_recheck_is_stable(spark):
-    rows = spark.createDataFrame([(1, "Dev", "hybrid role", "remote"), (2, "Dev", "hybrid role", None)], "id long, title string, description string, remote_type string")
+    rows = spark.createDataFrame([(1, "Dev", "A hybrid schedule.", "remote"), (2, "Dev", "A hybrid schedule.", None)], "id long, title string, description string, remote_type string")
     done = ladder.apply_rules(rows)
     got = {r.id: (r.remote_type, r.remote_type_provenance, r.rule_conflicts) for r in done.collect()}
     assert got == {1: ("remote", "source", ["remote_type"]), 2: ("hybrid", "rule", [])}
