@@ -61,9 +61,15 @@ def _text(c: Column) -> Column:
     return F.nullif(plain, F.lit(""))
 
 
-def fields(rows: DataFrame, ats: str, job: str = "job") -> DataFrame:
-    """``rows`` with the fields of the variant ``job``: places, remote_type, employment_type, seniority, apply_url,
-    posted_at, deadline_at, company_name, eligible_countries, pay (low, high, currency, period), description."""
+#: Where a board keeps a posting's title.
+TITLES = {"greenhouse": ("title",), "lever": ("text",), "ashby": ("title",), "workable": ("title",), "recruitee": ("title", "translations.en.title"), "smartrecruiters": ("name",), "himalayas": ("title",)}
+BOARDS = tuple(TITLES)
+KINDS = {"places": "array<string>", "employment_type": "array<string>", "eligible_countries": "array<string>", "posted_at": "timestamp", "deadline_at": "timestamp", "pay": "struct<low:double,high:double,currency:string,period:string>"}
+NAMES = ("places", "remote_type", "employment_type", "seniority", "apply_url", "posted_at", "deadline_at", "company_name", "eligible_countries", "pay", "description")
+
+
+def columns(ats: str, job: str = "job") -> dict[str, Column]:
+    """The fields that a board's postings state, from the variant ``job``."""
     get = lambda path, kind="string": F.try_variant_get(F.col(job), f"$.{path}", kind)
     blank = lambda c: F.nullif(F.trim(c), F.lit(""))
     first = lambda *paths: F.coalesce(*[blank(get(p)) for p in paths])
@@ -130,6 +136,19 @@ def fields(rows: DataFrame, ats: str, job: str = "job") -> DataFrame:
         }
     else:
         raise ValueError(f"unknown board kind {ats}")
-    kinds = {"places": "array<string>", "employment_type": "array<string>", "eligible_countries": "array<string>", "posted_at": "timestamp", "deadline_at": "timestamp", "pay": "struct<low:double,high:double,currency:string,period:string>"}
-    names = ("places", "remote_type", "employment_type", "seniority", "apply_url", "posted_at", "deadline_at", "company_name", "eligible_countries", "pay", "description")
-    return rows.select("*", *[(own[n] if n in own else F.lit(None)).cast(kinds.get(n, "string")).alias(n) for n in names])
+    own["title"] = first(*TITLES[ats])
+    return own
+
+
+def fields(rows: DataFrame, ats: str, job: str = "job") -> DataFrame:
+    """``rows`` with the fields of the variant ``job``: places, remote_type, employment_type, seniority, apply_url,
+    posted_at, deadline_at, company_name, eligible_countries, pay (low, high, currency, period), description."""
+    own = columns(ats, job)
+    return rows.select("*", *[(own[n] if n in own else F.lit(None)).cast(KINDS.get(n, "string")).alias(n) for n in NAMES])
+
+
+def any_board(source: Column, job: str = "job") -> dict[str, Column]:
+    """The fields and the title of a posting of whichever board ``source`` names, in one pass over mixed rows."""
+    by = {ats: columns(ats, job) for ats in BOARDS}
+    pick = lambda n: F.coalesce(*[F.when(source == ats, own[n].cast(KINDS.get(n, "string"))) for ats, own in by.items() if n in own])
+    return {n: pick(n) for n in (*NAMES, "title")}

@@ -25,13 +25,26 @@ def nodes(pages: DataFrame, key: str, html: str) -> DataFrame:
     data = blocks.select(key, F.try_parse_json(tidy(F.col("block"))).alias("v")).where("v is not null")
     many = lambda path: F.try_variant_get("v", path, "array<variant>")
     listed = data.select(key, F.explode(F.coalesce(many("$"), many("$['@graph']"), F.array("v"))).alias("node"))
-    kind = F.coalesce(F.try_variant_get("node", "$['@type']", "string"), F.array_join(F.try_variant_get("node", "$['@type']", "array<string>"), ","))
-    return listed.where(kind.rlike("(^|,|\")JobPosting($|,|\")"))
+    return listed.where(_is_posting(F.col("node")))
 
 
-def postings(pages: DataFrame, key: str, html: str) -> DataFrame:
-    """The fields of each structured posting. Weekly pay becomes monthly; a bare date is valid to the end of its day."""
-    get = lambda path, kind="string": F.try_variant_get("node", path, kind)
+def _is_posting(node: Column) -> Column:
+    kind = F.coalesce(F.try_variant_get(node, "$['@type']", "string"), F.array_join(F.try_variant_get(node, "$['@type']", "array<string>"), ","))
+    return F.coalesce(kind.rlike("(^|,|\")JobPosting($|,|\")"), F.lit(False))
+
+
+def first_posting(html: Column) -> Column:
+    """The first JobPosting node of a page, or null; no row is exploded for it."""
+    blocks = F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(BLOCK), F.lit(1))
+    data = F.array_compact(F.transform(blocks, lambda b: F.try_parse_json(tidy(b))))
+    many = lambda v, path: F.try_variant_get(v, path, "array<variant>")
+    listed = F.flatten(F.transform(data, lambda v: F.coalesce(many(v, "$"), many(v, "$['@graph']"), F.array(v))))
+    return F.when(F.coalesce(html, F.lit("")).contains("ld+json"), F.get(F.filter(listed, _is_posting), 0))
+
+
+def columns(node: str) -> dict[str, Column]:
+    """The fields of a structured posting. Weekly pay becomes monthly; a bare date is valid to the end of its day."""
+    get = lambda path, kind="string": F.try_variant_get(node, path, kind)
     unit = F.upper(F.coalesce(get("$.baseSalary.value.unitText"), get("$.baseSalary.unitText")))
     week = F.when(unit == "WEEK", 52 / 12).otherwise(1.0)
     low = F.coalesce(get("$.baseSalary.value.minValue", "double"), get("$.baseSalary.value.value", "double"), get("$.baseSalary.value", "double"))
@@ -40,15 +53,27 @@ def postings(pages: DataFrame, key: str, html: str) -> DataFrame:
     place = lambda name: F.coalesce(get(f"$.jobLocation.address.{name}"), get(f"$.jobLocation[0].address.{name}"))
     kinds = F.coalesce(get("$.employmentType", "array<string>"), F.split(get("$.employmentType"), "[,/]"))
     known = F.transform(kinds, lambda k: F.regexp_replace(F.upper(F.trim(k)), r"[\s-]+", "_"))
-    return nodes(pages, key, html).select(
-        key,
-        get("$.title").alias("title"), get("$.hiringOrganization.name").alias("company"), get("$.datePosted").try_cast("timestamp").alias("posted_at"),
-        F.when(until.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.timestamp_seconds(F.unix_timestamp(until.try_cast("timestamp")) + 86399)).otherwise(until.try_cast("timestamp")).alias("deadline_at"),
-        F.array_join(F.array_distinct(F.transform(known, lambda k: F.when(k.isin(*EMPLOYMENT), k).otherwise("OTHER"))), ",").alias("employment_type"),
-        F.when(F.upper(get("$.jobLocationType")) == "TELECOMMUTE", "remote").alias("remote_type"), place("addressLocality").alias("city"), place("addressCountry").alias("country"),
-        (low * week).alias("pay_min"), (high * week).alias("pay_max"), F.upper(F.coalesce(get("$.baseSalary.currency"), get("$.salaryCurrency"))).alias("pay_currency"),
-        F.try_element_at(F.create_map(*[F.lit(x) for kv in UNITS.items() for x in kv]), unit).alias("pay_period"), get("$.description").alias("description"),
-    )
+    return {
+        "title": get("$.title"), "company": get("$.hiringOrganization.name"), "posted_at": get("$.datePosted").try_cast("timestamp"),
+        "deadline_at": F.when(until.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.timestamp_seconds(F.unix_timestamp(until.try_cast("timestamp")) + 86399)).otherwise(until.try_cast("timestamp")),
+        "employment_type": F.array_join(F.array_distinct(F.transform(known, lambda k: F.when(k.isin(*EMPLOYMENT), k).otherwise("OTHER"))), ","),
+        "remote_type": F.when(F.upper(get("$.jobLocationType")) == "TELECOMMUTE", "remote"), "city": place("addressLocality"), "country": place("addressCountry"),
+        "pay_min": low * week, "pay_max": high * week, "pay_currency": F.upper(F.coalesce(get("$.baseSalary.currency"), get("$.salaryCurrency"))),
+        "pay_period": F.try_element_at(F.create_map(*[F.lit(x) for kv in UNITS.items() for x in kv]), unit), "description": get("$.description"),
+    }
+
+
+def requirements(node: str) -> Column:
+    """The names of the places that applicants must be in, one or many, as strings or as objects with a name."""
+    path = "$.applicantLocationRequirements"
+    many = F.transform(F.try_variant_get(node, path, "array<variant>"), lambda v: F.coalesce(F.try_variant_get(v, "$.name", "string"), F.try_variant_get(v, "$", "string")))
+    one = F.coalesce(F.try_variant_get(node, f"{path}.name", "string"), F.try_variant_get(node, path, "string"))
+    return F.coalesce(many, F.when(one.isNotNull(), F.array(one)))
+
+
+def postings(pages: DataFrame, key: str, html: str) -> DataFrame:
+    """The fields of each structured posting of each page."""
+    return nodes(pages, key, html).select(key, *[c.alias(n) for n, c in columns("node").items()])
 
 
 def merge_rungs(first: dict[str, Column], second: dict[str, Column]) -> tuple[dict[str, Column], Column]:

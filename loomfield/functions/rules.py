@@ -61,36 +61,48 @@ def pay(text: Column) -> Column:
     in LPA, or as the last such word in the 40 characters in front; without one, less than 10 000 is not judged. Funding is
     no pay. Of several different figures one counts only if all those near a word for pay agree on it."""
     blank = lambda c: F.nullif(F.trim(c), F.lit(""))
+    number = lambda c: blank(F.replace(c, F.lit(","), F.lit(""))).try_cast("double")
 
+    # Each step reads the one before by name, so no expression stands in the plan more than once.
     def read(m: Column) -> Column:
-        lead, joined = F.lower(F.regexp_replace(m["g1"], r"\s+", "")), F.lower(m["g5"])
-        ranged = (m["g7"] != "") & ((joined != "and") | (lead == "between"))
-        magnitude = F.lower(F.coalesce(blank(m["g4"]), blank(m["g8"])))
-        own = F.coalesce(_lookup(MULTIPLES, blank(m["g4"])), _lookup(MULTIPLES, magnitude), F.lit(1.0))
-        other = F.coalesce(_lookup(MULTIPLES, blank(m["g8"])), _lookup(MULTIPLES, magnitude), F.lit(1.0))
-        number = lambda c: blank(F.replace(c, F.lit(","), F.lit(""))).try_cast("double")
-        one, two = number(m["g3"]) * own, F.when(ranged, number(m["g7"]) * other)
-        currency = F.coalesce(_lookup(CURRENCIES, blank(m["g2"])), _lookup(CURRENCIES, blank(m["g6"])), F.when(magnitude != "k", "INR"))
         before = F.right(m["before"], F.lit(40))
-        period = F.coalesce(_period(F.lower(m["g10"])), F.when(magnitude == "lpa", "year"), _period(F.lower(F.regexp_extract(F.regexp_replace(before, "\n", " "), PERIOD_BEFORE, 1))))
-        low = F.when(two.isNull() & lead.isin("upto", "maximum"), None).otherwise(F.least(one, F.coalesce(two, one)))
-        high = F.when(two.isNotNull(), F.greatest(one, two)).when(lead.isin("from", "startingat", "startingfrom", "minimum") | (F.trim(m["g9"]) == "+"), None).otherwise(one)
-        top, year = F.coalesce(high, low), F.coalesce(period, F.lit("year"))
-        good = currency.isNotNull() & (period.isNotNull() | (top >= 10_000)) & ((year != "year") | (top >= F.when(currency == "INR", 10_000).otherwise(1000)))
-        funding = m["after"].rlike(FUNDING_AFTER) | F.concat(before, m["said"], m["after"]).rlike(FUNDING)
-        value = F.struct(low.alias("low"), high.alias("high"), currency.alias("currency"), year.alias("period"))
-        labelled = F.concat(F.right(before, F.lit(30)), m["said"]).rlike(PAY_WORDS)
-        return F.when(good & ~funding, F.struct(value.alias("value"), labelled.alias("labelled")))
+        return F.struct(
+            F.lower(F.regexp_replace(m["g1"], r"\s+", "")).alias("lead"), F.lower(m["g5"]).alias("joined"), F.lower(blank(m["g4"])).alias("m1"), F.lower(blank(m["g8"])).alias("m2"),
+            number(m["g3"]).alias("n1"), number(m["g7"]).alias("n2"), F.lower(F.coalesce(blank(m["g2"]), blank(m["g6"]))).alias("sign"), (F.trim(m["g9"]) == "+").alias("plus"), F.lower(m["g10"]).alias("behind"),
+            F.lower(F.regexp_extract(F.regexp_replace(before, "\n", " "), PERIOD_BEFORE, 1)).alias("in_front"), F.concat(F.right(before, F.lit(30)), m["said"]).rlike(PAY_WORDS).alias("labelled"),
+            (m["after"].rlike(FUNDING_AFTER) | F.concat(before, m["said"], m["after"]).rlike(FUNDING)).alias("funding"),
+        )
+
+    def weigh(x: Column) -> Column:
+        shared = F.coalesce(x["m1"], x["m2"])
+        times = lambda own: F.coalesce(_lookup(MULTIPLES, F.coalesce(own, shared)), F.lit(1.0))
+        ranged = (x["joined"] != "and") | (x["lead"] == "between")
+        return F.struct(
+            (x["n1"] * times(x["m1"])).alias("one"), F.when(ranged, x["n2"] * times(x["m2"])).alias("two"), F.coalesce(_lookup(CURRENCIES, x["sign"]), F.when(shared != "k", "INR")).alias("currency"),
+            F.coalesce(_period(x["behind"]), F.when(shared == "lpa", "year"), _period(x["in_front"])).alias("stated"), x["lead"].isin("upto", "maximum").alias("most"),
+            (x["lead"].isin("from", "startingat", "startingfrom", "minimum") | x["plus"]).alias("least"), x["labelled"].alias("labelled"), x["funding"].alias("funding"),
+        )
+
+    def bounds(x: Column) -> Column:
+        low = F.when(x["two"].isNull() & x["most"], None).otherwise(F.least(x["one"], F.coalesce(x["two"], x["one"])))
+        high = F.when(x["two"].isNotNull(), F.greatest(x["one"], x["two"])).when(~x["least"], x["one"])
+        value = F.struct(low.alias("low"), high.alias("high"), x["currency"].alias("currency"), F.coalesce(x["stated"], F.lit("year")).alias("period"))
+        return F.struct(value.alias("value"), F.coalesce(x["two"], x["one"]).alias("top"), x["stated"].isNotNull().alias("stated"), x["labelled"].alias("labelled"), x["funding"].alias("funding"))
+
+    def good(x: Column) -> Column:
+        floor = F.when(x["value"]["currency"] == "INR", 10_000).otherwise(1000)
+        return x["value"]["currency"].isNotNull() & (x["stated"] | (x["top"] >= 10_000)) & ((x["value"]["period"] != "year") | (x["top"] >= floor)) & ~x["funding"]
 
     def judged(found: Column) -> Column:
         values = lambda x: F.array_distinct(F.transform(x, lambda v: v["value"]))
-        labelled = values(F.filter(found, lambda v: v["labelled"]))
-        return F.when(F.size(values(found)) == 1, F.get(values(found), 0)).when(F.size(labelled) == 1, F.get(labelled, 0))
+        several = F.struct(values(found).alias("all"), values(F.filter(found, lambda v: v["labelled"])).alias("labelled"))
+        pick = lambda v: F.when(F.size(v["all"]) == 1, F.get(v["all"], 0)).when(F.size(v["labelled"]) == 1, F.get(v["labelled"], 0))
+        return F.get(F.transform(F.array(several), pick), 0)
 
     own = scanned(text)
     anchored = own.rlike(rf"(?i)(?:{CURRENCY})[\s:]{{0,4}}[0-9]|[0-9]\s*(?:{MAGNITUDE})")
     marked = says(text, "₹", "$", "€", "£", "rs", "inr", "usd", "eur", "gbp", "aud", "cad", "sgd", "aed", "crore", "cr", "lakh", "lac", "lpa") & own.rlike("[0-9]")
-    found = F.array_compact(F.transform(around(own, PAY, 40, 40, 10, ungrouped(PAY)), read))
+    found = F.filter(F.transform(F.transform(F.transform(around(own, PAY, 40, 40, 10, ungrouped(PAY)), read), weigh), bounds), good)
     return F.when(marked & anchored, F.get(F.transform(F.array(found), judged), 0))
 
 

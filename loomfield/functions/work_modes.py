@@ -122,15 +122,14 @@ def work_mode(text: Column) -> Column:
     own = F.coalesce(text, F.lit(""))
     stated = F.array_distinct(F.array_compact(F.transform(around(own, MENTION, 45, 90), _mode)))
 
-    def decided(modes: Column) -> Column:
-        refused = {"remote": NOT_REMOTE, "hybrid": NOT_HYBRID, "onsite": NOT_ONSITE}
-        left = F.filter(modes, lambda m: ~F.coalesce(*[F.when(m == k, own.rlike(p)) for k, p in refused.items()]))
-        strong = F.filter(left, lambda m: F.coalesce(*[F.when(m == k, own.rlike(p)) for k, p in STRONG.items()]))
-        several = F.when(~own.rlike(REMOTE_OR_HYBRID) & (F.size(strong) == 1), F.get(strong, 0))
+    by_mode = lambda m, patterns: F.coalesce(*[F.when(m == k, own.rlike(p)) for k, p in patterns.items()])
+    let = lambda c, f: F.get(F.transform(F.array(c), f), 0)  # noqa: E731  what is worked out once is read as an array's one element
+
+    def decided(left: Column) -> Column:
+        several = F.when(~own.rlike(REMOTE_OR_HYBRID), let(F.filter(left, lambda m: by_mode(m, STRONG)), lambda s: F.when(F.size(s) == 1, F.get(s, 0))))
         return F.when(F.size(left) == 1, F.get(left, 0)).when(F.size(left) > 1, several)
 
-    # What is stated is worked out once and read as the one element of an array.
-    found = F.get(F.transform(F.array(stated), decided), 0)
+    found = let(F.filter(stated, lambda m: ~by_mode(m, {"remote": NOT_REMOTE, "hybrid": NOT_HYBRID, "onsite": NOT_ONSITE})), decided)
     return F.when(says(own, "remote", "wfh", "anywhere", "hybrid", "site", "office", "person"), found)
 
 
