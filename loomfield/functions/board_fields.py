@@ -3,6 +3,8 @@ the board says nothing; odd types and shapes are nulls, never errors."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -68,8 +70,21 @@ KINDS = {"places": "array<string>", "employment_type": "array<string>", "eligibl
 NAMES = ("places", "remote_type", "employment_type", "seniority", "apply_url", "posted_at", "deadline_at", "company_name", "eligible_countries", "pay", "description")
 
 
-def columns(ats: str, job: str = "job") -> dict[str, Column]:
-    """The fields that a board's postings state, from the variant ``job``."""
+#: Stands in front of markup that is not text yet.
+MARK = "\x01"
+
+
+def marked(c: Column) -> Column:
+    return F.concat(F.lit(MARK), c)
+
+
+def unmarked(c: Column) -> Column:
+    """Text of what ``columns`` gave with ``marked``: markup becomes text, all else stays."""
+    return F.when(c.startswith(MARK), _text(F.replace(F.when(c.startswith(MARK), c), F.lit(MARK), F.lit("")))).otherwise(c)
+
+
+def columns(ats: str, job: str = "job", text: Callable[[Column], Column] = _text) -> dict[str, Column]:
+    """The fields that a board's postings state, from the variant ``job``. ``text`` makes text of markup."""
     get = lambda path, kind="string": F.try_variant_get(F.col(job), f"$.{path}", kind)
     blank = lambda c: F.nullif(F.trim(c), F.lit(""))
     first = lambda *paths: F.coalesce(*[blank(get(p)) for p in paths])
@@ -87,7 +102,7 @@ def columns(ats: str, job: str = "job") -> dict[str, Column]:
     period = lambda path: _table(PERIODS, F.lower(F.trim(get(path))))
     own: dict[str, Column] = {}
     if ats == "greenhouse":
-        own = {"places": places(one(first("location.name"))), "apply_url": first("absolute_url"), "posted_at": when("first_published"), "company_name": first("company_name"), "description": _text(get("content"))}
+        own = {"places": places(one(first("location.name"))), "apply_url": first("absolute_url"), "posted_at": when("first_published"), "company_name": first("company_name"), "description": text(get("content"))}
     elif ats == "lever":
         created = get("createdAt", "double") / 1000
         lists = F.array_join(F.filter(F.transform(get("lists", "array<variant>"), lambda v: F.concat_ws("\n", F.try_variant_get(v, "$.text", "string"), F.regexp_replace(F.try_variant_get(v, "$.content", "string"), "<[^>]*>", " "))), lambda s: s != ""), "\n\n")
@@ -101,13 +116,13 @@ def columns(ats: str, job: str = "job") -> dict[str, Column]:
         own = {
             "places": places(one(first("location")), many("secondaryLocations", ("location",)), one(place("address.postalAddress.addressLocality", "address.postalAddress.addressRegion", "address.postalAddress.addressCountry"))),
             "remote_type": F.coalesce(mode, F.when(stated.isNull() & true("isRemote"), "remote")), "employment_type": employment(get("employmentType")), "posted_at": when("publishedAt"), "apply_url": first("applyUrl", "jobUrl"),
-            "description": F.coalesce(first("descriptionPlain"), _text(get("descriptionHtml"))), "pay": pay("compensation.min", "compensation.max", first("compensation.currency", "compensation.currencyCode"), period("compensation.interval")),
+            "description": F.coalesce(first("descriptionPlain"), text(get("descriptionHtml"))), "pay": pay("compensation.min", "compensation.max", first("compensation.currency", "compensation.currencyCode"), period("compensation.interval")),
         }
     elif ats == "workable":
         listed = many("locations", ("city", "region", "country"))
         own = {
             "places": F.when(F.size(places(listed)) > 0, places(listed)).otherwise(places(one(place("city", "state", "country")))), "remote_type": F.when(true("telecommuting"), "remote"), "employment_type": employment(get("employment_type")),
-            "seniority": level_label(get("experience")), "apply_url": first("application_url", "url", "shortlink"), "posted_at": when("published_on", "created_at"), "description": _text(get("description")),
+            "seniority": level_label(get("experience")), "apply_url": first("application_url", "url", "shortlink"), "posted_at": when("published_on", "created_at"), "description": text(get("description")),
         }
     elif ats == "recruitee":
         listed = many("locations", ("city", "state", "country"))
@@ -116,7 +131,7 @@ def columns(ats: str, job: str = "job") -> dict[str, Column]:
         own = {
             "places": F.when(F.size(places(listed)) > 0, places(listed)).otherwise(places(one(place("city", "state_name", "country")))), "remote_type": F.when(F.size(modes) == 1, F.get(modes, 0)), "employment_type": employment(code),
             "seniority": level_label(get("experience_code")), "apply_url": first("careers_apply_url", "careers_url"), "posted_at": when("published_at", "created_at"),
-            "description": blank(F.concat_ws("\n\n", _text(F.coalesce(get("description"), get("translations.en.description"))), _text(F.coalesce(get("requirements"), get("translations.en.requirements"))))),
+            "description": blank(F.concat_ws("\n\n", text(F.coalesce(get("description"), get("translations.en.description"))), text(F.coalesce(get("requirements"), get("translations.en.requirements"))))),
             "pay": pay("salary.min", "salary.max", first("salary.currency"), period("salary.period")),
         }
     elif ats == "smartrecruiters":
@@ -132,7 +147,7 @@ def columns(ats: str, job: str = "job") -> dict[str, Column]:
         own = {
             "remote_type": F.lit("remote"), "eligible_countries": F.when((F.size(named) > 0) & all_known, F.array_sort(geo.expand_regions(named))), "employment_type": employment(get("employmentType")),
             "seniority": himalayas_level(get("seniority", "array<string>")), "company_name": first("companyName"), "posted_at": epoch(get("pubDate", "long")), "deadline_at": epoch(get("expiryDate", "long")),
-            "apply_url": F.when(url.rlike("^https?://"), url), "description": _text(get("description")), "pay": pay("minSalary", "maxSalary", first("currency"), period("salaryPeriod")),
+            "apply_url": F.when(url.rlike("^https?://"), url), "description": text(get("description")), "pay": pay("minSalary", "maxSalary", first("currency"), period("salaryPeriod")),
         }
     else:
         raise ValueError(f"unknown board kind {ats}")
@@ -148,7 +163,8 @@ def fields(rows: DataFrame, ats: str, job: str = "job") -> DataFrame:
 
 
 def any_board(source: Column, job: str = "job") -> dict[str, Column]:
-    """The fields and the title of a posting of whichever board ``source`` names, in one pass over mixed rows."""
-    by = {ats: columns(ats, job) for ats in BOARDS}
+    """The fields and the title of a posting of whichever board ``source`` names, in one pass over mixed rows. The description is
+    for ``unmarked``, so that one conversion serves all boards."""
+    by = {ats: columns(ats, job, marked) for ats in BOARDS}
     pick = lambda n: F.coalesce(*[F.when(source == ats, own[n].cast(KINDS.get(n, "string"))) for ats, own in by.items() if n in own])
     return {n: pick(n) for n in (*NAMES, "title")}
