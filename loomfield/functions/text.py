@@ -181,3 +181,28 @@ def word_pattern(text: str) -> str:
     import re
 
     return rf"(^|[^\p{{L}}\p{{N}}+#]){re.escape(text)}($|[^\p{{L}}\p{{N}}+#])"
+
+
+#: What a line of a list begins with, how long a heading may be, and how many blocks a description keeps.
+BULLET, MOST_HEADING, MOST_BLOCKS = r"^\s*(?:[-*•·])\s+", 70, 400
+
+
+def blocks(text: Column, most: int | None = MOST_BLOCKS) -> Column:
+    """The blocks of a description, as array of struct(kind, lines): parts between blank lines. A part whose lines all begin with a
+    bullet is a ``list`` of its items; a single short line that ends in no punctuation is a ``heading``, without its colon; all
+    else is a ``paragraph`` with its lines. At most ``most`` blocks (None: all). Null and blank texts have none."""
+    trimmed = lambda c: F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    parts = F.split(F.regexp_replace(F.coalesce(text, F.lit("")), r"\r\n?", "\n"), r"\n{2,}")
+    lined = F.filter(F.transform(parts, lambda p: F.filter(F.split(p, "\n"), lambda x: trimmed(x) != "")), lambda x: F.size(x) > 0)
+
+    def block(lines: Column) -> Column:
+        only = trimmed(F.get(lines, 0))
+        made = lambda kind, c: F.struct(F.lit(kind).alias("kind"), c.alias("lines"))
+        heading = (F.size(lines) == 1) & (F.length(only) <= MOST_HEADING) & ~only.rlike("[.!?,;]$")
+        return (
+            F.when(F.forall(lines, lambda x: x.rlike(BULLET)), made("list", F.transform(lines, lambda x: trimmed(F.regexp_replace(x, BULLET, "")))))
+            .when(heading, made("heading", F.array(F.regexp_replace(only, ":$", "")))).otherwise(made("paragraph", F.transform(lines, trimmed)))
+        )
+
+    found = F.transform(lined, block)
+    return found if most is None else F.slice(found, 1, most)

@@ -100,6 +100,112 @@ def misses_over_polls(polls: DataFrame, seen: DataFrame, board: str, item: str,
     return runs.select(board, item, at, F.col("missing_polls").cast("long").alias("missing_polls"), F.when(F.col("missing_polls") >= CLOSE_AFTER, "closed").otherwise("open").alias("status"))
 
 
+def fold_polls(polls: DataFrame, board: str, item: str, at: str, stored: DataFrame | None = None) -> DataFrame:
+    """A sequence of complete polls applied one after the other, guard included: (board, item, status, missing_polls, seen_at,
+    closed_at, suspects) of every item that was ever listed or stored. ``polls``: (board, at, item), one row per listed item; a
+    poll that lists nothing is a row with a null item. ``stored``: (board, item, status, missing_polls) before the first poll.
+    ``suspects``: how many polls of the board were not believed.
+
+    Whether a poll is believed depends on what earlier ones left, so no window can tell; a board's rows stream past in order
+    through one task, which holds its items, and each believed poll looks only at what it and the two before it list. Work
+    grows with the rows listed, not with items times polls. Listed twice is listed once; rows without a board or time are no polls."""
+    kinds = dict(polls.dtypes)
+    own = polls.select(F.col(board).alias("b"), F.col(at).alias("t"), F.col(item).alias("i"), F.lit(1).alias("kind"), F.lit(None).cast("string").alias("s"), F.lit(None).cast("long").alias("m")).where("b is not null and t is not null")
+    if stored is not None:
+        before = stored.select(F.col(board).alias("b"), F.lit(None).cast(kinds[at]).alias("t"), F.col(item).alias("i"), F.lit(0).alias("kind"), F.col("status").alias("s"), F.col("missing_polls").cast("long").alias("m"))
+        own = before.where("b is not null").unionByName(own)
+
+    def run(batches):
+        import pyarrow as pa
+
+        def flush(b, fold):
+            return [(b, *r) for r in fold.rows()]
+
+        out, now, fold, poll, listed = [], None, None, None, set()
+        for batch in batches:
+            for b, t, i, kind, s, m in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if fold is None or b != now:
+                    if fold is not None:
+                        if poll is not None:
+                            fold.take(poll, listed)
+                        out += flush(now, fold)
+                    now, fold, poll, listed = b, PollFold(), None, set()
+                if kind == 0:
+                    fold.store(i, s, m)
+                    continue
+                if t != poll:
+                    if poll is not None:
+                        fold.take(poll, listed)
+                    poll, listed = t, set()
+                if i is not None:
+                    listed.add(i)
+            if len(out) > 10_000:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), types, strict=True)], names=columns)
+                out = []
+        if fold is not None:
+            if poll is not None:
+                fold.take(poll, listed)
+            out += flush(now, fold)
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), types, strict=True)], names=columns)
+
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    done = own.select(F.col("b").alias(board), F.col("i").alias(item), F.lit("").alias("status"), F.lit(0).cast("long").alias("missing_polls"), F.col("t").alias("seen_at"), F.col("t").alias("closed_at"), F.lit(0).cast("long").alias("suspects")).schema
+    arrow = to_arrow_schema(done)
+    columns, types = arrow.names, arrow.types
+    return own.repartition("b").sortWithinPartitions("b", "kind", "t").mapInArrow(run, done)
+
+
+class PollFold:
+    """What a sequence of complete polls leaves of one board's items."""
+
+    def __init__(self):
+        self.polls, self.suspects, self.open = 0, 0, set()
+        #: By item: the believed poll that listed it last (counted back by the misses it was stored with), its time, the time it closed.
+        self.last: dict = {}
+        self.seen: dict = {}
+        self.closed: dict = {}
+        self.other: dict = {}
+        #: Items that may close at the next polls: by the poll that listed them last.
+        self.due: dict[int, list] = {}
+
+    def store(self, item, status: str, misses: int | None) -> None:
+        if status not in ("open", "closed"):
+            self.other[item] = (status, misses)
+            return
+        self.last[item] = -(misses or 0)
+        if status == "open":
+            self.open.add(item)
+            self.due.setdefault(self.last[item], []).append(item)
+        else:
+            self.closed[item] = None
+
+    def take(self, at, listed: set) -> None:
+        listed = {i for i in listed if i not in self.other}
+        found = len(listed & self.open)
+        if len(self.open) >= GUARD_MIN_OPEN and found < len(self.open) * GUARD_MIN_SHARE:
+            self.suspects += 1
+            return
+        self.polls += 1
+        for i in listed:
+            self.last[i], self.seen[i] = self.polls, at
+            self.open.add(i)
+            self.closed.pop(i, None)
+        self.due[self.polls] = list(listed)
+        for p in [p for p in self.due if p <= self.polls - CLOSE_AFTER]:
+            for i in self.due.pop(p):
+                if self.last[i] == p and i in self.open:
+                    self.open.discard(i)
+                    self.closed[i] = at
+
+    def rows(self) -> list[tuple]:
+        """(item, status, missing polls, last seen, closed at, suspect polls), by item."""
+        misses = lambda i: self.polls - self.last[i] if i in self.open else CLOSE_AFTER if self.closed.get(i) is not None else -self.last[i]
+        out = [(i, "open" if i in self.open else "closed", misses(i), self.seen.get(i), self.closed.get(i), self.suspects) for i in self.last]
+        return sorted(out + [(i, s, m, None, None, self.suspects) for i, (s, m) in self.other.items()], key=lambda r: str(r[0]))
+
+
 def next_board_status(ok: Column, blocked: Column, dead: Column, failures: Column, status: Column) -> Column:
     """A board's status after a poll; ``failures``: those in a row before it."""
     return F.when(ok, "active").when(blocked, "blocked").when(dead & (failures + 1 >= DEAD_AFTER), "dead").otherwise(status)

@@ -157,17 +157,23 @@ def vector_topk(t: Tables) -> DataFrame:
 
 
 @query(r"""
-with b as (select doc_id, unnest(regexp_split_to_array(trim(text, chr(10)), '\n+')) as block from documents)
-select doc_id, count(*) as blocks, count(*) filter (where length(block) <= 70 and not regexp_matches(block, '[.!?,;:]\s*$')) as headings, count(*) filter (where regexp_matches(block, '^\s*[-*•]\s')) as bullets from b where trim(block) <> '' group by doc_id
+with d as (select doc_id, case doc_id % 3 when 0 then text when 1 then replace(text, chr(10), chr(10) || chr(10)) else '- ' || replace(text, chr(10), chr(10) || '- ') end as text from documents),
+p as (select doc_id, unnest(string_split_regex(text, '\n{2,}')) as part, generate_subscripts(string_split_regex(text, '\n{2,}'), 1) as nth from d),
+l as (select doc_id, nth, list_filter(string_split(part, chr(10)), lambda x: trim(x, chr(32) || chr(9) || chr(13)) <> '') as lines from p),
+k as (select doc_id, nth, case when list_aggregate(list_transform(lines, lambda x: regexp_matches(x, '^\s*[-*•·]\s+')), 'bool_and') then 'list'
+    when len(lines) = 1 and length(trim(lines[1])) <= 70 and not regexp_matches(trim(lines[1]), '[.!?,;]$') then 'heading' else 'paragraph' end as kind, lines from l where len(lines) > 0),
+b as (select doc_id, nth, kind, array_to_string(case kind when 'list' then list_transform(lines, lambda x: trim(regexp_replace(x, '^\s*[-*•·]\s+', ''))) when 'heading' then [regexp_replace(trim(lines[1]), ':$', '')] else list_transform(lines, lambda x: trim(x)) end, '|') as said from k)
+select doc_id, count(*) as blocks, count(*) filter (where kind = 'heading') as headings, count(*) filter (where kind = 'list') as lists, count(*) filter (where kind = 'paragraph') as paragraphs,
+  md5(string_agg(kind || ':' || said, chr(10) order by nth)) as digest from b group by doc_id
 """)
 def description_blocks(t: Tables) -> DataFrame:
-    """Headings, bullets and paragraphs of texts."""
-    blocks = F.filter(F.split(F.trim("text"), "\n+"), lambda b: F.trim(b) != "")
-    rows = t.documents.select("doc_id", blocks.alias("b"))
-    count = lambda cond: F.size(F.filter("b", cond)).cast("long")
-    return rows.where(F.size("b") > 0).select(
-        "doc_id", F.size("b").cast("long").alias("blocks"), count(lambda b: (F.length(b) <= 70) & ~b.rlike(r"[.!?,;:]\s*$")).alias("headings"), count(lambda b: b.rlike(r"^\s*[-*•]\s")).alias("bullets")
-    )
+    """Blocks of texts: as they are, with a blank line behind each line, or as lists, by document in turn."""
+    k = F.col("doc_id") % 3
+    said = F.when(k == 0, F.col("text")).when(k == 1, F.replace("text", F.lit("\n"), F.lit("\n\n"))).otherwise(F.concat(F.lit("- "), F.replace("text", F.lit("\n"), F.lit("\n- "))))
+    rows = t.documents.select("doc_id", tx.blocks(said, most=None).alias("b")).where(F.size("b") > 0)
+    count = lambda kind: F.size(F.filter("b", lambda x: x["kind"] == kind)).cast("long")
+    listed = F.array_join(F.transform("b", lambda x: F.concat(x["kind"], F.lit(":"), F.array_join(x["lines"], "|"))), "\n")
+    return rows.select("doc_id", F.size("b").cast("long").alias("blocks"), count("heading").alias("headings"), count("list").alias("lists"), count("paragraph").alias("paragraphs"), F.md5(listed).alias("digest"))
 
 
 @query("""

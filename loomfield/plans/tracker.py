@@ -157,3 +157,23 @@ def liveness_empty_polls(t: Tables) -> DataFrame:
     prior = t.orders.where("o_orderkey % 3 = 0").select("o_custkey", "o_orderkey", F.when(F.col("o_orderstatus") == "O", "open").otherwise("closed").alias("status"), (F.col("o_orderkey") % 2).alias("missing_polls"))
     polled = t.customer.where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("o_custkey"))
     return state.liveness(prior, prior.where("o_custkey % 4 = 0").select("o_custkey", "o_orderkey"), "o_custkey", "o_orderkey", polled)
+
+
+@query("""
+with recursive p as (select o_custkey % 100 as board, year(o_orderdate) * 4 + quarter(o_orderdate) as nth, list_sort(list_distinct(list(o_orderkey % 40))) as items from orders group by all),
+n as (select *, row_number() over (partition by board order by nth) as k from p),
+steps(board, k, state, suspects) as (
+  select distinct board, 0::bigint, cast([] as struct(item bigint, misses bigint)[]), 0::bigint from p
+  union all
+  select board, k, if(bad, state, list_concat(list_transform(state, lambda x: {'item': x.item, 'misses': if(list_contains(items, x.item), 0::bigint, least(x.misses + 1, 2))}),
+      list_transform(list_filter(items, lambda i: not list_contains(list_transform(state, lambda y: y.item), i)), lambda i: {'item': i, 'misses': 0::bigint}))), suspects + bad::int
+  from (select n.board, n.k, s.state, n.items, s.suspects, len(list_filter(s.state, lambda x: x.misses < 2)) >= 5
+      and len(list_filter(s.state, lambda x: x.misses < 2 and list_contains(n.items, x.item))) < 0.2 * len(list_filter(s.state, lambda x: x.misses < 2)) as bad from steps s join n on n.board = s.board and n.k = s.k + 1)),
+ends as (select board, suspects, unnest(state) as x from steps where (board, k) in (select (board, max(k)) from n group by board))
+select board, x.item as item, if(x.misses < 2, 'open', 'closed') as status, x.misses as missing_polls, suspects from ends
+""")
+def liveness_guarded_polls(t: Tables) -> DataFrame:
+    """Quarterly polls of a hundred boards, applied in order with the guard: status and misses of every item, and how many polls
+    of its board were not believed."""
+    listed = t.orders.select((F.col("o_custkey") % 100).alias("board"), (F.year("o_orderdate") * 4 + F.quarter("o_orderdate")).alias("at"), (F.col("o_orderkey") % 40).alias("item"))
+    return state.fold_polls(listed, "board", "item", "at").select("board", "item", "status", "missing_polls", "suspects")

@@ -5,7 +5,7 @@ import os
 
 import pytest
 
-from loomfield.plans import feed, relational, texts, tracker, wording  # noqa: F401
+from loomfield.plans import feed, intake, relational, texts, tracker, wording  # noqa: F401
 from loomfield.registry import ORACLES, QUERIES
 
 FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")

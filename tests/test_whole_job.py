@@ -4,7 +4,7 @@ import hashlib
 
 from pyspark.sql import functions as F
 
-from loomfield.functions import decisions, rules
+from loomfield.functions import decisions, rules, text
 from loomfield.plans import texts  # noqa: F401
 from loomfield.registry import QUERIES
 
@@ -16,9 +16,18 @@ def ask(spark, folder, name, table, rows, schema):
 
 
 def test_description_blocks_reads_every_document(spark, tmp_path):
-    rows = [(i, "Duties\n\n- one thing.\n• more.\nA sentence.") for i in range(6)] + [(7, " \n ")]
+    rows = [(i, "Duties\n\n- one thing.\n• more.\n\nA sentence.") for i in (0, 3, 6)] + [(9, " \n "), (1, "Duties\nA sentence."), (2, "a\nb")]
     got = ask(spark, tmp_path, "description_blocks", "documents", rows, "doc_id long, text string")
-    assert sorted(tuple(r) for r in got) == [(i, 4, 1, 2) for i in range(6)]
+    assert sorted(tuple(r)[:5] for r in got) == [(0, 3, 1, 1, 1), (1, 2, 1, 0, 1), (2, 1, 0, 1, 0), (3, 3, 1, 1, 1), (6, 3, 1, 1, 1)]
+
+
+def test_blocks(spark):
+    said = "Role:\r\n\r\nFirst line\n second line  \n\n\n* a\n  - b \n· c\n\n- d\nnot in a list\n\nEnds here.\n\n" + "h" * 71 + "\n\n- alone"
+    got = spark.createDataFrame([(said,), (None,), (" \n\n ",), ("x\n\n" * 500,)], "x string").select(text.blocks(F.col("x")).alias("b")).collect()
+    assert [(b.kind, b.lines) for b in got[0].b] == [
+        ("heading", ["Role"]), ("paragraph", ["First line", "second line"]), ("list", ["a", "b", "c"]), ("paragraph", ["- d", "not in a list"]), ("paragraph", ["Ends here."]), ("paragraph", ["h" * 71]), ("list", ["alone"]),
+    ]
+    assert (got[1].b, got[2].b, len(got[3].b)) == ([], [], 400)
 
 
 FILLER = "Some words that say nothing of note.\n" * 1000  # 37 000 characters
