@@ -177,3 +177,33 @@ def liveness_guarded_polls(t: Tables) -> DataFrame:
     of its board were not believed."""
     listed = t.orders.select((F.col("o_custkey") % 100).alias("board"), (F.year("o_orderdate") * 4 + F.quarter("o_orderdate")).alias("at"), (F.col("o_orderkey") % 40).alias("item"))
     return state.fold_polls(listed, "board", "item", "at").select("board", "item", "status", "missing_polls", "suspects")
+
+
+_PAGES = """
+b as (select o_custkey as board, 90 + 13 * count(*) as total from orders group by o_custkey),
+f as (select board, total, unnest(range(0, total, 100)) as start from b),
+g as (select board, start, least(100, total - start) - if(board % 7 = 3 and start + 100 >= total, 1, 0) as size, if(start = 0, total, null) as total,
+    case when board % 7 = 4 and start = 100 then 500 when board % 7 = 5 and start = 0 then 404 else 200 end as http_status from f where not (board % 7 = 1 and start = 100)
+  union all select board, 50, 40, null, 200 from b where board % 7 = 2)
+"""
+
+
+@query(f"""
+with {_PAGES},
+p as (select distinct board, unnest(range(start, start + size)) as place from g where http_status = 200),
+c as (select board, count(*) as n, max(place) + 1 as reach from p group by board),
+x as (select board, max(total) as total, bool_or(http_status <> 200) as bad, arg_min(http_status, start) as first from g group by board)
+select board, case when first = 404 then 'dead' when bad or n < reach or n < total then 'degraded' else 'ok' end as status, coalesce(n, 0) as n, total from x left join c using (board)
+""")
+def page_chains(t: Tables) -> DataFrame:
+    """Polls of a board for each customer, in pages of a hundred: some with a hole, a page twice, a short last page, a failure or a
+    dead board. Which lists are whole, and how many rows they cover; the SQL looks at every row's place."""
+    b = t.orders.groupBy(F.col("o_custkey").alias("board")).agg((90 + 13 * F.count("*")).alias("all"))
+    k, last = F.col("board") % 7, F.col("start") + 100 >= F.col("all")
+    p = b.withColumn("start", F.explode(F.sequence(F.lit(0).cast("long"), F.col("all") - 1, F.lit(100).cast("long")))).where(~((k == 1) & (F.col("start") == 100)))
+    p = p.select(
+        "board", "start", (F.least(F.lit(100), F.col("all") - F.col("start")) - F.when((k == 3) & last, 1).otherwise(0)).alias("size"), F.when(F.col("start") == 0, F.col("all")).alias("total"),
+        F.when((k == 4) & (F.col("start") == 100), 500).when((k == 5) & (F.col("start") == 0), 404).otherwise(200).alias("http_status"),
+    )
+    again = b.where(k == 2).select("board", F.lit(50).cast("long").alias("start"), F.lit(40).cast("long").alias("size"), F.lit(None).cast("long").alias("total"), F.lit(200).alias("http_status"))
+    return boards.offset_chains(p.unionByName(again), "board").select("board", "status", "n", "total")
