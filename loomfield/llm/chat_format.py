@@ -6,7 +6,8 @@ formatted string can be read back exactly: into turns, and into the characters u
 
 Defined cases: turns are ordered by (turn, role, text), nulls first, so ties have one order; repeated rows are turns of
 their own; null texts and roles are empty; rows with a null conv_id form one conversation; other columns are not read. A
-conversation is one value of the output, so one task holds its turns; nothing is collected across conversations.
+conversation is one value of the output, so one task holds its turns, in time of n log(n) turns; nothing is collected across
+conversations; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomfield.llm.secret_scan import bound, running
+
 
 @dataclass(frozen=True)
 class Template:
@@ -33,7 +36,6 @@ class Template:
 
 ESCAPE = "\\"
 DEFAULT = Template()
-_SPANS = "cast(array() as array<struct<start:int,end:int>>)"
 
 
 def escape(text: Column, controls: tuple[str, ...] = DEFAULT.controls) -> Column:
@@ -71,21 +73,19 @@ def format_chats(turns: DataFrame, t: Template = DEFAULT) -> DataFrame:
         body = F.flatten(F.transform(b["texts"], lambda x, i: F.array(piece(F.when(i == 0, F.lit("")).otherwise(F.lit(t.again)), no), piece(escape(x, t.controls), loss))))
         return F.concat(F.array(head), body, F.array(piece(F.lit(t.close), no)))
 
-    def step(acc: Column, p: Column) -> Column:
-        end = acc["at"] + F.length(p["s"])
-        own = F.array(F.struct(acc["at"].alias("start"), end.alias("end")))
-        return F.struct(end.alias("at"), F.when(p["loss"], F.concat(acc["out"], own)).otherwise(acc["out"]).alias("out"))
+    def placed(p: Column) -> Column:
+        ends = running(F.transform(p, lambda x: F.length(x["s"])), lambda x, y: x + y)
+        return F.zip_with(p, ends, lambda x, e: F.struct((e - F.length(x["s"])).alias("start"), e.alias("end"), x["loss"].alias("loss")))
+
+    def written(p: Column) -> Column:
+        spans = F.transform(F.filter(placed(p), lambda x: x["loss"]), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end")))
+        return F.struct(F.array_join(F.transform(p, lambda x: x["s"]), "").alias("formatted"), spans.alias("loss_spans"))
 
-    zero = F.struct(F.lit(0).alias("at"), F.expr(_SPANS).alias("out"))
     return (
         grouped.withColumn("starts", starts)
         .withColumn("blocks", blocks)
-        .withColumn("pieces", F.flatten(F.transform("blocks", pieces)))
-        .select(
-            "conv_id",
-            F.array_join(F.transform("pieces", lambda p: p["s"]), "").alias("formatted"),
-            F.aggregate("pieces", zero, step, lambda acc: acc["out"]).alias("loss_spans"),
-        )
+        .withColumn("done", bound(F.flatten(F.transform("blocks", pieces)), written))
+        .select("conv_id", "done.formatted", "done.loss_spans")
     )
 
 
@@ -106,7 +106,9 @@ def read_turns(formatted: Column, t: Template = DEFAULT) -> Column:
 def report(turns: DataFrame, t: Template = DEFAULT) -> DataFrame:
     """Digests of what is read back from the formatted strings."""
     done = format_chats(turns, t).withColumn("read", read_turns(F.col("formatted"), t))
-    loss = F.array_join(F.transform("loss_spans", lambda s: unescape(F.substring(F.col("formatted"), s["start"] + 1, s["end"] - s["start"]))), "")
+    # Four bytes a code point, so a span is cut without counting from the start of the string.
+    cut = lambda w, s: F.decode(F.substring(w, 4 * s["start"] + 1, 4 * (s["end"] - s["start"])), "UTF-32")
+    loss = bound(F.struct(F.encode("formatted", "UTF-32").alias("wide"), "loss_spans"), lambda x: F.array_join(F.transform(x["loss_spans"], lambda s: unescape(cut(x["wide"], s))), ""))
     listed = F.array_join(F.transform("read", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "")
     digest = lambda c: F.sha2(c.cast("binary"), 256)
     return done.withColumn("loss", loss).select(

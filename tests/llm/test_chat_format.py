@@ -1,4 +1,5 @@
 import hashlib
+import time
 
 from loomfield.llm import chat_format as cf
 
@@ -41,3 +42,11 @@ def test_extra_conversation(spark):
     df = cf.with_extra(spark.createDataFrame([(*r, "x") for r in ROWS], SCHEMA))
     got = {r.conv_id: (r.n_turns, r.loss_chars) for r in cf.report(df).collect()}
     assert got[-1] == (2, len("</s>[INST] ok [/INST]"))
+
+
+def test_many_turns_take_time_in_proportion(spark):
+    rows = [(1, i, ("user", "assistant")[i % 2], f"turn {i} é <s> " + "w " * 20) for i in range(16_000)]
+    df = spark.createDataFrame([(*r, "x") for r in rows], SCHEMA)
+    began = time.time()
+    got = {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in cf.report(df).collect()}
+    assert got == expected(rows) and time.time() - began < 15
