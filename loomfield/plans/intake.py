@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomfield.functions import places
-from loomfield.operators import ladder, skills
+from loomfield.operators import ladder, skills, tables
 from loomfield.registry import Tables, query
+from loomfield.sources import archive
 
 #: Fixed value: the time of the run; later times of posting count as this one.
 NOW = "2026-06-01 00:00:00"
@@ -90,3 +93,18 @@ def document_skills(t: Tables) -> DataFrame:
     small, large = words.where(F.col("term").rlike("^[a-z]")), words.where(F.col("term").rlike("^[A-Z]"))
     terms = small.select("term", F.lower("term").alias("skill"), F.lit(False).alias("exact_case")).unionByName(large.select("term", F.concat(F.lit("as written: "), "term").alias("skill"), F.lit(True).alias("exact_case")))
     return skills.find(t.spread("documents", "doc_id", "doc_id", "text"), "doc_id", None, "text", terms).select("doc_id", "skill", "importance")
+
+
+@query("select doc_id, md5(text) as digest, count(*) over (partition by doc_id) as refs from documents")
+def archived_documents(t: Tables) -> DataFrame:
+    """Each document written to the raw archive, and what its reference reads back from it."""
+    spark = t.spark
+    spark.dataSource.register(archive.RawArchive)
+    folder = f"{tables.shared_folder(spark)}/archive-{uuid.uuid4().hex}"
+    rows = t.documents.select(F.col("doc_id").cast("string").alias("key"), F.concat(F.lit("2026-01-"), F.lpad((F.col("doc_id") % 28 + 1).cast("string"), 2, "0")).alias("day"), (F.col("doc_id") % 4).alias("shard"), "text")
+    archive.by_file(rows).write.format("raw_archive").option("path", folder).mode("append").save()
+    found = archive.refs(spark, folder)
+    read = archive.lines(spark, folder, found).select("ref", F.from_json("row", "key string, text string").alias("r"))
+    whole = found.join(read, "ref").where(F.col("key") == F.col("r.key"))
+    digests = whole.groupBy("key").agg(F.md5(F.first("r.text")).alias("digest"), F.count("*").alias("refs"))
+    return digests.select(F.col("key").cast("long").alias("doc_id"), "digest", "refs")

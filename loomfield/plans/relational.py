@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomfield.operators import state
-from loomfield.registry import Tables, query
+from loomfield.registry import Tables, crc32_sql, query
 
 ORDERS_AS_OF = "timestamp_ntz'2001-08-02 00:00:00'"
 EVENTS_AS_OF = "timestamp_ntz'2024-01-31 00:00:00'"
@@ -303,7 +303,9 @@ def due_boards(t: Tables) -> DataFrame:
     return t.customer.select("c_custkey", status.alias("status"), polled.alias("polled")).where(due(F.col("status"), F.col("polled"), now)).select("c_custkey", "status")
 
 
-@query()
+@query(f"""
+select cast({crc32_sql('s_suppkey::varchar')} % 8 as integer) as shard, count(*) as boards, min(s_suppkey) as first from supplier group by 1
+""")
 def shard_histogram(t: Tables) -> DataFrame:
     """Boards by shard."""
     from loomfield.sources.boards import shard_of

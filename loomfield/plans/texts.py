@@ -112,18 +112,38 @@ def page_text(t: Tables) -> DataFrame:
     return t.pages.select("page_id", hx.html_to_text(F.col("html"), most=None).alias("text")).select("page_id", F.length("text").alias("chars"), F.md5("text").alias("digest"))
 
 
-@query()
+@query(r"""
+with h as (select page_id, regexp_extract(url, '^(https?://[^/?#]+)', 1) as host, unnest(regexp_extract_all(html, 'href="/([^"]*)"', 1)) as word from pages),
+l as (select distinct page_id, rtrim(host || '/jobs/' || word, '/') as link from h where rtrim(word, '/') <> '')
+select * from l where not regexp_matches(link, '(?i)/(saved|login|sign-?in|account|search|alerts?|talent-?community|benefits|culture|life-?at)\b') and not regexp_matches(link, '(?i)\.(png|jpe?g|gif|svg|webp|pdf|css|js|ico|zip|xml|json)$')
+""")
 def page_links(t: Tables) -> DataFrame:
-    """Links of each page that look like job postings of its host."""
-    return t.pages.select("page_id", F.explode(hx.job_links(F.col("url"), F.col("html"), most=None)).alias("link"))
+    """Links of each page that look like job postings of its host: the pages' own links, moved below /jobs/."""
+    html = F.regexp_replace("html", 'href="/', 'href="/jobs/')
+    return t.pages.select("page_id", F.explode(hx.job_links(F.col("url"), html, most=None)).alias("link"))
 
 
-@query()
+@query(r"""
+select page_id, 'Job ' || page_id as title, regexp_extract(url, '^https?://([^/?#]+)', 1) as company, timestamp '2026-01-05 00:00:00' as posted_at, timestamp '2026-03-01 23:59:59' + interval 1 day * (page_id % 9) as deadline_at,
+  if(page_id % 2 = 0, 'FULL_TIME,OTHER', 'PART_TIME') as employment_type, if(page_id % 3 = 0, 'remote', null) as remote_type, 'City ' || page_id % 5 as city, 'IN' as country,
+  cast(case when page_id % 2 = 0 then 120 * page_id * (52 / 12) else 120 * page_id end as double) as pay_min, cast(case when page_id % 2 = 0 then 240 * page_id * (52 / 12) else 240 * page_id end as double) as pay_max, 'USD' as pay_currency, 'month' as pay_period, 'Host ' || page_id as description
+from pages
+""")
 def page_job_postings(t: Tables) -> DataFrame:
-    """Structured job postings of each page, mapped to fields; pages without any give no row."""
+    """Structured job postings of each page, mapped to fields: every page has one put behind its own markup, alone or in a graph
+    beside another kind, with trailing commas and comments."""
     from loomfield.functions import jsonld
 
-    return jsonld.postings(t.pages, "page_id", "html")
+    even = F.col("page_id") % 2 == 0
+    text = lambda *parts: F.concat(*[p if not isinstance(p, str) else F.lit(p) for p in parts])
+    node = text(
+        '{"@type":"JobPosting","title":"Job ', F.col("page_id"), '","hiringOrganization":{"name":"', F.regexp_extract("url", "^https?://([^/?#]+)", 1), '"},"datePosted":"2026-01-05","validThrough":"', F.date_format(F.expr("date_add(date'2026-03-01', cast(page_id % 9 as int))"), "yyyy-MM-dd"),
+        '","employmentType":', F.when(even, '["FULL_TIME","odd kind"]').otherwise('"PART TIME"'), F.when(F.col("page_id") % 3 == 0, ',"jobLocationType":"TELECOMMUTE"').otherwise(""), ',"jobLocation":[{"address":{"addressLocality":"City ', F.col("page_id") % 5, '","addressCountry":"IN"}}],',
+        '"baseSalary":{"currency":"usd","value":{"minValue":', F.col("page_id") * 120, ',"maxValue":', F.col("page_id") * 240, ',"unitText":"', F.when(even, "WEEK").otherwise("MONTH"), '"}},"description":"Host ', F.col("page_id"), '",}',
+    )
+    block = F.when(even, text('/* two */ {"@graph":[{"@type":"Organization"},', node, "]}")).otherwise(node)
+    html = text(F.col("html"), '<script type="application/ld+json">', block, "</script>")
+    return jsonld.postings(t.pages.select("page_id", html.alias("html")), "page_id", "html")
 
 
 @query(r"""

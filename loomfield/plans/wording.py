@@ -25,10 +25,6 @@ PERMITS = (
     ("No security clearance required.", ""), ("Active security clearance.", "security_clearance"), ("US citizens only.", "citizenship,us_work_authorization"), ("Indian citizens only.", "india_work_permit"),
     ("Candidates who are not authorized to work in the US will not be considered.", "us_work_authorization"), ("Citizenship is required; TS/SCI too.", "citizenship,security_clearance"), ("Indian work permit, e-verify.", "india_work_permit,us_work_authorization"), ("Nothing is said.", ""),
 )
-#: Title, segments.
-TITLES = (
-    ("Engineer (Remote - India)", "Remote - India"), ("Remote Sensing Engineer", ""), ("Support [Remote, APAC] (f/m)", "Remote, APAC"), ("Writer - EMEA Remote", "EMEA Remote"), ("Virtual Assistant", ""), ("Analyst (remote) | Remote", "remote|Remote"), ("Clerk (on site)", ""),
-)
 #: Names of places, countries, scope; and what the places say of the way of work.
 REQUIREMENTS = (
     (("India", "Bavaria", "india"), "IN", "countries", None), (("Worldwide",), None, "worldwide", None), (("EMEA", "anywhere"), None, "regions", None), (("Europe", "Germany"), "DE", "countries", None), (("Bavaria", " "), None, None, None),
@@ -103,10 +99,17 @@ def stated_permits(t: Tables) -> DataFrame:
     return t.spread("documents", "doc_id").select("doc_id", _said(PERMITS).alias("said")).select("doc_id", F.array_join(el.permits(F.col("said")), ",").alias("labels"))
 
 
-@query(_sql(TITLES, "segments"))
+@query("""
+select p_partkey, case p_partkey % 5 when 0 then 'Remote - ' || p_type when 2 then p_type || ' remote' when 4 then p_type || ', remote|Remote' else '' end as segments from part
+""")
 def title_remote_segments(t: Tables) -> DataFrame:
-    """Parts of titles that state a remote place."""
-    return t.documents.select("doc_id", F.array_join(el.title_segments(_pick(tuple(x[0] for x in TITLES))), "|").alias("segments"))
+    """Parts of titles that state a remote place: titles of parts' names, with their types in brackets or behind a dash."""
+    k, name, kind = F.col("p_partkey") % 5, F.col("p_name"), F.col("p_type")
+    title = (
+        F.when(k == 0, F.concat(name, F.lit(" (Remote - "), kind, F.lit(")"))).when(k == 1, F.concat(name, F.lit(" ["), kind, F.lit("]"))).when(k == 2, F.concat(name, F.lit(" - "), kind, F.lit(" remote")))
+        .when(k == 3, F.concat(F.lit("Remote "), name)).otherwise(F.concat(name, F.lit(" ("), kind, F.lit(", remote) | Remote")))
+    )
+    return t.part.select("p_partkey", F.array_join(el.title_segments(title), "|").alias("segments"))
 
 
 @query(_sql(REQUIREMENTS, "countries, scope, mode"))

@@ -39,3 +39,9 @@ def query(sql: str | None = None):
         return f
 
     return add
+
+
+def crc32_sql(text: str) -> str:
+    """DuckDB's expression for the unsigned CRC-32 of an ASCII string, bit by bit, as DuckDB has no function for it."""
+    byte = "list_reduce(list_prepend(xor(c, b), range(8)), lambda d, k: xor(d >> 1, 3988292384 * (d & 1)))"
+    return f"xor(4294967295, list_reduce(list_prepend(4294967295::bigint, list_transform(string_split({text}, ''), lambda x: ascii(x)::bigint)), lambda c, b: {byte}))"
