@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from loomfield.functions import geo
+from loomfield.functions.matches import around
 from loomfield.functions.text import says
 
 #: Wording near which a country or region is a requirement, and claims that a job is open to all.
@@ -53,20 +54,9 @@ _NONE = "cast(array() as array<string>)"
 
 
 def matches(text: Column, pattern: str) -> Column:
-    """Array of (said, before, after): each match with 40 characters in front and 45 behind. Null without a match."""
-    gaps, said = (F.regexp_extract_all(text, F.lit(rf"(?s)\G(.*?)({pattern})"), F.lit(g)) for g in (1, 2))
-    start = F.struct(F.lit(1).alias("at"), F.expr("cast(array() as array<struct<said:string,at:int>>)").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        at = acc["at"] + F.length(x["gap"])
-        return F.struct((at + F.length(x["said"])).alias("at"), F.concat(acc["out"], F.array(F.struct(x["said"].alias("said"), at.alias("at")))).alias("out"))
-
-    placed = F.aggregate(F.arrays_zip(gaps.alias("gap"), said.alias("said")), start, step, lambda acc: acc["out"])
-    near = lambda m: F.struct(
-        m["said"].alias("said"), F.substring(text, F.greatest(m["at"] - 40, F.lit(1)), F.least(m["at"] - 1, F.lit(40))).alias("before"),
-        F.substring(text, m["at"] + F.length(m["said"]), F.lit(45)).alias("after"), F.substring(text, m["at"], F.lit(40)).alias("onward"),
-    )
-    return F.when(text.rlike(pattern), F.transform(placed, near))
+    """Array of (said, before, after, onward): each match with 40 characters in front, 45 behind, and the 40 that begin with it."""
+    found = around(text, pattern, 40, 45)
+    return F.transform(found, lambda m: F.struct(m["said"].alias("said"), m["before"].alias("before"), m["after"].alias("after"), F.left(F.concat(m["said"], m["after"]), F.lit(40)).alias("onward")))
 
 
 def _near_cue(m: Column) -> Column:

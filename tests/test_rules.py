@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from loomfield.functions import decisions, geo, html, jsonld, rules, text
+from loomfield.functions import decisions, eligibility, geo, html, jsonld, rules, text
 
 
 def ask(spark, value, fn, kind="string"):
@@ -127,3 +127,9 @@ def test_text_columns(spark):
     assert ask(spark, "Acme Labs Ltd", text.initials) == "AL" and ask(spark, "acme", text.initials) == "AC"
     assert ask(spark, " a\x00\n b ", lambda c: text.clean_note(c, 3)) == "a b"
     assert text.like_pattern("50%_\\") == "%50\\%\\_\\\\%"
+
+
+def test_many_mentions_take_time_in_proportion(spark):
+    df = spark.createDataFrame([("No security clearance is needed. India it is. " * 20_000 + "A security clearance is required for candidates in India.",)], "x string")
+    got = df.select(eligibility.permits(F.col("x")).alias("p"), eligibility.eligibility(F.col("x")).alias("e")).first()
+    assert got.p == ["security_clearance"] and got.e.countries == ["IN"]
