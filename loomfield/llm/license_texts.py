@@ -47,7 +47,7 @@ TEXTS = {
         disclaimers in the documentation and/or other materials provided with the distribution. [[3.]] Neither the names of
         {{{{15}}}} nor the names of its contributors may be used to endorse or promote products derived from this Software
         without specific prior written permission. {_MIT_CLOSE.replace("IN NO EVENT SHALL", "IN NO EVENT SHALL [[THE CONTRIBUTORS OR]]").replace("OTHER DEALINGS IN", "OTHER DEALINGS WITH")}""",
-    "ISC": f"""Permission to use, copy, modify, [[and]] and/or distribute this software for any purpose with or without fee is
+    "ISC": f"""Permission to use, copy, modify, and[[/or]] distribute this software for any purpose with or without fee is
         hereby granted, provided that the above copyright notice and this permission notice appear in all copies. {_ISC_CLOSE}""",
     "0BSD": f"""Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby
         granted. {_ISC_CLOSE}""",
@@ -68,19 +68,29 @@ TEXTS = {
         is furnished to do so, all subject to the following: The copyright notices in the Software and this entire statement,
         including the above license grant, this restriction and the following disclaimer, must be included in all copies of the
         Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are
-        solely in the form of machine-executable object code generated by a source language processor.""",
-    "Unlicense": """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish,
+        solely in the form of machine-executable object code generated by a source language processor. THE SOFTWARE IS PROVIDED
+        "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF
+        MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT. IN NO EVENT SHALL {{12}} BE LIABLE FOR ANY
+        DAMAGES OR OTHER LIABILITY, WHETHER IN CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE
+        SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
+    "Unlicense": f"""This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish,
         use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose,
         commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors of
         this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for
         the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an
-        overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.""",
+        overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.
+        {_MIT_CLOSE}""",
     "WTFPL": """Everyone is permitted to copy and distribute verbatim or modified copies of this license document, and changing it
         is allowed as long as the name is changed. DO WHAT THE FUCK YOU WANT TO PUBLIC LICENSE TERMS AND CONDITIONS FOR COPYING,
         DISTRIBUTION AND MODIFICATION [[0.]] You just DO WHAT THE FUCK YOU WANT TO.""",
     "PostgreSQL": """Permission to use, copy, modify, and distribute this software and its documentation for any purpose, without
         fee, and without a written agreement is hereby granted, provided that the above copyright notice and this paragraph and
-        the following two paragraphs appear in all copies.""",
+        the following two paragraphs appear in all copies. IN NO EVENT SHALL {{8}} BE LIABLE TO ANY PARTY FOR DIRECT, INDIRECT,
+        SPECIAL, INCIDENTAL, OR CONSEQUENTIAL DAMAGES, INCLUDING LOST PROFITS, ARISING OUT OF THE USE OF THIS SOFTWARE AND ITS
+        DOCUMENTATION, EVEN IF {{8}} HAS BEEN ADVISED OF THE POSSIBILITY OF SUCH DAMAGE. {{8}} SPECIFICALLY DISCLAIMS ANY
+        WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR
+        PURPOSE. THE SOFTWARE PROVIDED HEREUNDER IS ON AN "AS IS" BASIS, AND {{8}} HAS NO OBLIGATIONS TO PROVIDE MAINTENANCE,
+        SUPPORT, UPDATES, ENHANCEMENTS, OR MODIFICATIONS.""",
     "HPND": """Permission to use, copy, modify [[and]] distribute this software and its documentation for any purpose [[and without
         fee]] is hereby granted [[without fee]], provided that the above copyright notice appear in all copies [[and]] that both
         that [[the]] copyright notice and this permission notice appear in supporting documentation""",
