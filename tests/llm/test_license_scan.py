@@ -128,3 +128,18 @@ def test_rows_match_the_sql(spark):
 ])
 def test_automata(markup, text, end):
     assert ls.compile_template(markup).longest(text.split(), 0) == end
+
+
+ISC = """Permission to use, copy, modify, {0} distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this
+permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND
+FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION
+OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""
+
+
+def test_both_forms_of_isc_and_no_cut_texts(spark):
+    from loomfield.llm import license_scan, license_texts
+
+    postgres = license_texts.TEXTS["PostgreSQL"].split("IN NO EVENT")[0]
+    rows = [(1, ISC.format("and")), (2, ISC.format("and/or")), (3, ISC.format("or")), (4, postgres)]
+    got = {r.doc_id: (r.labels, r.score) for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1][1] == got[2][1] == 1.0 and "isc" in got[1][0].lower() and got[3][1] < 1.0 and got[4][1] < 1.0
