@@ -102,8 +102,8 @@ def format_posted(at: Column, now: Column) -> Column:
 
 
 def format_lakh(low: Column, high: Column) -> Column:
-    """Yearly rupee pay in lakhs: a range, one value, or an open end; null without either."""
-    lakh = lambda c: F.regexp_replace(F.regexp_replace(F.format_string("%.2f", F.round(c / 100000, 2)), r"0+$", ""), r"\.$", "")
+    """Yearly rupee pay in lakhs: a range, one value, or an open end; null without either. Hundredths are rounded as doubles."""
+    lakh = lambda c: F.regexp_replace(F.regexp_replace(F.format_string("%.2f", F.round(c / 100000 * 100) / 100), r"0+$", ""), r"\.$", "")
     rupee = lambda *xs: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in xs])
     return (
         F.when(low.isNotNull() & high.isNotNull() & (low != high), rupee("₹", lakh(low), "–", lakh(high), " LPA"))

@@ -88,10 +88,10 @@ select o_orderkey, case when days <= 0 then 'today' when days < 14 then days ||
   case when low is not null and high is not null and low <> high then '₹' || l || '–' || h || ' LPA' when low is not null and high is null then 'from ₹' || l || ' LPA' when low is null and high is not null then 'up to ₹' || h || ' LPA' when low is not null then '₹' || l || ' LPA' end as pay from f
 """)
 def format_postings(t: Tables) -> DataFrame:
-    """Posting date and pay as the feed shows them."""
+    """Posting date and pay as the feed shows them. Days are counted between dates, whatever the time of day of an order."""
     low = F.when(F.col("o_orderkey") % 5 != 0, F.col("o_totalprice") * 10)
     high = F.when(F.col("o_orderkey") % 7 != 0, F.col("o_totalprice") * 12)
-    return t.orders.select("o_orderkey", tx.format_posted(F.col("o_orderdate"), F.expr("timestamp_ntz'2001-08-02 00:00:00'")).alias("posted"), tx.format_lakh(low, high).alias("pay"))
+    return t.orders.select("o_orderkey", tx.format_posted(F.date_trunc("day", "o_orderdate"), F.expr("timestamp_ntz'2001-08-02 00:00:00'")).alias("posted"), tx.format_lakh(low, high).alias("pay"))
 
 
 @query(r"""
