@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from loomfield.functions import dates, eligibility, flags, work_modes
 from loomfield.functions import experience as ex
 from loomfield.functions import languages as lg
-from loomfield.functions.matches import around, ungrouped
+from loomfield.functions.matches import around, at_words, let, ungrouped
 from loomfield.functions.text import says
 
 #: Pay wording.
@@ -21,6 +21,9 @@ PAY = (
     rf"(?i)(\b(?:up\s*to|maximum|from|starting\s+(?:at|from)|minimum|between|ctc|stipend)\b)?[\s:]{{0,4}}({CURRENCY})?[\s:]{{0,4}}({AMOUNT})\s*({MAGNITUDE})?"
     rf"(?:\s*(–|—|-|to|and)\s*({CURRENCY})?\s*({AMOUNT})\s*({MAGNITUDE})?)?(\s*\+)?(?:\s*({PERIOD}))?"
 )
+#: Where a figure with its surroundings can begin: a cheap test in front of the patterns of pay.
+_SIGN = r"[₹$€£]|[UuSsAaCc][SsAa]?\$|(?<![A-Za-z])(?i:rs|inr|usd|eur|gbp|aud|cad|sgd|aed)"
+PAY_START = rf"(?=[0-9]|{_SIGN}|[\s:]{{1,8}}(?:[0-9]|{_SIGN})|(?<![A-Za-z])(?i:up|max|from|star|mini|betw|ctc|stip))"
 PERIOD_BEFORE = r"(?i)\b(hourly|monthly|daily|yearly|annual|annually)\b(?!.*\b(?:hourly|monthly|daily|yearly|annual|annually)\b)"
 FUNDING_AFTER = r"(?i)^\s{0,2}(?:m\b|b\b|mn\b|bn\b|million|billion)"
 FUNDING = r"(?i)raised|funding|valuation|revenue|series\s+[a-z]\b|\bfunded"
@@ -97,13 +100,13 @@ def pay(text: Column) -> Column:
         values = lambda x: F.array_distinct(F.transform(x, lambda v: v["value"]))
         several = F.struct(values(found).alias("all"), values(F.filter(found, lambda v: v["labelled"])).alias("labelled"))
         pick = lambda v: F.when(F.size(v["all"]) == 1, F.get(v["all"], 0)).when(F.size(v["labelled"]) == 1, F.get(v["labelled"], 0))
-        return F.get(F.transform(F.array(several), pick), 0)
+        return let(several, pick)
 
     own = scanned(text)
-    anchored = own.rlike(rf"(?i)(?:{CURRENCY})[\s:]{{0,4}}[0-9]|[0-9]\s*(?:{MAGNITUDE})")
+    anchored = own.rlike(rf"(?=[0-9]|{_SIGN})(?:(?i)(?:{CURRENCY})[\s:]{{0,4}}[0-9]|[0-9]\s*(?:{MAGNITUDE}))")
     marked = says(text, "₹", "$", "€", "£", "rs", "inr", "usd", "eur", "gbp", "aud", "cad", "sgd", "aed", "crore", "cr", "lakh", "lac", "lpa") & own.rlike("[0-9]")
-    found = F.filter(F.transform(F.transform(F.transform(around(own, PAY, 40, 40, 10, ungrouped(PAY)), read), weigh), bounds), good)
-    return F.when(marked & anchored, F.get(F.transform(F.array(found), judged), 0))
+    found = F.filter(F.transform(F.transform(F.transform(around(own, PAY, 40, 40, 10, ungrouped(PAY), PAY_START), read), weigh), bounds), good)
+    return F.when(marked & anchored, let(found, judged))
 
 
 def pay_in_rupees(rows: DataFrame, rates: DataFrame, column: str = "pay") -> DataFrame:
@@ -128,16 +131,18 @@ def work_mode(text: Column) -> Column:
 def visa(text: Column) -> Column:
     """no before yes; both, once refusals are taken out, is unknown."""
     own = scanned(text)
-    no, yes = own.rlike(VISA_NO), F.regexp_replace(own, VISA_NO, " ").rlike(VISA_YES)
-    return F.when(~says(text, "sponsor"), None).when(no & yes, None).when(no, "no").when(yes, "yes")
+    both = F.struct(own.rlike(at_words(VISA_NO)).alias("no"), F.regexp_replace(own, at_words(VISA_NO), " ").rlike(at_words(VISA_YES)).alias("yes"))
+    judged = lambda x: F.when(x["no"] & x["yes"], None).when(x["no"], "no").when(x["yes"], "yes")
+    return F.when(says(text, "sponsor"), let(both, judged))
 
 
 def joining(text: Column) -> Column:
     """struct(kind, days): immediate, or a notice period."""
     own = scanned(text)
-    unit = F.regexp_extract(own, NOTICE, 2)
-    days = F.regexp_extract(own, NOTICE, 1).try_cast("int") * F.when(F.lower(unit) == "week", 7).when(F.lower(unit) == "month", 30).otherwise(1)
-    return F.when(~says(text, "notice", "join"), None).when(own.rlike(NOTICE), F.struct(F.lit("notice_days").alias("kind"), days.alias("days"))).when(own.rlike(IMMEDIATE), F.struct(F.lit("immediate").alias("kind"), F.lit(0).alias("days")))
+    notice, immediate = at_words(NOTICE), at_words(IMMEDIATE)
+    unit = F.regexp_extract(own, notice, 2)
+    days = F.regexp_extract(own, notice, 1).try_cast("int") * F.when(F.lower(unit) == "week", 7).when(F.lower(unit) == "month", 30).otherwise(1)
+    return F.when(~says(text, "notice", "join"), None).when(own.rlike(notice), F.struct(F.lit("notice_days").alias("kind"), days.alias("days"))).when(own.rlike(immediate), F.struct(F.lit("immediate").alias("kind"), F.lit(0).alias("days")))
 
 
 def languages(text: Column) -> Column:

@@ -5,10 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from loomfield.functions.matches import let
+
 
 def says(text: Column, *anchors: str) -> Column:
     """Whether a text holds one of some lower-case strings, in either case: a cheap test in front of a pattern."""
-    low, out = F.lower(F.coalesce(text, F.lit(""))), F.lit(False)
+    return let(F.lower(F.coalesce(text, F.lit(""))), lambda low: holds(low, *anchors))
+
+
+def holds(low: Column, *anchors: str) -> Column:
+    """``says`` for a text that is in lower case already."""
+    out = F.lit(False)
     for a in anchors:
         out = out | F.contains(low, F.lit(a))
     return out
@@ -85,6 +92,19 @@ def language_counts(c: Column) -> dict[str, Column]:
     return {"words": F.size(words), "letters": F.length(joined), "non_latin": F.length(F.regexp_replace(joined, r"[\x{0000}-\x{024F}]", "")), "english": members(STOPWORDS), "foreign": members(FOREIGN_WORDS)}
 
 
+def counted(c: Column) -> Column:
+    """``language_counts`` as one struct, whose words are taken from the text once."""
+    members = lambda low, known: F.size(F.filter(low, lambda w: w.isin(sorted(set(known)))))
+
+    def of_words(words: Column) -> Column:
+        letters = let(F.array_join(words, ""), lambda j: F.struct(F.length(j).alias("all"), F.length(F.regexp_replace(j, r"[\x{0000}-\x{024F}]+", "")).alias("non_latin")))
+        known = let(F.transform(words, F.lower), lambda low: F.struct(members(low, STOPWORDS).alias("english"), members(low, FOREIGN_WORDS).alias("foreign")))
+        both = F.struct(F.size(words).alias("words"), letters.alias("l"), known.alias("k"))
+        return let(both, lambda b: F.struct(b["words"].alias("words"), b["l"]["all"].alias("letters"), b["l"]["non_latin"].alias("non_latin"), b["k"]["english"].alias("english"), b["k"]["foreign"].alias("foreign")))
+
+    return let(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(r"\p{L}+"), F.lit(0)), of_words)
+
+
 def is_non_english(words: Column, letters: Column, non_latin: Column, english: Column, foreign: Column) -> Column:
     """From ``language_counts``: another script, clearly another European language, or a longer text with hardly any
     English function words. Too short a text is never judged."""
