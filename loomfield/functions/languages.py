@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from loomfield.functions.matches import around
-from loomfield.functions.text import says
+from loomfield.functions.matches import WORD, around, at_words, let
+from loomfield.functions.text import holds, says
 
 #: Languages that postings name.
 LANGUAGES = (
@@ -26,10 +26,17 @@ REQUIRED = (
     r"(?i:\b(?:good|working|strong|excellent|advanced|business|professional|solid|intermediate)\s+(?:level\s+of\s+|command\s+of\s+|knowledge\s+of\s+|proficiency\s+in\s+)?LANG\b"
     r"(?!\s+(?:gaap|tax|law|laws|market|markets|regulat\w+|labou?r|accounting|standards?|culture|customers?|companies|clients?|business|rules?|cuisine|history|literature)))",
 )
+#: Words of which a text must hold one, in either case, for each of these to find something.
+_HOLDS = (
+    ("fluen", "native", "bilingual", "proficien", "mother", "speak", "spoken"), ("fluency", "proficiency", "skill", "speak", "native", "required", "mandatory", "must", "essential"),
+    ("a1", "a2", "b1", "b2", "c1", "c2", "n1", "n2", "n3", "hsk"), ("speaking",), ("speaker", "support", "specialist"), ("interpreter", "translator", "transcri", "linguist", "annotator", "tutor", "teacher"),
+    ("language",), ("good", "working", "strong", "excellent", "advanced", "business", "professional", "solid", "intermediate"),
+)
 #: The one language whose name is a verb too, so that only the capitalised word counts.
 POLISH = r"(?:(?i:\b(?:fluen\w+|native|proficien\w+|speak\w*|bilingual))\s+(?:[\w-]+\s+){0,3}?Polish\b|\bPolish\s+(?i:language|speaker|fluency|required|mandatory)\b)"
 #: Wording that makes a language optional: beside its name, behind a match, in front of one.
 NICE_ONLY = r"(?i)\b(LANG)\b[^.\n]{0,15}?\b(?:is\s+)?(?:a\s+plus|an?\s+(?:advantage|bonus|asset)|nice[- ]to[- ]have|preferred|desirable|beneficial)\b"
+_WELCOME = ("plus", "advantage", "bonus", "asset", "nice", "preferred", "desirable", "beneficial")
 NICE_AFTER = (
     r"(?i)^[^.\n]{0,40}\b(?:is\s+)?(?:a\s+plus|an?\s+(?:advantage|bonus|asset)|nice[- ]to[- ]have|preferred|desirable|beneficial|not\s+required|optional"
     r"|helpful|useful|welcome|would\s+(?:be\s+)?(?:helpful|an?\s+advantage|beneficial|great|nice|useful)|would\s+set\s+you\s+up\s+for\s+success)\b"
@@ -39,17 +46,25 @@ NICE_BEFORE = r"(?i)\b(?:plus|bonus|nice[- ]to[- ]have|preferred|desirable|advan
 
 def languages(text: Column) -> Column:
     """struct(required, nice): sorted names. What is asked for anywhere is not merely nice; null texts ask for none."""
-    names, found = "|".join(LANGUAGES), []
-    for pattern in REQUIRED:
-        hits = around(text, pattern.replace("LANG", f"({names})"), 40, 60, groups=1, test=pattern.replace("LANG", f"(?:{names})"))
-        found.append(F.transform(hits, lambda m: _asked(F.lower(m["g1"]), m)))
-    any_named = says(text, *LANGUAGES)
-    none = F.expr("cast(array() as array<struct<name: string, nice: boolean>>)")
-    polish = F.when(says(text, "polish"), F.transform(around(text, POLISH, 40, 60), lambda m: _asked(F.lit("polish"), m))).otherwise(none)
-    welcome = F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(NICE_ONLY.replace("LANG", names)), F.lit(1)), lambda x: F.struct(F.lower(x).alias("name"), F.lit(True).alias("nice")))
-    every = F.concat(F.when(any_named, F.concat(*found, welcome)).otherwise(none), polish)
-    pick = lambda nice: F.transform(F.filter(every, lambda x: x["nice"] == nice), lambda x: x["name"])
-    return F.struct(F.array_sort(F.array_distinct(pick(False))).alias("required"), F.array_sort(F.array_except(pick(True), pick(False))).alias("nice"))
+    names, none = "|".join(LANGUAGES), F.expr("cast(array() as array<struct<name: string, nice: boolean>>)")
+
+    def named(low: Column) -> Column:
+        found = []
+        for pattern, words in zip(REQUIRED, _HOLDS, strict=True):
+            hits = around(text, pattern.replace("LANG", f"({names})"), 40, 60, groups=1, test=pattern.replace("LANG", f"(?:{names})"), start=WORD)
+            found.append(F.when(holds(low, *words), F.transform(hits, lambda m: _asked(F.lower(m["g1"]), m))).otherwise(none))
+        optional = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(at_words(NICE_ONLY).replace("LANG", names)), F.lit(1))
+        welcome = F.when(holds(low, *_WELCOME), F.transform(optional, lambda x: F.struct(F.lower(x).alias("name"), F.lit(True).alias("nice")))).otherwise(none)
+        return F.when(holds(low, *LANGUAGES), F.concat(*found, welcome)).otherwise(none)
+
+    polish = F.when(says(text, "polish"), F.transform(around(text, POLISH, 40, 60, start=WORD), lambda m: _asked(F.lit("polish"), m))).otherwise(none)
+    every = F.concat(let(F.lower(F.coalesce(text, F.lit(""))), named), polish)
+
+    def sorted_out(every: Column) -> Column:
+        pick = lambda nice: F.transform(F.filter(every, lambda x: x["nice"] == nice), lambda x: x["name"])
+        return F.struct(F.array_sort(F.array_distinct(pick(False))).alias("required"), F.array_sort(F.array_except(pick(True), pick(False))).alias("nice"))
+
+    return let(every, sorted_out)
 
 
 def _asked(name: Column, m: Column) -> Column:
