@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from loomfield.functions.matches import around, ungrouped
+from loomfield.functions.matches import WORD, around, let, ungrouped
 from loomfield.functions.text import says
 
 #: Fixed values (white space is taken whole, so that long runs of it stay linear): statements of years and months; no one is asked for more than 40 years, and months end at 36.
@@ -53,6 +53,7 @@ LEVELS = (
 ABOVE_ENTRY = ("senior", "lead", "staff", "principal", "director", "mid")
 
 #: Statements that look beyond themselves come last; at one place of a text the first that fits is read.
+STATED_START = r"(?=[0-9]|(?<![A-Za-z])(?i:min|at\s|up\s|max|less|under|below))"
 SHAPES = {"range": RANGE, "plus": PLUS, "minimum": MINIMUM, "up_to": UP_TO, "months": MONTHS, "less": LESS_THAN_YEAR, "single": SINGLE, "month": MONTH}
 
 
@@ -66,7 +67,7 @@ def title_level(title: Column) -> Column:
 
 def _fresher(text: Column) -> Column:
     """A statement for beginners that is not taken back and is no range up to seniors."""
-    return F.when(says(text, "fresher", "entry", "20", "grad", "experience"), F.exists(around(text, FRESHER_TEXT, 80, 40), lambda m: ~m["before"].rlike(NEGATED) & ~m["after"].rlike(TO_SENIOR)))
+    return F.when(says(text, "fresher", "entry", "20", "grad", "experience"), F.exists(around(text, FRESHER_TEXT, 80, 40, start=WORD), lambda m: ~m["before"].rlike(NEGATED) & ~m["after"].rlike(TO_SENIOR)))
 
 
 def level(title: Column, text: Column) -> Column:
@@ -105,11 +106,14 @@ def experience(text: Column, title: Column | None = None) -> Column:
         )
 
     every = ungrouped("|".join(SHAPES.values()))
-    stated = F.array_compact(F.transform(around(text, f"(?:{every})", 60, 60), read))
+    stated = F.array_compact(F.transform(around(text, f"(?:{every})", 60, 60, start=STATED_START), read))
     nothing = F.expr("cast(array() as array<struct<least: double, most: double>>)")
     stated = F.when(says(text, "year", "yr", "yoe", "month"), stated).otherwise(nothing)
     beginner = (F.coalesce(_fresher(text), F.lit(False)) | head.rlike(FRESHER_HEAD) | head.rlike(FRESHER_TITLE)) & ~F.coalesce(title_level(head).isin(*ABOVE_ENTRY), F.lit(False))
-    agrees = F.exists(stated, lambda x: (x["least"] == 0) & x["most"].isNotNull())
     start = F.array(F.struct(F.lit(0.0).alias("least"), F.lit(None).cast("double").alias("most")))
-    every_one = F.array_distinct(F.when(agrees, F.filter(stated, lambda x: ~((x["least"] == 0) & x["most"].isNull()))).when(beginner, F.concat(stated, start)).otherwise(stated))
-    return F.when(F.size(every_one) == 1, F.get(every_one, F.lit(0)))
+
+    def every_one(found: Column) -> Column:
+        agrees = F.exists(found, lambda x: (x["least"] == 0) & x["most"].isNotNull())
+        return F.array_distinct(F.when(agrees, F.filter(found, lambda x: ~((x["least"] == 0) & x["most"].isNull()))).when(beginner, F.concat(found, start)).otherwise(found))
+
+    return let(let(stated, every_one), lambda x: F.when(F.size(x) == 1, F.get(x, F.lit(0))))
