@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from loomfield.functions import geo
+from loomfield.functions.matches import WORD, at_words, let
 from loomfield.functions.text import says
 
 #: Role families and the wording of a title that puts it there; order matters.
@@ -60,11 +61,14 @@ TITLE_REGIONS = ("europe", "european", "emea", "eu", "latam", "americas", "ameri
 
 
 def role_family(title: Column) -> Column:
-    out, text = None, F.regexp_replace(title, TEST_PREP, " ")
-    for family, pattern in ROLE_RULES_PORTABLE:
-        cond = text.rlike(f"(?i){pattern}")
-        out = F.when(cond, family) if out is None else out.when(cond, family)
-    return out.otherwise("other")
+    def family(text: Column) -> Column:
+        out = None
+        for name, pattern in ROLE_RULES_PORTABLE:
+            cond = text.rlike(rf"(?:(?=\.)|{WORD})(?i:{pattern})")
+            out = F.when(cond, name) if out is None else out.when(cond, name)
+        return out.otherwise("other")
+
+    return let(F.regexp_replace(title, at_words(TEST_PREP), " "), family)
 
 
 def stated_kind(value: Column) -> Column:
@@ -78,20 +82,28 @@ def stated_kind(value: Column) -> Column:
 def employment_kind(title: Column, description: Column, stated: Column, seniority: Column) -> Column:
     """Kind of employment by ordered evidence: intern titles, trainees, stated types, wording of the description."""
     text = F.coalesce(description, F.lit(""))
-    cleaned, kind, head = F.regexp_replace(text, UNPAID_BENEFIT, " "), stated_kind(stated), F.coalesce(title, F.lit(""))
-    trainee, real, full = head.rlike(TRAINEE_TITLE), text.rlike(REAL_JOB), kind.eqNullSafe("full_time")
-    return (
+    kind, head = stated_kind(stated), F.coalesce(title, F.lit(""))
+    real_job, stipend = at_words(REAL_JOB), at_words(STIPEND)
+    trainee, full = head.rlike(TRAINEE_TITLE), kind.eqNullSafe("full_time")
+    training = F.concat_ws("\n", head, text).rlike(at_words(FIXED_TRAINING))
+
+    def described(cleaned: Column) -> Column:
+        return (
+            F.when(cleaned.rlike(at_words(VOLUNTEER)), "volunteer").when(says(cleaned, "part") & cleaned.rlike(at_words(PART_TIME)), "part_time")
+            .when(says(cleaned, "fixed", "maternity", "parental") & cleaned.rlike(at_words(TEMPORARY)), "temporary").when(~full & says(cleaned, "stipend") & cleaned.rlike(stipend) & ~cleaned.rlike(real_job), "internship")
+        )
+
+    stated_first = (
         F.when(head.rlike(INTERN_TITLE) | seniority.eqNullSafe("intern") | kind.eqNullSafe("internship"), "internship")
-        .when(trainee & (real | full), "full_time")
-        .when(trainee & (F.concat_ws("\n", head, text).rlike(FIXED_TRAINING) | text.rlike(STIPEND)), "internship")
+        .when(trainee & (full | text.rlike(real_job)), "full_time")
+        .when(trainee & (training | text.rlike(stipend)), "internship")
         .when(kind.isin("volunteer", "part_time", "temporary"), kind)
         .when(head.rlike(r"(?i)\bpart[- ]?time\b"), "part_time")
         .when(head.rlike(r"(?i)\b(?:temporary|temp|seasonal|fixed[- ]term|cdd|ftc)\b"), "temporary")
-        .when(cleaned.rlike(VOLUNTEER), "volunteer").when(cleaned.rlike(PART_TIME), "part_time").when(cleaned.rlike(TEMPORARY), "temporary")
-        .when(cleaned.rlike(STIPEND) & ~cleaned.rlike(REAL_JOB) & ~full, "internship")
-        .when(kind.eqNullSafe("contract") | head.rlike(r"(?i)\b(?:contract(?:or)?|freelancer?)\b"), "contract")
-        .when(full, "full_time").otherwise("unknown")
     )
+    last = F.when(kind.eqNullSafe("contract") | head.rlike(r"(?i)\b(?:contract(?:or)?|freelancer?)\b"), "contract").when(full, "full_time").otherwise("unknown")
+    cleaned = F.when(says(text, "unpaid"), F.regexp_replace(text, at_words(UNPAID_BENEFIT), " ")).otherwise(text)
+    return F.coalesce(stated_first, let(cleaned, described), last)
 
 
 def blocking_labels(country: str) -> list[str]:
@@ -113,7 +125,7 @@ def eligible_from_fields(country: str, countries: Column, scope: Column, auth: C
 
 def refuses_india(text: Column) -> Column:
     """The text says that it does not hire in India, or leaves India out of where it does."""
-    return says(text, "india") & (text.rlike(NOT_HIRING_INDIA) | text.rlike(EXCEPT_INDIA))
+    return says(text, "india") & (text.rlike(at_words(NOT_HIRING_INDIA)) | text.rlike(at_words(EXCEPT_INDIA)))
 
 
 def restricted(title: Column) -> Column:

@@ -159,7 +159,7 @@ def decide(rows: DataFrame) -> DataFrame:
     kind = decisions.employment_kind(title, text, F.array_join(col("employment_type", "array<string>"), ","), seniority)
     # What several decisions use is computed in a projection of its own, once per row.
     own = rows.withColumns({
-        "_kind": kind, "_level": seniority, "_years": rules.experience(text, title), "_counts": F.struct(*[c.alias(k) for k, c in tx.language_counts(text).items()]), "_languages": lg.languages(F.concat_ws("\n", title, text)),
+        "_kind": kind, "_level": seniority, "_years": rules.experience(text, title), "_counts": tx.counted(text), "_languages": lg.languages(F.concat_ws("\n", title, text)),
         "_hard": flags.hard_flags(title, text, col("source")), "_soft": flags.soft_labels(title, text, F.array_join(col("employment_type", "array<string>"), ","), col("source"), col("remote_type")),
     })
     counts = {k: F.col("_counts")[k] for k in ("words", "letters", "non_latin", "english", "foreign")}
