@@ -21,6 +21,9 @@ ROLLING = r"(?i)\brolling(?:\s+basis)?\b|\bopen\s+until\s+filled\b|\buntil\s+fil
 UNIT_SECONDS = {"minute": 60, "hour": 3600, "day": 86400, "week": 604800, "month": 2592000}
 DAY_FIRST, MONTH_FIRST = ("IN", "GB", "UK", "AU", "AE"), ("US",)
 
+#: Where any shape can begin: a cheap test in front of them.
+_NAMED = r"(?i:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[A-Za-z]{0,6}[\s.,/-]+[0-9]"
+START = rf"(?=[0-9]|(?i:clos|deadline)|{_NAMED})"
 #: Where one place of a text fits several shapes, the first of them is read.
 SHAPES = {"relative": RELATIVE, "day_month": DAY_MONTH, "month_day": MONTH_DAY, "month_year": MONTH_YEAR, "iso": ISO, "numeric": NUMERIC}
 
@@ -74,7 +77,7 @@ def deadline(text: Column, seen: Column | None = None, country: Column | None =
 
     every = ungrouped("|".join(SHAPES.values()))
     marked = says(text, "appl", "clos", "deadline", "last", "due", "submit", "cut", "before")
-    return _end(F.get(F.array_compact(F.transform(F.when(marked, around(text, f"(?:{every})", 30, 15)), read)), F.lit(0)))
+    return _end(F.get(F.array_compact(F.transform(F.when(marked, around(text, f"(?:{every})", 30, 15, start=START)), read)), F.lit(0)))
 
 
 def rolling(text: Column) -> Column:
