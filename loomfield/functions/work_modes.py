@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from loomfield.functions.matches import around
+from loomfield.functions.matches import around, at_words, let
 from loomfield.functions.text import says
 
 _SITE = r"on[-\s]?site|in[-\s]?office"
@@ -88,6 +88,8 @@ NOT_REMOTE_STRONG = (
 
 #: Every mention; where several begin at one place the fuller wording is taken.
 MENTION = rf"{HYBRID_SAID}|{REMOTE_SAID}|(?i:\bremote\b)|(?i:\bhybrid\b)|{ONSITE_SAID}"
+#: Where a mention can begin: a cheap test in front.
+MENTION_START = r"(?=#|(?<![A-Za-z])(?:[0-9]|(?i:part|some|offi|full|remot|work|wfh|base|locat|all[-\s]rem|can\s|may\s|will\s|able\s|hybr|on[-\s]?site|in[-\s]?[op]|must\s)))"
 
 
 def _offered(m: Column) -> Column:
@@ -120,23 +122,22 @@ def _mode(m: Column) -> Column:
 def work_mode(text: Column) -> Column:
     """remote, hybrid or onsite, if a text states one for its job. Whole texts are read."""
     own = F.coalesce(text, F.lit(""))
-    stated = F.array_distinct(F.array_compact(F.transform(around(own, MENTION, 45, 90), _mode)))
+    stated = F.array_distinct(F.array_compact(F.transform(around(own, MENTION, 45, 90, start=MENTION_START), _mode)))
 
     by_mode = lambda m, patterns: F.coalesce(*[F.when(m == k, own.rlike(p)) for k, p in patterns.items()])
-    let = lambda c, f: F.get(F.transform(F.array(c), f), 0)  # noqa: E731  what is worked out once is read as an array's one element
 
     def decided(left: Column) -> Column:
         several = F.when(~own.rlike(REMOTE_OR_HYBRID), let(F.filter(left, lambda m: by_mode(m, STRONG)), lambda s: F.when(F.size(s) == 1, F.get(s, 0))))
         return F.when(F.size(left) == 1, F.get(left, 0)).when(F.size(left) > 1, several)
 
-    found = let(F.filter(stated, lambda m: ~by_mode(m, {"remote": NOT_REMOTE, "hybrid": NOT_HYBRID, "onsite": NOT_ONSITE})), decided)
+    found = let(F.filter(stated, lambda m: ~by_mode(m, {"remote": at_words(NOT_REMOTE), "hybrid": at_words(NOT_HYBRID), "onsite": at_words(NOT_ONSITE)})), decided)
     return F.when(says(own, "remote", "wfh", "anywhere", "hybrid", "site", "office", "person"), found)
 
 
 def refuses_remote(text: Column) -> Column:
     """The text says that this role is not remote, whatever the board says."""
     own = F.coalesce(text, F.lit(""))
-    return says(own, "remote") & own.rlike(NOT_REMOTE_STRONG)
+    return says(own, "remote") & own.rlike(at_words(NOT_REMOTE_STRONG))
 
 
 def not_for_remote(text: Column) -> Column:
