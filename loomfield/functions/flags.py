@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from loomfield.functions.matches import around, first
+from loomfield.functions.matches import WORD, around, at_words, first, let
 from loomfield.functions.text import says
 
 #: Boards of companies that are followed, where a chat contact is no alarm.
@@ -80,7 +80,7 @@ SAYS_REMOTE = r"(?i)\bremote(?:ly)?\b|\bwork(?:ing)?\s+(?:from\s+(?:home|anywher
 
 def _unguarded(text: Column, pattern: str, before: int = 70, after: int = 60) -> Column:
     clear = lambda m: ~F.right(m["before"], F.lit(70)).rlike(NEGATED_BEFORE) & ~F.left(m["after"], F.lit(60)).rlike(NEGATED_AFTER)
-    return F.filter(around(text, pattern, before, after), clear)
+    return F.filter(around(text, pattern, before, after, start=WORD), clear)
 
 
 def _said(hits: Column) -> Column:
@@ -92,13 +92,14 @@ def hard_flags(title: Column, description: Column, source: Column | None = None)
     title, description = F.coalesce(title, F.lit("")), F.coalesce(description, F.lit(""))
     text = F.concat_ws("\n", title, description)
     weak = F.get(_unguarded(text, FEE_WEAK, 120, 120), F.lit(0))
-    asked = F.when(F.concat(weak["before"], weak["said"], weak["after"]).rlike(CANDIDATE_PAYS), weak["said"])
+    asked = let(weak, lambda m: F.when(F.concat(m["before"], m["said"], m["after"]).rlike(CANDIDATE_PAYS), m["said"]))
     fee = F.when(says(text, "fee", "charge", "deposit", "amount", "pay", "transfer"), F.coalesce(_said(_unguarded(text, FEE_STRONG)), asked))
-    unpaid = F.when(says(text, "paid", "pay", "salary", "stipend", "compensation", "remuneration", "volunteer", "equity", "share", "exchange"), _said(_unguarded(F.regexp_replace(text, UNPAID_BENEFIT, " "), UNPAID)))
+    unpaid = F.when(says(text, "paid", "pay", "salary", "stipend", "compensation", "remuneration", "volunteer", "equity", "share", "exchange"), _said(_unguarded(F.regexp_replace(text, at_words(UNPAID_BENEFIT), " "), UNPAID)))
     commission = F.when(says(text, "commission", "salar", "pay"), _said(_unguarded(text, COMMISSION_ONLY)))
     good = F.when(says(text, "interview", "guarantee", "100", "pay", "earn"), _said(_unguarded(text, TOO_GOOD)))
-    no_job = F.coalesce(first(title, NOT_A_JOB_TITLE), first(title, CAMPUS_BATCH_TITLE), first(description, NOT_A_JOB_TEXT))
-    chats = F.filter(around(text, CHAT, 80, 80), lambda m: F.concat(m["before"], m["said"], m["after"]).rlike(CONTACT))
+    not_open = F.when(says(description, "apply", "conversion", "role", "always", "position", "opening", "vacanc", "ambassador", "submit"), first(description, at_words(NOT_A_JOB_TEXT)))
+    no_job = F.coalesce(first(title, NOT_A_JOB_TITLE), first(title, CAMPUS_BATCH_TITLE), not_open)
+    chats = F.filter(around(text, CHAT, 80, 80, start=WORD), lambda m: F.concat(m["before"], m["said"], m["after"]).rlike(CONTACT))
     chat = F.when(says(text, "whats", "telegram") & ~F.coalesce(source if source is not None else F.lit(""), F.lit("")).isin(*KNOWN_BOARDS), _said(chats))
     named = {"fee_requested": fee, "unpaid": unpaid, "commission_only": commission, "too_good": good, "not_a_job": no_job, "suspicious_contact": chat}
     quote = lambda c: F.left(F.trim(F.regexp_replace(c, r"\s+", " ")), F.lit(80))
@@ -111,7 +112,7 @@ def soft_labels(title: Column, description: Column, kind: Column | None = None,
     text = F.concat_ws("\n", F.coalesce(title, F.lit("")), F.coalesce(description, F.lit("")))
     blanket = F.lit(False) if source is None or remote is None else source.eqNullSafe("himalayas") & remote.eqNullSafe("remote") & ~text.rlike(SAYS_REMOTE)
     named = {
-        "night_shift": says(text, "overlap", "hour", "zone", "shift") & text.rlike(NIGHT_SHIFT), "freelance": F.concat_ws("\n", text, kind if kind is not None else F.lit("")).rlike(FREELANCE),
-        "occasional_office": says(text, "office", "occasional", "quarterly") & text.rlike(OCCASIONAL_OFFICE), "remote_unverified": blanket,
+        "night_shift": says(text, "overlap", "hour", "zone", "shift") & text.rlike(at_words(NIGHT_SHIFT)), "freelance": let(F.concat_ws("\n", text, kind if kind is not None else F.lit("")), lambda c: says(c, "freelanc", "contractor") & c.rlike(at_words(FREELANCE))),
+        "occasional_office": says(text, "office", "occasional", "quarterly") & text.rlike(at_words(OCCASIONAL_OFFICE)), "remote_unverified": blanket,
     }
     return F.array_compact(F.array(*[F.when(c, F.lit(k)) for k, c in named.items()]))
