@@ -6,8 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from loomfield.functions import geo
-from loomfield.functions.matches import around
-from loomfield.functions.text import says
+from loomfield.functions.matches import WORD, around, at_words, let
+from loomfield.functions.text import holds, says
 
 #: Wording near which a country or region is a requirement, and claims that a job is open to all.
 CUES = r"(?i)\bonly\b|\bmust\b|\bbased\s+in\b|\blocated\s+in\b|\bopen\s+to\b|\beligible\b|\bresidents?\s+of\b|\bcitizens?\b|\bauthorized\s+to\s+work\s+in\b|\bhiring\s+in\b|\bcandidates?\s+in\b"
@@ -44,7 +44,13 @@ PERMITS = {
     "security_clearance": r"(?i:\b(?:security\s+clearance|ts/sci|top\s+secret)\b)",
     "citizenship": r"(?i:\b(?:us|u\.s\.|uk|eu)?\s*citizens?\s+only\b|\bcitizenship\s+(?:is\s+)?required\b)",
 }
-PERMIT_ANCHORS = ("authori", "citizen", "verify", "right", "permit", "clearance", "ts/sci", "secret")
+#: Words of which a text must hold one, in either case, for each of these to be asked for.
+PERMIT_ANCHORS = {
+    "us_work_authorization": ("authori", "citizen", "verify"), "uk_right_to_work": ("right",), "eu_work_permit": ("permit", "right"), "india_work_permit": ("permit", "authori"),
+    "security_clearance": ("clearance", "ts/sci", "secret"), "citizenship": ("citizen",),
+}
+#: Citizenship may begin with the white space behind another word.
+_CITIZEN_START = r"(?=[\suUeEcC])"
 NO_BEFORE = r"(?i)(?:\bno\b|\bnot\b|\bnever\b|\bwithout\b|\bdon't\b|\bdo\s+not\b|\bdoesn't\b|\bdoes\s+not\b|\bisn't\b|\bneedn't\b|\bno\s+need\s+(?:to\s+be|for)\b)[^.;!?\n]{0,30}$"
 NO_AFTER = r"(?i)^[^.;!?\n]{0,25}\b(?:is\s+|are\s+)?(?:not|never)\s+(?:required|needed|necessary|a\s+requirement|mandatory)\b|^[^.;!?\n]{0,25}\b(?:isn't|aren't)\s+(?:required|needed|necessary)\b|^\s*(?:is\s+)?optional\b"
 CONDITION_BEFORE = r"(?i)\b(?:who|that|if\s+you|applicants?|candidates?)\s+(?:are|is|do|does)\s+not\b[^.;!?\n]{0,30}$"
@@ -53,9 +59,9 @@ INDIANS_ONLY, AMERICANS_ONLY = r"(?i)\bindian?\s+(?:citizens?|nationals?)\s+only
 _NONE = "cast(array() as array<string>)"
 
 
-def matches(text: Column, pattern: str) -> Column:
+def matches(text: Column, pattern: str, start: str = WORD) -> Column:
     """Array of (said, before, after, onward): each match with 40 characters in front, 45 behind, and the 40 that begin with it."""
-    found = around(text, pattern, 40, 45)
+    found = around(text, pattern, 40, 45, start=start)
     return F.transform(found, lambda m: F.struct(m["said"].alias("said"), m["before"].alias("before"), m["after"].alias("after"), F.left(F.concat(m["said"], m["after"]), F.lit(40)).alias("onward")))
 
 
@@ -74,9 +80,9 @@ def eligibility(text: Column) -> Column:
     own = F.coalesce(text, F.lit(""))
     known = lambda countries, scope: F.struct(countries.alias("countries"), F.lit(scope).cast("string").alias("scope"))
     none, empty = F.lit(None).cast("array<string>"), F.expr(_NONE)
-    world = says(own, "worldwide", "global", "anywhere") & (own.rlike(WORLDWIDE) | ((F.length(own) <= 60) & own.rlike(WORLDWIDE_BARE)))
-    rest = F.regexp_extract(own, rf"(?s){WORLDWIDE}([^.;!?\n]{{0,120}})", 1)
-    outside = F.when(says(own, "outside"), geo.country_code(F.trim(F.regexp_extract(own, NOT_OUTSIDE, 1))))
+    world = says(own, "worldwide", "global", "anywhere") & (own.rlike(at_words(WORLDWIDE)) | ((F.length(own) <= 60) & own.rlike(WORLDWIDE_BARE)))
+    rest = F.regexp_extract(own, rf"(?s){at_words(WORLDWIDE)}([^.;!?\n]{{0,120}})", 1)
+    outside = F.when(says(own, "outside"), let(F.regexp_extract(own, at_words(NOT_OUTSIDE), 1), lambda x: geo.country_code(F.trim(x))))
 
     places = F.when(says(own, "remote"), F.regexp_extract_all(own, F.lit(REMOTE_PLACE), F.lit(1))).otherwise(empty)
     parts = F.transform(places, lambda p: F.filter(F.transform(F.split(p, r"\s*(?:\bor\b|,|/|\|)\s*"), lambda x: F.trim(x)), lambda x: x != ""))
@@ -89,16 +95,16 @@ def eligibility(text: Column) -> Column:
     named = F.transform(F.filter(lower, _near_cue), lambda m: geo.country_code(m["said"]))
     capitals = F.transform(F.filter(upper, _near_cue), lambda m: F.try_element_at(by_upper, m["said"]))
     countries = F.array_sort(F.array_distinct(F.array_compact(F.concat(stated, named, capitals))))
-    bare = F.lower(F.regexp_replace(own, r"^[\s.,;:()\[\]]+|[\s.,;:()\[\]]+$", ""))
+    bare = F.lower(F.btrim(own, F.lit(" \t\n\x0b\f\r.,;:()[]")))
     regions = bare.isin(*REGION_WORDS) | F.coalesce(F.exists(matches(own, rf"(?iU:\b(?:{_names(REGION_WORDS)})\b)"), _near_cue), F.lit(False))
-    has_place = says(own, *[n for n in geo.COUNTRIES if n not in ("uk", "usa", "u.s.")]) | says(own, "remote") | own.rlike(r"\bUSA?\b|\bUK\b")
-    return (
-        F.when(world & rest.rlike(EXCEPTION), known(none, None)).when(world, known(empty, "worldwide"))
-        .when(outside.isNotNull(), known(F.array(outside), "countries"))
-        .when(says(own, "the eu", "eu only", "union only") & own.rlike(EU_ONLY), known(F.array(*[F.lit(c) for c in sorted(geo.EU)]), "countries"))
-        .when(has_place & (F.size(countries) > 0), known(countries, "countries"))
-        .when(says(own, *REGION_WORDS) & regions, known(none, "regions")).otherwise(known(none, None))
-    )
+    has_place = says(own, "remote", *[n for n in geo.COUNTRIES if n not in ("uk", "usa", "u.s.")]) | own.rlike(at_words(r"\bUSA?\b|\bUK\b"))
+    return F.coalesce(
+        F.when(world, F.when(rest.rlike(EXCEPTION), known(none, None)).otherwise(known(empty, "worldwide"))),
+        let(outside, lambda code: F.when(code.isNotNull(), known(F.array(code), "countries"))),
+        F.when(says(own, "the eu", "eu only", "union only") & own.rlike(at_words(EU_ONLY)), known(F.array(*[F.lit(c) for c in sorted(geo.EU)]), "countries")),
+        let(F.when(has_place, countries), lambda listed: F.when(F.size(listed) > 0, known(listed, "countries"))),
+        F.when(says(own, *REGION_WORDS) & regions, known(none, "regions")).otherwise(known(none, None)),
+    )
 
 
 def permits(text: Column) -> Column:
@@ -106,13 +112,20 @@ def permits(text: Column) -> Column:
     not authorized to work in the US" still is one. Indian citizens only is a permit for India, US ones imply the US permit."""
     own = F.coalesce(text, F.lit(""))
     affirmed = lambda m: m["before"].rlike(CONDITION_BEFORE) | ~(m["before"].rlike(NO_BEFORE) | m["after"].rlike(NO_AFTER))
-    found = {label: F.coalesce(F.exists(matches(own, pattern), affirmed), F.lit(False)) for label, pattern in PERMITS.items()}
-    citizens, indians = found["citizenship"], own.rlike(INDIANS_ONLY)
-    found["india_work_permit"] = found["india_work_permit"] | (citizens & indians)
-    found["us_work_authorization"] = found["us_work_authorization"] | (citizens & ~indians & own.rlike(AMERICANS_ONLY))
-    found["citizenship"] = citizens & ~indians
-    listed = F.array_sort(F.array_compact(F.array(*[F.when(f, F.lit(label)) for label, f in found.items()])))
-    return F.when(says(own, *PERMIT_ANCHORS), listed).otherwise(F.expr(_NONE))
+
+    def asked(low: Column) -> Column:
+        said = {k: F.exists(matches(own, pattern, _CITIZEN_START if k == "citizenship" else WORD), affirmed) for k, pattern in PERMITS.items()}
+        return F.struct(*[(holds(low, *PERMIT_ANCHORS[k]) & c).alias(k) for k, c in said.items()])
+
+    def listed(x: Column) -> Column:
+        found, citizens = {label: x[label] for label in PERMITS}, x["citizenship"]
+        indians = citizens & own.rlike(at_words(INDIANS_ONLY))
+        found["india_work_permit"] = found["india_work_permit"] | indians
+        found["us_work_authorization"] = found["us_work_authorization"] | (citizens & ~indians & own.rlike(at_words(AMERICANS_ONLY)))
+        found["citizenship"] = citizens & ~indians
+        return F.array_sort(F.array_compact(F.array(*[F.when(f, F.lit(label)) for label, f in found.items()])))
+
+    return let(let(F.lower(own), asked), listed)
 
 
 def applicant_requirements(names: Column) -> Column:
