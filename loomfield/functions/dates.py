@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from loomfield.functions.held import DIGITS, has, within
 from loomfield.functions.matches import around, ungrouped
 from loomfield.functions.text import says
 
@@ -42,9 +43,10 @@ def _end(day: Column) -> Column:
     return F.timestamp_seconds(F.unix_date(day).cast("long") * 86400 + 86399)
 
 
-def deadline(text: Column, seen: Column | None = None, country: Column | None = None) -> Column:
+def deadline(text: Column, seen: Column | None = None, country: Column | None = None, words: Column | None = None) -> Column:
     """End of the day (UTC) of the deadline. ``seen``, the time of the posting, settles relative dates and those without a year
-    (the next such day); ``country`` settles which of day and month goes first. What stays open is no date."""
+    (the next such day); ``country`` settles which of day and month goes first. What stays open is no date.
+    ``words``: what the text holds, if that is known (``held``)."""
     seen = F.lit(None).cast("timestamp") if seen is None else seen
     country = F.upper(F.trim(F.lit(None).cast("string") if country is None else country))
     today = F.date_from_unix_date(F.floor(F.unix_seconds(seen) / 86400).cast("int"))
@@ -76,8 +78,9 @@ def deadline(text: Column, seen: Column | None = None, country: Column | None =
         return F.when(is_a("relative"), F.date_from_unix_date(F.floor(after / 86400).cast("int"))).when(near, date)
 
     every = ungrouped("|".join(SHAPES.values()))
-    marked = says(text, "appl", "clos", "deadline", "last", "due", "submit", "cut", "before")
-    return _end(F.get(F.array_compact(F.transform(F.when(marked, around(text, f"(?:{every})", 30, 15, start=START)), read)), F.lit(0)))
+    marked = lambda w: has(w, DIGITS) & says(text, "appl", "clos", "deadline", "last", "due", "submit", "cut", "before")
+    first = lambda w: F.get(F.array_compact(F.transform(F.when(marked(w), around(text, f"(?:{every})", 30, 15, start=START)), read)), F.lit(0))
+    return _end(within(words, text, first))
 
 
 def rolling(text: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from loomfield.functions import geo
+from loomfield.functions.held import ODD, has, known, within
 from loomfield.functions.matches import WORD, around, at_words, let
 from loomfield.functions.text import holds, says
 
@@ -57,6 +58,13 @@ CONDITION_BEFORE = r"(?i)\b(?:who|that|if\s+you|applicants?|candidates?)\s+(?:ar
 INDIANS_ONLY, AMERICANS_ONLY = r"(?i)\bindian?\s+(?:citizens?|nationals?)\s+only\b", r"(?i)\b(?:us|u\.s\.)\s+citizens?\s+only\b"
 
 _NONE = "cast(array() as array<string>)"
+_LISTED = sorted(k for k in geo.COUNTRIES if k not in ("uk", "usa", "u.s."))
+#: Words of which a text must hold one (``held``): of names of several words, the last.
+NAMED_WORLD, NAMED_OUTSIDE, NAMED_EU = known("worldwide global globally anywhere roleworldwide positionworldwide jobworldwide opportunityworldwide"), known("outside"), known("eu union")
+NAMED_PLACE, NAMED_REGION = known("us usa uk", *[k.split()[-1] for k in _LISTED]) + ODD, known(*[k.replace("-", " ").split()[-1] for k in REGION_WORDS]) + ODD
+NAMED_PERMIT = known(
+    "authorised authorized authorisation authorization citizen citizens verify everify right permit clearance sci secret citizenship uscitizen uscitizens ukcitizen ukcitizens eucitizen eucitizens"
+)
 
 
 def matches(text: Column, pattern: str, start: str = WORD) -> Column:
@@ -73,12 +81,12 @@ def _names(words) -> str:
     return "|".join(w.replace(".", r"\.") for w in sorted(words, key=lambda w: (-len(w), w)))
 
 
-def eligibility(text: Column) -> Column:
+def eligibility(text: Column, words: Column | None = None) -> Column:
     """struct(countries, scope) that a text states: worldwide (unless the sentence goes on to an exception, then nothing),
     "not open to candidates outside", the EU, "Remote - Canada or Mexico", and countries or regions close to a cue. Null fields
-    are unknown."""
+    are unknown. ``words``: what the text holds, if that is known (``held``)."""
     own = F.coalesce(text, F.lit(""))
-    known = lambda countries, scope: F.struct(countries.alias("countries"), F.lit(scope).cast("string").alias("scope"))
+    place = lambda countries, scope: F.struct(countries.alias("countries"), F.lit(scope).cast("string").alias("scope"))
     none, empty = F.lit(None).cast("array<string>"), F.expr(_NONE)
     world = says(own, "worldwide", "global", "anywhere") & (own.rlike(at_words(WORLDWIDE)) | ((F.length(own) <= 60) & own.rlike(WORLDWIDE_BARE)))
     rest = F.regexp_extract(own, rf"(?s){at_words(WORLDWIDE)}([^.;!?\n]{{0,120}})", 1)
@@ -88,7 +96,7 @@ def eligibility(text: Column) -> Column:
     parts = F.transform(places, lambda p: F.filter(F.transform(F.split(p, r"\s*(?:\bor\b|,|/|\|)\s*"), lambda x: F.trim(x)), lambda x: x != ""))
     coded = F.transform(parts, lambda p: F.transform(p, geo.country_code))
     stated = F.flatten(F.filter(coded, lambda c: (F.size(c) > 0) & F.forall(c, lambda x: x.isNotNull())))
-    lower = F.coalesce(matches(own, rf"(?iU:\b(?:{_names(k for k in geo.COUNTRIES if k not in ('uk', 'usa', 'u.s.'))})\b)"), F.array())
+    lower = F.coalesce(matches(own, rf"(?iU:\b(?:{_names(_LISTED)})\b)"), F.array())
     upper = F.coalesce(matches(own, r"\b(?:USA|US|UK)\b"), F.array())
     code = {"US": "US", "USA": "US", "UK": "GB"}
     by_upper = F.create_map(*[F.lit(x) for kv in code.items() for x in kv])
@@ -97,19 +105,21 @@ def eligibility(text: Column) -> Column:
     countries = F.array_sort(F.array_distinct(F.array_compact(F.concat(stated, named, capitals))))
     bare = F.lower(F.btrim(own, F.lit(" \t\n\x0b\f\r.,;:()[]")))
     regions = bare.isin(*REGION_WORDS) | F.coalesce(F.exists(matches(own, rf"(?iU:\b(?:{_names(REGION_WORDS)})\b)"), _near_cue), F.lit(False))
-    has_place = says(own, "remote", *[n for n in geo.COUNTRIES if n not in ("uk", "usa", "u.s.")]) | own.rlike(at_words(r"\bUSA?\b|\bUK\b"))
-    return F.coalesce(
-        F.when(world, F.when(rest.rlike(EXCEPTION), known(none, None)).otherwise(known(empty, "worldwide"))),
-        let(outside, lambda code: F.when(code.isNotNull(), known(F.array(code), "countries"))),
-        F.when(says(own, "the eu", "eu only", "union only") & own.rlike(at_words(EU_ONLY)), known(F.array(*[F.lit(c) for c in sorted(geo.EU)]), "countries")),
-        let(F.when(has_place, countries), lambda listed: F.when(F.size(listed) > 0, known(listed, "countries"))),
-        F.when(says(own, *REGION_WORDS) & regions, known(none, "regions")).otherwise(known(none, None)),
+    has_place = says(own, "remote", *_LISTED) | own.rlike(at_words(r"\bUSA?\b|\bUK\b"))
+    stated_in = lambda w: F.coalesce(
+        F.when(has(w, NAMED_WORLD) & world, F.when(rest.rlike(EXCEPTION), place(none, None)).otherwise(place(empty, "worldwide"))),
+        let(F.when(has(w, NAMED_OUTSIDE), outside), lambda code: F.when(code.isNotNull(), place(F.array(code), "countries"))),
+        F.when(has(w, NAMED_EU) & says(own, "the eu", "eu only", "union only") & own.rlike(at_words(EU_ONLY)), place(F.array(*[F.lit(c) for c in sorted(geo.EU)]), "countries")),
+        let(F.when((has(w, NAMED_PLACE) | says(own, "remote")) & has_place, countries), lambda listed: F.when(F.size(listed) > 0, place(listed, "countries"))),
+        F.when(has(w, NAMED_REGION) & says(own, *REGION_WORDS) & regions, place(none, "regions")).otherwise(place(none, None)),
     )
+    return within(words, own, stated_in)
 
 
-def permits(text: Column) -> Column:
+def permits(text: Column, words: Column | None = None) -> Column:
     """Sorted labels of the permits that a text asks for. A demand that is taken back, in front or behind, is none, but "who are
-    not authorized to work in the US" still is one. Indian citizens only is a permit for India, US ones imply the US permit."""
+    not authorized to work in the US" still is one. Indian citizens only is a permit for India, US ones imply the US permit.
+    ``words``: what the text holds, if that is known (``held``)."""
     own = F.coalesce(text, F.lit(""))
     affirmed = lambda m: m["before"].rlike(CONDITION_BEFORE) | ~(m["before"].rlike(NO_BEFORE) | m["after"].rlike(NO_AFTER))
 
@@ -125,7 +135,7 @@ def permits(text: Column) -> Column:
         found["citizenship"] = citizens & ~indians
         return F.array_sort(F.array_compact(F.array(*[F.when(f, F.lit(label)) for label, f in found.items()])))
 
-    return let(let(F.lower(own), asked), listed)
+    return within(words, own, lambda w: F.when(has(w, NAMED_PERMIT), let(let(F.lower(own), asked), listed)).otherwise(F.expr(_NONE)))
 
 
 def applicant_requirements(names: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from loomfield.functions.held import has, known, within
 from loomfield.functions.matches import WORD, around, let, ungrouped
 from loomfield.functions.text import says
 
@@ -56,6 +57,9 @@ ABOVE_ENTRY = ("senior", "lead", "staff", "principal", "director", "mid")
 STATED_START = r"(?=[0-9]|(?<![A-Za-z])(?i:min|at\s|up\s|max|less|under|below))"
 SHAPES = {"range": RANGE, "plus": PLUS, "minimum": MINIMUM, "up_to": UP_TO, "months": MONTHS, "less": LESS_THAN_YEAR, "single": SINGLE, "month": MONTH}
 
+#: Words of which a text must hold one (``held``).
+NAMED, NAMED_FRESHER = known("year years yr yrs yoe month months"), known("fresher freshers entry entrylevel batch class pass passout passouts grad grads graduate graduates experience")
+
 
 def title_level(title: Column) -> Column:
     out = None
@@ -65,19 +69,20 @@ def title_level(title: Column) -> Column:
     return out
 
 
-def _fresher(text: Column) -> Column:
+def _fresher(text: Column, w: Column) -> Column:
     """A statement for beginners that is not taken back and is no range up to seniors."""
-    return F.when(says(text, "fresher", "entry", "20", "grad", "experience"), F.exists(around(text, FRESHER_TEXT, 80, 40, start=WORD), lambda m: ~m["before"].rlike(NEGATED) & ~m["after"].rlike(TO_SENIOR)))
+    return F.when(has(w, NAMED_FRESHER) & says(text, "fresher", "entry", "20", "grad", "experience"), F.exists(around(text, FRESHER_TEXT, 80, 40, start=WORD), lambda m: ~m["before"].rlike(NEGATED) & ~m["after"].rlike(TO_SENIOR)))
 
 
-def level(title: Column, text: Column) -> Column:
+def level(title: Column, text: Column, words: Column | None = None) -> Column:
     """The level that the title names; entry where only wording for beginners says so."""
-    return F.coalesce(title_level(title), F.when(F.coalesce(_fresher(text), F.lit(False)) | F.coalesce(title.rlike(FRESHER_HEAD), F.lit(False)), "entry"))
+    return F.coalesce(title_level(title), F.when(within(words, text, lambda w: F.coalesce(_fresher(text, w), F.lit(False))) | F.coalesce(title.rlike(FRESHER_HEAD), F.lit(False)), "entry"))
 
 
-def experience(text: Column, title: Column | None = None) -> Column:
+def experience(text: Column, title: Column | None = None, words: Column | None = None) -> Column:
     """struct(least, most) years. Bare years need a word that asks for them nearby; differing statements are unknown; beginners
-    start at 0 unless the title is above entry, which agrees with a stated range from 0."""
+    start at 0 unless the title is above entry, which agrees with a stated range from 0.
+    ``words``: what the text holds, if that is known (``held``)."""
     head = F.coalesce(title, F.lit("")) if title is not None else F.lit("")
 
     def read(m: Column) -> Column:
@@ -108,12 +113,12 @@ def experience(text: Column, title: Column | None = None) -> Column:
     every = ungrouped("|".join(SHAPES.values()))
     stated = F.array_compact(F.transform(around(text, f"(?:{every})", 60, 60, start=STATED_START), read))
     nothing = F.expr("cast(array() as array<struct<least: double, most: double>>)")
-    stated = F.when(says(text, "year", "yr", "yoe", "month"), stated).otherwise(nothing)
-    beginner = (F.coalesce(_fresher(text), F.lit(False)) | head.rlike(FRESHER_HEAD) | head.rlike(FRESHER_TITLE)) & ~F.coalesce(title_level(head).isin(*ABOVE_ENTRY), F.lit(False))
+    marked = lambda w: F.when(has(w, NAMED) & says(text, "year", "yr", "yoe", "month"), stated).otherwise(nothing)
+    beginner = lambda w: (F.coalesce(_fresher(text, w), F.lit(False)) | head.rlike(FRESHER_HEAD) | head.rlike(FRESHER_TITLE)) & ~F.coalesce(title_level(head).isin(*ABOVE_ENTRY), F.lit(False))
     start = F.array(F.struct(F.lit(0.0).alias("least"), F.lit(None).cast("double").alias("most")))
 
-    def every_one(found: Column) -> Column:
+    def every_one(found: Column, w: Column) -> Column:
         agrees = F.exists(found, lambda x: (x["least"] == 0) & x["most"].isNotNull())
-        return F.array_distinct(F.when(agrees, F.filter(found, lambda x: ~((x["least"] == 0) & x["most"].isNull()))).when(beginner, F.concat(found, start)).otherwise(found))
+        return F.array_distinct(F.when(agrees, F.filter(found, lambda x: ~((x["least"] == 0) & x["most"].isNull()))).when(beginner(w), F.concat(found, start)).otherwise(found))
 
-    return let(let(stated, every_one), lambda x: F.when(F.size(x) == 1, F.get(x, F.lit(0))))
+    return let(within(words, text, lambda w: let(marked(w), lambda found: every_one(found, w))), lambda x: F.when(F.size(x) == 1, F.get(x, F.lit(0))))

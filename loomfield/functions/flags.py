@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from loomfield.functions.held import has, known, within
 from loomfield.functions.matches import WORD, around, at_words, first, let
 from loomfield.functions.text import says
 
@@ -77,6 +78,13 @@ OCCASIONAL_OFFICE = (
 )
 SAYS_REMOTE = r"(?i)\bremote(?:ly)?\b|\bwork(?:ing)?\s+(?:from\s+(?:home|anywhere)|virtually)\b|\bwfh\b|\bdistributed\s+team\b|\banywhere\b"
 
+#: Words of which a text must hold one for each flag (``held``).
+NAMED = {
+    "fee_requested": known("fee fees charge charges deposit amount pay transfer"), "unpaid": known("unpaid paid pay payment salary stipend compensation remuneration volunteer equity share shares exchange"),
+    "commission_only": known("commission commissions salary salaried pay"), "too_good": known("interview interviews guarantee guaranteed placement pay earn"),
+    "not_a_job": known("apply conversion role always position positions opening openings vacancy vacancies ambassador submit"), "suspicious_contact": known("whatsapp whats telegram"),
+}
+
 
 def _unguarded(text: Column, pattern: str, before: int = 70, after: int = 60) -> Column:
     clear = lambda m: ~F.right(m["before"], F.lit(70)).rlike(NEGATED_BEFORE) & ~F.left(m["after"], F.lit(60)).rlike(NEGATED_AFTER)
@@ -87,8 +95,9 @@ def _said(hits: Column) -> Column:
     return F.get(hits, F.lit(0))["said"]
 
 
-def hard_flags(title: Column, description: Column, source: Column | None = None) -> Column:
-    """Array of struct(flag, evidence), by flag, with the first wording that raises it. Null texts say nothing."""
+def hard_flags(title: Column, description: Column, source: Column | None = None, words: Column | None = None) -> Column:
+    """Array of struct(flag, evidence), by flag, with the first wording that raises it. Null texts say nothing. ``words``: what
+    both texts hold, if that is known (``held``)."""
     title, description = F.coalesce(title, F.lit("")), F.coalesce(description, F.lit(""))
     text = F.concat_ws("\n", title, description)
     weak = F.get(_unguarded(text, FEE_WEAK, 120, 120), F.lit(0))
@@ -98,12 +107,17 @@ def hard_flags(title: Column, description: Column, source: Column | None = None)
     commission = F.when(says(text, "commission", "salar", "pay"), _said(_unguarded(text, COMMISSION_ONLY)))
     good = F.when(says(text, "interview", "guarantee", "100", "pay", "earn"), _said(_unguarded(text, TOO_GOOD)))
     not_open = F.when(says(description, "apply", "conversion", "role", "always", "position", "opening", "vacanc", "ambassador", "submit"), first(description, at_words(NOT_A_JOB_TEXT)))
-    no_job = F.coalesce(first(title, NOT_A_JOB_TITLE), first(title, CAMPUS_BATCH_TITLE), not_open)
     chats = F.filter(around(text, CHAT, 80, 80, start=WORD), lambda m: F.concat(m["before"], m["said"], m["after"]).rlike(CONTACT))
     chat = F.when(says(text, "whats", "telegram") & ~F.coalesce(source if source is not None else F.lit(""), F.lit("")).isin(*KNOWN_BOARDS), _said(chats))
-    named = {"fee_requested": fee, "unpaid": unpaid, "commission_only": commission, "too_good": good, "not_a_job": no_job, "suspicious_contact": chat}
+    found = {"fee_requested": fee, "unpaid": unpaid, "commission_only": commission, "too_good": good, "not_a_job": not_open, "suspicious_contact": chat}
     quote = lambda c: F.left(F.trim(F.regexp_replace(c, r"\s+", " ")), F.lit(80))
-    return F.filter(F.array(*[F.struct(F.lit(k).alias("flag"), quote(c).alias("evidence")) for k, c in named.items()]), lambda x: x["evidence"].isNotNull())
+
+    def raised(w: Column) -> Column:
+        named = {k: F.when(has(w, NAMED[k]), c) for k, c in found.items()}
+        named["not_a_job"] = F.coalesce(first(title, NOT_A_JOB_TITLE), first(title, CAMPUS_BATCH_TITLE), named["not_a_job"])
+        return F.filter(F.array(*[F.struct(F.lit(k).alias("flag"), quote(c).alias("evidence")) for k, c in named.items()]), lambda x: x["evidence"].isNotNull())
+
+    return within(words, text, raised)
 
 
 def soft_labels(title: Column, description: Column, kind: Column | None = None, source: Column | None = None, remote: Column | None = None) -> Column:

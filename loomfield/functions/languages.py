@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from loomfield.functions.held import has, known, within
 from loomfield.functions.matches import WORD, around, at_words, let
 from loomfield.functions.text import holds, says
 
@@ -14,6 +15,9 @@ LANGUAGES = (
     "ukrainian hindi tamil telugu kannada malayalam marathi bengali gujarati punjabi urdu odia"
 ).split()
 
+#: Words of which a text must hold one (``held``).
+NAMED, NAMED_POLISH = known(*LANGUAGES), known("polish")
+
 #: Wording that asks for a language (LANG stands for its name).
 REQUIRED = (
     r"(?i:\b(?:fluen(?:t|cy)|native|bilingual|proficien(?:t|cy)|mother\s+tongue|speaker\s+of|speak(?:ing)?|written\s+and\s+spoken|spoken\s+and\s+written)\s+(?:[\w-]+\s+){0,3}?LANG\b)",
@@ -44,8 +48,9 @@ NICE_AFTER = (
 NICE_BEFORE = r"(?i)\b(?:plus|bonus|nice[- ]to[- ]have|preferred|desirable|advantage|beneficial|optional)\b[^.\n]{0,30}$"
 
 
-def languages(text: Column) -> Column:
-    """struct(required, nice): sorted names. What is asked for anywhere is not merely nice; null texts ask for none."""
+def languages(text: Column, words: Column | None = None) -> Column:
+    """struct(required, nice): sorted names. What is asked for anywhere is not merely nice; null texts ask for none.
+    ``words``: what the text holds, if that is known (``held``)."""
     names, none = "|".join(LANGUAGES), F.expr("cast(array() as array<struct<name: string, nice: boolean>>)")
 
     def named(low: Column) -> Column:
@@ -57,14 +62,15 @@ def languages(text: Column) -> Column:
         welcome = F.when(holds(low, *_WELCOME), F.transform(optional, lambda x: F.struct(F.lower(x).alias("name"), F.lit(True).alias("nice")))).otherwise(none)
         return F.when(holds(low, *LANGUAGES), F.concat(*found, welcome)).otherwise(none)
 
-    polish = F.when(says(text, "polish"), F.transform(around(text, POLISH, 40, 60, start=WORD), lambda m: _asked(F.lit("polish"), m))).otherwise(none)
-    every = F.concat(let(F.lower(F.coalesce(text, F.lit(""))), named), polish)
+    def every(w: Column) -> Column:
+        polish = F.when(has(w, NAMED_POLISH) & says(text, "polish"), F.transform(around(text, POLISH, 40, 60, start=WORD), lambda m: _asked(F.lit("polish"), m))).otherwise(none)
+        return F.concat(F.when(has(w, NAMED), let(F.lower(F.coalesce(text, F.lit(""))), named)).otherwise(none), polish)
 
     def sorted_out(every: Column) -> Column:
         pick = lambda nice: F.transform(F.filter(every, lambda x: x["nice"] == nice), lambda x: x["name"])
         return F.struct(F.array_sort(F.array_distinct(pick(False))).alias("required"), F.array_sort(F.array_except(pick(True), pick(False))).alias("nice"))
 
-    return let(every, sorted_out)
+    return let(within(words, text, every), sorted_out)
 
 
 def _asked(name: Column, m: Column) -> Column:

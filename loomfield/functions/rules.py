@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from loomfield.functions import dates, eligibility, flags, work_modes
 from loomfield.functions import experience as ex
 from loomfield.functions import languages as lg
+from loomfield.functions.held import DIGITS, OPEN, SIGNS, has, held, known, within
 from loomfield.functions.matches import around, at_words, let, ungrouped
 from loomfield.functions.text import says
 
@@ -38,6 +39,10 @@ VISA_YES = r"(?i)\bvisa\s+sponsorship\b|\bsponsor\w*\s+(?:a\s+)?(?:work\s+)?visa
 NOTICE = r"(?i)\bnotice\s+period[^.\n0-9]{0,25}(\d{1,3})\s*(day|week|month)s?\b"
 IMMEDIATE = r"(?i)\b(?:immediate\s+join\w*|join\s+immediately)\b"
 
+#: Words of which a text must hold one (``held``).
+NAMED_PAY = SIGNS + known("rs inr usd eur gbp aud cad sgd aed crore crores cr lakh lakhs lac lacs lpa")
+NAMED_JOINING = known("notice immediate immediately")
+
 
 def scanned(text: Column) -> Column:
     """The whole text. Patterns take runs of white space whole where several could share one, so that they stay linear."""
@@ -58,11 +63,12 @@ def _period(said: Column) -> Column:
     return F.when(said.rlike("hour|hr"), "hour").when(said.rlike("day|daily"), "day").when(said.rlike("mo"), "month").when(said != "", "year")
 
 
-def pay(text: Column) -> Column:
+def pay(text: Column, words: Column | None = None) -> Column:
     """struct(low, high, currency, period) of disclosed pay. A currency or an Indian magnitude must stand at the figure; a magnitude
     on one side of a range holds for both, and "and" makes a range only behind "between". The period stands behind the figure,
     in LPA, or as the last such word in the 40 characters in front; without one, less than 10 000 is not judged. Funding is
-    no pay. Of several different figures one counts only if all those near a word for pay agree on it."""
+    no pay. Of several different figures one counts only if all those near a word for pay agree on it.
+    ``words``: what the text holds, if that is known (``held``)."""
     blank = lambda c: F.nullif(F.trim(c), F.lit(""))
     number = lambda c: blank(F.replace(c, F.lit(","), F.lit(""))).try_cast("double")
 
@@ -106,7 +112,7 @@ def pay(text: Column) -> Column:
     anchored = own.rlike(rf"(?=[0-9]|{_SIGN})(?:(?i)(?:{CURRENCY})[\s:]{{0,4}}[0-9]|[0-9]\s*(?:{MAGNITUDE}))")
     marked = says(text, "₹", "$", "€", "£", "rs", "inr", "usd", "eur", "gbp", "aud", "cad", "sgd", "aed", "crore", "cr", "lakh", "lac", "lpa") & own.rlike("[0-9]")
     found = F.filter(F.transform(F.transform(F.transform(around(own, PAY, 40, 40, 10, ungrouped(PAY), PAY_START), read), weigh), bounds), good)
-    return F.when(marked & anchored, let(found, judged))
+    return within(words, text, lambda w: F.when(has(w, NAMED_PAY) & has(w, DIGITS) & marked & anchored, let(found, judged)))
 
 
 def pay_in_rupees(rows: DataFrame, rates: DataFrame, column: str = "pay") -> DataFrame:
@@ -118,36 +124,37 @@ def pay_in_rupees(rows: DataFrame, rates: DataFrame, column: str = "pay") -> Dat
     return own.withColumn("inr_low", p["low"] * rate * per_year).withColumn("inr_high", p["high"] * rate * per_year).drop("_currency", "inr")
 
 
-def experience(text: Column, title: Column | None = None) -> Column:
+def experience(text: Column, title: Column | None = None, words: Column | None = None) -> Column:
     """struct(least, most) years; statements over 40 years don't count, freshers start at 0, conflicts are unknown."""
-    return ex.experience(text, title)
+    return ex.experience(text, title, words)
 
 
-def work_mode(text: Column) -> Column:
+def work_mode(text: Column, words: Column | None = None) -> Column:
     """remote, hybrid or onsite, if the text states one for its job."""
-    return work_modes.work_mode(text)
+    return work_modes.work_mode(text, words)
 
 
-def visa(text: Column) -> Column:
+def visa(text: Column, words: Column | None = None) -> Column:
     """no before yes; both, once refusals are taken out, is unknown."""
     own = scanned(text)
     both = F.struct(own.rlike(at_words(VISA_NO)).alias("no"), F.regexp_replace(own, at_words(VISA_NO), " ").rlike(at_words(VISA_YES)).alias("yes"))
     judged = lambda x: F.when(x["no"] & x["yes"], None).when(x["no"], "no").when(x["yes"], "yes")
-    return F.when(says(text, "sponsor"), let(both, judged))
+    return within(words, text, lambda w: F.when(has(w, OPEN) & says(text, "sponsor"), let(both, judged)))
 
 
-def joining(text: Column) -> Column:
+def joining(text: Column, words: Column | None = None) -> Column:
     """struct(kind, days): immediate, or a notice period."""
     own = scanned(text)
     notice, immediate = at_words(NOTICE), at_words(IMMEDIATE)
     unit = F.regexp_extract(own, notice, 2)
     days = F.regexp_extract(own, notice, 1).try_cast("int") * F.when(F.lower(unit) == "week", 7).when(F.lower(unit) == "month", 30).otherwise(1)
-    return F.when(~says(text, "notice", "join"), None).when(own.rlike(notice), F.struct(F.lit("notice_days").alias("kind"), days.alias("days"))).when(own.rlike(immediate), F.struct(F.lit("immediate").alias("kind"), F.lit(0).alias("days")))
+    stated = F.when(own.rlike(notice), F.struct(F.lit("notice_days").alias("kind"), days.alias("days"))).when(own.rlike(immediate), F.struct(F.lit("immediate").alias("kind"), F.lit(0).alias("days")))
+    return within(words, text, lambda w: F.when(has(w, NAMED_JOINING) & says(text, "notice", "join"), stated))
 
 
-def languages(text: Column) -> Column:
+def languages(text: Column, words: Column | None = None) -> Column:
     """Languages that a posting requires; those named as a plus don't count."""
-    return lg.languages(text)["required"]
+    return lg.languages(text, words)["required"]
 
 
 def skills(rows: DataFrame, key: str, text: str, dictionary: DataFrame) -> DataFrame:
@@ -168,11 +175,13 @@ def skills(rows: DataFrame, key: str, text: str, dictionary: DataFrame) -> DataF
     return said.join(dictionary.select(F.lower("term").alias("term"), "skill"), "term").groupBy(key, "skill").agg(F.min("importance").alias("importance"))
 
 
-def parts_of(title: Column, text: Column, seen: Column | None = None, country: Column | None = None) -> dict[str, Column]:
-    """What each rule finds, by rule. ``seen`` and ``country``: the posting's time and place, for dates."""
+def parts_of(title: Column, text: Column, seen: Column | None = None, country: Column | None = None, words: Column | None = None) -> dict[str, Column]:
+    """What each rule finds, by rule. ``seen`` and ``country``: the posting's time and place, for dates. ``words``: what title and
+    text hold, if that is known (``held``)."""
     return {
-        "pay": pay(text), "years": experience(text, title), "joining": joining(text), "mode": work_mode(F.concat_ws("\n", title, text)), "deadline": dates.deadline(text, seen, country), "visa": visa(text),
-        "languages": languages(text), "flags": F.transform(flags.hard_flags(title, text), lambda x: x["flag"]), "level": ex.level(title, text), "eligibility": eligibility.eligibility(text), "permits": eligibility.permits(text),
+        "pay": pay(text, words), "years": experience(text, title, words), "joining": joining(text, words), "mode": work_mode(F.concat_ws("\n", title, text), words),
+        "deadline": dates.deadline(text, seen, country, words), "visa": visa(text, words), "languages": languages(text, words), "flags": F.transform(flags.hard_flags(title, text, words=words), lambda x: x["flag"]),
+        "level": ex.level(title, text, words), "eligibility": eligibility.eligibility(text, words), "permits": eligibility.permits(text, words),
     }
 
 
@@ -188,11 +197,11 @@ def fields_of(found: dict[str, Column]) -> Column:
 
 
 def with_fields(rows: DataFrame, title: Column, text: Column, name: str = "_rules", seen: Column | None = None, country: Column | None = None) -> DataFrame:
-    """``rows`` with all fields as the struct ``name``. What a rule finds is worked out in a projection of its own, so once per
-    row, however many fields come from it."""
-    found = parts_of(title, text, seen, country)
-    own = rows.withColumns({f"_found_{k}": c for k, c in found.items()})
-    return own.withColumn(name, fields_of({k: F.col(f"_found_{k}") for k in found})).drop(*[f"_found_{k}" for k in found])
+    """``rows`` with all fields as the struct ``name``. The words that title and text hold, and what a rule finds, are each worked
+    out in a projection of their own, so once per row, however many rules and fields come from them."""
+    found = parts_of(title, text, seen, country, F.col("_held"))
+    own = rows.withColumn("_held", held(F.concat_ws("\n", title, text))).withColumns({f"_found_{k}": c for k, c in found.items()})
+    return own.withColumn(name, fields_of({k: F.col(f"_found_{k}") for k in found})).drop("_held", *[f"_found_{k}" for k in found])
 
 
 def fill(known: Column, provenance: Column, found: Column) -> tuple[Column, Column, Column]:

@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from loomfield.functions.held import has, known, within
 from loomfield.functions.matches import around, at_words, let
 from loomfield.functions.text import says
 
@@ -91,6 +92,9 @@ MENTION = rf"{HYBRID_SAID}|{REMOTE_SAID}|(?i:\bremote\b)|(?i:\bhybrid\b)|{ONSITE
 #: Where a mention can begin: a cheap test in front.
 MENTION_START = r"(?=#|(?<![A-Za-z])(?:[0-9]|(?i:part|some|offi|full|remot|work|wfh|base|locat|all[-\s]rem|can\s|may\s|will\s|able\s|hybr|on[-\s]?site|in[-\s]?[op]|must\s)))"
 
+#: Words of which a text must hold one (``held``).
+NAMED = known("remote remotely remotefirst wfh anywhere hybrid site onsite office inoffice person inperson dayonsite daysonsite weekonsite dayoffice daysoffice")
+
 
 def _offered(m: Column) -> Column:
     """Part of an offer of two modes: one that begins inside the mention, or ends with it."""
@@ -119,8 +123,9 @@ def _mode(m: Column) -> Column:
     )
 
 
-def work_mode(text: Column) -> Column:
-    """remote, hybrid or onsite, if a text states one for its job. Whole texts are read."""
+def work_mode(text: Column, words: Column | None = None) -> Column:
+    """remote, hybrid or onsite, if a text states one for its job. Whole texts are read. ``words``: what the text holds, if that is
+    known (``held``)."""
     own = F.coalesce(text, F.lit(""))
     stated = F.array_distinct(F.array_compact(F.transform(around(own, MENTION, 45, 90, start=MENTION_START), _mode)))
 
@@ -131,7 +136,7 @@ def work_mode(text: Column) -> Column:
         return F.when(F.size(left) == 1, F.get(left, 0)).when(F.size(left) > 1, several)
 
     found = let(F.filter(stated, lambda m: ~by_mode(m, {"remote": at_words(NOT_REMOTE), "hybrid": at_words(NOT_HYBRID), "onsite": at_words(NOT_ONSITE)})), decided)
-    return F.when(says(own, "remote", "wfh", "anywhere", "hybrid", "site", "office", "person"), found)
+    return within(words, own, lambda w: F.when(has(w, NAMED) & says(own, "remote", "wfh", "anywhere", "hybrid", "site", "office", "person"), found))
 
 
 def refuses_remote(text: Column) -> Column:
